@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, minhash_dedup, secret_scan, suffix_dedup
+from . import license_scan, minhash_dedup, packing, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
     "op2_license_scan": license_scan.op2,
     "op3_suffix_array_dedup": suffix_dedup.op3,
     "op6_minhash_near_dedup": minhash_dedup.op6,
+    "op7_best_fit_packing": packing.op7,
 }
 
 ORACLES: dict[str, str] = {
