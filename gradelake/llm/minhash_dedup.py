@@ -69,7 +69,7 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     value = np.full(len(word), 0x51ED270B9A8F7C63, np.uint64)
     for j in range(k):
         nxt = np.zeros(len(word), np.uint64)
-        nxt[: len(word) - j] = word[j:] if j else word
+        nxt[: max(len(word) - j, 0)] = word[j:]
         value = np.where(have > j, mix(value * _ODD + nxt), value)
     keep = (have == k) | (place == 0)
     value, row = value[keep], row[keep]
