@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, minhash_dedup, packing, quality, secret_scan, suffix_dedup
+from . import embedding_dedup, license_scan, minhash_dedup, packing, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_dedup.op3,
     "op6_minhash_near_dedup": minhash_dedup.op6,
     "op7_best_fit_packing": packing.op7,
+    "op9_embedding_near_dedup": embedding_dedup.op9,
     "op10_quality_classifier": quality.op10,
 }
 
