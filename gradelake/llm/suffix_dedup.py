@@ -9,7 +9,8 @@ alone in its group.  Digits are hashed pieces of those first ``window`` bytes:
    is the first that owns its gram, so this digit is dealt out once for a run of
    neighbouring suffixes instead of once for each;
 2. the whole stretch of text that such a run of suffixes covers;
-3. stretches of eight suffixes within it, where (2) stands alone;
+3. cells of eight suffixes within it, where (2) stands alone; first by the bytes that
+   all windows of the cell share;
 4. single suffixes to the full depth, where (3) stands alone.
 
 What is equal after the last digit that was needed is exactly the set of
@@ -116,11 +117,18 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def _core(start: np.ndarray, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """What all windows of a cell have in common: its last window's start to its first one's end."""
+    return start, start + window - (step - 1)
+
+
 def _refine(window: int, step: int):
     """Contexts to items of ``step`` suffixes, cut at fixed distances from the gram.
 
     ``g2`` of a context is the gram's distance from its start; of an item, the
-    number of the cell of ``step`` suffixes, counted from the gram, that it fills.
+    number of the cell of ``step`` suffixes, counted from the gram, that it fills, and
+    ``g1`` the hash of the bytes that all windows of that cell share: a cell whose shared
+    bytes stand alone has no repeated window and leaves with its group of one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +145,16 @@ def _refine(window: int, step: int):
                 size = np.diff(np.append(first, len(row)))
                 row, inside, cell = row[first], inside[first], cell[first]
                 at = off[lo:hi][row] - off[lo] + inside
+                g1 = col["g1"][row + lo] if step == 1 else r.of(*_core(off[lo:hi][row] - off[lo] + ahead[row] - cell * step, window, step)).view(np.int64)
                 c = r.of(at, at + size - 1 + window) ^ ((ahead[row] - inside).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 k = row + lo
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(col["g1"][k]), pa.array(cell.astype(np.int32)), pa.array(c.view(np.int64)), pa.array(col["kd"][k]), pa.array(col["kt"][k]),
+                        pa.array(g1), pa.array(cell.astype(np.int32)), pa.array(c.view(np.int64)), pa.array(col["kd"][k]), pa.array(col["kt"][k]),
                         pa.array((col["start"][k] + inside).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(col["w"][k]), pa.array(col["real"][k]),
-                        pa.array((ahead[row] - inside).astype(np.int32)),
+                        pa.array((ahead[row] - inside).astype(np.int32)), pa.array(col["g1"][k]),
                     ],
-                    names=["g1", "g2", "c", "kd", "kt", "start", "len", "w", "real", "ahead"],
+                    names=["g1", "g2", "c", "kd", "kt", "start", "len", "w", "real", "ahead", "gram"],
                 )
 
     return run
@@ -198,18 +207,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, scratch: Scratch | N
     )
     s.drop(want, todo)
     # digit 3: stretches of STRETCH suffixes
-    kind = "g1 long, g2 int, c long, kd long, kt int, start int, len int, w int, real boolean, ahead int"
+    kind = "g1 long, g2 int, c long, kd long, kt int, start int, len int, w int, real boolean, ahead int, gram long"
     items = s.save(context.mapInArrow(_refine(window, STRETCH), kind), "cells")
-    classes, same3 = _digit(s, items, "cell", ["ahead"])
+    classes, same3 = _digit(s, items, "cell", ["ahead", "gram"])
     s.drop(items)
     todo = _alone(s, classes, "cell", ["g1", "g2"])
     s.drop(classes)
     # digit 4: single suffixes
-    part = todo.select("g1", "kd", "kt", F.col("start").alias("s0"), F.col("len").alias("l0"), F.col("w").alias("w0"), F.col("real").alias("r0"), F.col("ahead").alias("a0"))
-    within = context.select("g1", "kd", "kt", "start", "len", "ctx")
-    cut = within.join(part, ["g1", "kd", "kt"]).where("s0 >= start and s0 + l0 <= start + len")
-    cut = cut.select("g1", F.col("a0").alias("g2"), "kd", "kt", F.col("s0").alias("start"), F.col("l0").alias("len"), F.col("w0").alias("w"), F.col("r0").alias("real"), F.expr(f"substring(ctx, s0 - start + 1, l0 - 1 + {window})").alias("ctx"))
-    items = s.save(cut.mapInArrow(_refine(window, 1), kind).drop("ahead"), "suffixes")
+    part = todo.select("gram", F.col("g1").alias("g0"), "kd", "kt", F.col("start").alias("s0"), F.col("len").alias("l0"), F.col("w").alias("w0"), F.col("real").alias("r0"), F.col("ahead").alias("a0"))
+    within = context.select(F.col("g1").alias("gram"), "kd", "kt", "start", "len", "ctx")
+    cut = within.join(part, ["gram", "kd", "kt"]).where("s0 >= start and s0 + l0 <= start + len")
+    cut = cut.select(F.col("g0").alias("g1"), F.col("a0").alias("g2"), "kd", "kt", F.col("s0").alias("start"), F.col("l0").alias("len"), F.col("w0").alias("w"), F.col("r0").alias("real"), F.expr(f"substring(ctx, s0 - start + 1, l0 - 1 + {window})").alias("ctx"))
+    items = s.save(cut.mapInArrow(_refine(window, 1), kind).drop("ahead", "gram"), "suffixes")
     s.drop(context, todo)
     classes, same4 = _digit(s, items, "suffix", [])
     s.drop(items, classes)
