@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, license_scan, minhash_dedup, packing, quality, secret_scan, suffix_dedup
+from . import audio, embedding_dedup, license_scan, minhash_dedup, packing, pieces, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
     "op2_license_scan": license_scan.op2,
     "op3_suffix_array_dedup": suffix_dedup.op3,
+    "op4_audio_features": audio.op4,
+    "op5_url_filter": url_filter.op5,
     "op6_minhash_near_dedup": minhash_dedup.op6,
     "op7_best_fit_packing": packing.op7,
+    "op8_sentencepiece": pieces.op8,
     "op9_embedding_near_dedup": embedding_dedup.op9,
     "op10_quality_classifier": quality.op10,
 }
@@ -17,4 +20,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
 }
