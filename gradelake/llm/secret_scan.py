@@ -121,14 +121,15 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))),
     )
     cuts = spans.select("kd", "kt", merged.alias("cuts"))
-    d = docs.select("*", *doc_key()).join(cuts, ["kd", "kt"], "left")
+    others = [c for c in columns if c != "text"]
+    d = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), "text", *doc_key()).join(cuts, ["kd", "kt"], "left")
     body = lambda i: F.substring(  # noqa: E731  what stands before cut i, or after the last
         F.col("text"),
         (F.when(i > 0, F.col("cuts")[i - 1]["b"]).otherwise(F.lit(0)) + 1).cast("int"),
         F.coalesce(F.try_element_at("cuts", i + 1)["a"] - F.when(i > 0, F.col("cuts")[i - 1]["b"]).otherwise(F.lit(0)), F.lit(2**31 - 1)).cast("int"),
     )
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts")), body), MASK))
-    return d.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns])
+    return d.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

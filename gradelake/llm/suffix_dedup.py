@@ -284,10 +284,10 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return joined.mapInArrow(_cut(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
 
 
-def _strip(column: int, window: int):
+def _strip(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = view(batch.column(column))
+            raw, off = view(batch.column("text"))
             texts = []
             for i, ranges in enumerate(batch.column("ranges").to_pylist()):
                 doc = raw[off[i] : off[i + 1]]
@@ -302,8 +302,7 @@ def _strip(column: int, window: int):
                     at = b
                 kept.append(doc[at:].tobytes())
                 texts.append(b"".join(kept).decode())
-            cols = [pa.array(texts, pa.string()) if j == column else batch.column(j) for j in range(batch.num_columns) if batch.schema.names[j] != "ranges"]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != "ranges"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
@@ -312,14 +311,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every repeated window cut out of ``text``.
 
     The cut runs are those of :func:`suffix_dedup`, drawn in to whole UTF-8
-    characters so that the text stays valid.  All columns and rows stay; a text
-    that only repeats others becomes empty.
+    characters so that the text stays valid.  All columns and rows stay; a null text
+    becomes empty, and so does a text that only repeats others.
     """
     columns = docs.columns
-    d = docs.withColumns({"text": F.coalesce("text", F.lit(""))}).select(*columns, *doc_key())
+    others = [c for c in columns if c != "text"]
+    d = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), *doc_key())
     ranges = repeated_windows(d.select("kd", "kt", "text"), window)
-    joined = d.join(ranges, ["kd", "kt"], "left").select(*columns, "ranges")
-    return joined.mapInArrow(_strip(columns.index("text"), window), docs.select(*columns).schema)
+    joined = d.join(ranges, ["kd", "kt"], "left").select("row", "text", "ranges")
+    out = joined.mapInArrow(_strip(window), d.select("row", "text").schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_empty_and_clashing_columns(spark):
 
 def test_remove_repeats_keeps_valid_text(spark):
     rows = [(i, t, "x") for i, t in corpus(5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, ranges string")
     out = S.remove_repeats(df)
     assert out.columns == df.columns
     texts = [r.text for r in out.collect()]
