@@ -86,26 +86,37 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Connected components as ``(id, comp)``, ``comp`` the smallest id of each.
 
-    Hash-min with pointer jumping: each round takes the least label among the
-    neighbours (a grouped minimum with map-side combine) and then the label of
-    that label.  Edge lists stay in tables; the driver only sees a change count.
-    Rows with a null end are ignored.  Empty input gives an empty result.
+    Rounds of contraction: each vertex points to its least neighbour (or itself), a
+    pointer jump shortens the chains, and edges are redrawn between what they point to,
+    so that most edges are gone after one round.  Every step is a grouped minimum with
+    map-side combine or an equi-join with a unique side; the driver only learns whether
+    edges are left.  Rows with a null end are ignored.  Empty input gives an empty result.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    e = scratch.save(e.union(e.select("b", "a")).distinct(), "edges")
-    labels = scratch.save(e.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("comp")), "labels")
-    for _ in range(max_rounds):
-        near = e.join(labels, e.b == labels.id).groupBy("a").agg(F.min("comp").alias("m"))
-        low = labels.join(near, labels.id == near.a, "left").select("id", F.col("comp").alias("was"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        low = scratch.save(low, "low")
-        up = low.select(F.col("id").alias("r"), F.col("comp").alias("rc"))
-        new = scratch.save(low.join(up, low.comp == up.r, "left").select("id", "was", F.least("comp", F.coalesce("rc", "comp")).alias("comp")), "labels")
-        done = new.where("comp <> was").limit(1).count() == 0
-        scratch.drop(low, labels)
-        labels = new.select("id", "comp")
-        labels._scratch_path = new._scratch_path
-        if done:
-            scratch.drop(e)
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
+    def ordered(e: DataFrame) -> DataFrame:
+        e = e.where("a <> b")
+        return scratch.save(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    e = ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    steps: list[DataFrame] = []
+    for _ in range(max_rounds):
+        near = e.union(e.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("p"))
+        near = scratch.save(near, "near")
+        up = near.select(F.col("v").alias("w"), F.col("p").alias("q"))
+        to = scratch.save(near.join(up, near.p == up.w).select("v", F.col("q").alias("p")), "points")
+        scratch.drop(near)
+        steps.append(to)
+        at_a, at_b = to.select(F.col("v").alias("va"), F.col("p").alias("pa")), to.select(F.col("v").alias("vb"), F.col("p").alias("pb"))
+        left = ordered(e.join(at_a, e.a == at_a.va).join(at_b, e.b == at_b.vb).select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        scratch.drop(e)
+        e = left
+        if e.limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    labels = steps[-1]
+    for to in steps[-2::-1]:
+        top = labels.select(F.col("v").alias("w"), F.col("p").alias("q"))
+        labels = scratch.save(to.join(top, to.p == top.w, "left").select("v", F.coalesce("q", "p").alias("p")), "labels")
+    out = labels.select(F.col("v").alias("id"), F.col("p").alias("comp"))
+    return out
