@@ -20,12 +20,14 @@ from .common import Scratch, doc_key, table
 #: kind, role, strong, pattern, group that must be long enough, its least length.  Base kinds come first, in the order of their rank.
 KINDS = [
     ("assign", "secret", True, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", "identifier", True, r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", "secret", True, r"[0-9a-f]+", 0, 24),
+    ("access", "identifier", True, r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", "secret", True, r"[0-9a-f]{24,}", 0, 24),
     ("user", "identifier", False, r"""(?i)\b(user_?name|user|login|account_?id|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
     ("phrase", "secret", False, r"""(?i)\b(pass_?phrase|pass_?code|pwd|credential|private_?key|signature)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 4),
     ("endpoint", "endpoint", False, r"""(?i)\b(https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|s3)://([^\s/?#"'<>]+)""", 2, 3),
 ]
+#: The same kinds without a least length in the pattern.  A match takes its whole run, so a run that is too short fails either way.
+PLAIN = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 REACH = 200
 MASK = "[redacted]"
 
@@ -139,7 +141,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     scans, parts = [], []
     for r, (kind, role, strong, pattern, group, least) in enumerate(KINDS):
-        p = pattern.replace("'", "''")
+        p = PLAIN.get(kind, pattern).replace("'", "''")
         scans.append(f"regexp_extract_all(text, '{p}') AS m{r}, regexp_extract_all(text, '{p}', {group}) AS g{r}, string_split_regex(text, '{p}') AS p{r}")
         parts.append(
             f"SELECT doc_id, {r} AS rank, '{kind}' AS kind, '{role}' AS role, {strong} AS strong, i, "
