@@ -219,8 +219,8 @@ _CLAIMS = """claims AS (SELECT subject_code, CAST(k % 12 AS INT) AS lo, CAST(k %
 _PREDICT = """dated AS (SELECT *, epoch(exam_date) / 86400.0 AS day, max(epoch(exam_date) / 86400.0) OVER (PARTITION BY user_id, subject_code) AS newest FROM grade_records),
 weighed AS (SELECT *, day - newest AS t, pow(0.5, (newest - day) / 120.0) AS w, CASE source WHEN 'OFFICIAL_GSAT' THEN 0.0 WHEN 'EXTERNAL_MOCK' THEN 0.7 WHEN 'INTERNAL_MOCK' THEN 0.7 ELSE 0.9 END AS u,
   CASE source WHEN 'OFFICIAL_GSAT' THEN 0.0 WHEN 'EXTERNAL_MOCK' THEN 0.4 WHEN 'INTERNAL_MOCK' THEN 1.1 ELSE 1.3 END AS v FROM dated),
-sums AS (SELECT user_id, subject_code, count(*) AS records, max(newest) AS newest, sum(w) AS W, sum(w * w) AS W2, sum(w * t) / sum(w) AS anchor, sum(w * grade) / sum(w) AS mean, sum(w * u * u) / sum(w) + sum(w * v * v) / sum(w) AS src FROM weighed GROUP BY 1, 2),
-second AS (SELECT s.user_id, s.subject_code, any_value(records) AS records, any_value(mean) AS mean, any_value(W) AS sw, any_value(W * W / W2) AS n_eff, any_value(src) AS src, greatest(0.0, (epoch(TIMESTAMP '2002-01-20') / 86400.0 - any_value(s.newest) - any_value(anchor)) / 30.4375) AS months,
+sums AS (SELECT user_id, subject_code, count(*) AS records, max(newest) AS newest, sum(w) AS sw1, sum(w * w) AS sw2, sum(w * t) / sum(w) AS anchor, sum(w * grade) / sum(w) AS mean, sum(w * u * u) / sum(w) + sum(w * v * v) / sum(w) AS src FROM weighed GROUP BY 1, 2),
+second AS (SELECT s.user_id, s.subject_code, any_value(records) AS records, any_value(mean) AS mean, any_value(sw1) AS sw, any_value(sw1 * sw1 / sw2) AS n_eff, any_value(src) AS src, greatest(0.0, (epoch(TIMESTAMP '2002-01-20') / 86400.0 - any_value(s.newest) - any_value(anchor)) / 30.4375) AS months,
   sum(x.w * (x.grade - mean) * (x.grade - mean)) AS ss, sum(x.w * pow((x.t - anchor) / 30.4375, 2)) AS sxx, sum(x.w * (x.t - anchor) / 30.4375 * x.grade) AS sxy FROM sums s JOIN weighed x ON x.user_id = s.user_id AND x.subject_code = s.subject_code GROUP BY 1, 2),
 third AS (SELECT *, CASE WHEN n_eff > 1 + 1e-9 THEN ss / sw / (1 - 1 / n_eff) ELSE 1.44 END AS var, greatest(0.0, n_eff - 1) AS df, CASE WHEN n_eff > 2 THEN (n_eff - 2) / n_eff ELSE 0.0 END AS k FROM second),
 fourth AS (SELECT *, sqrt((df * var + 2 * 1.44) / (df + 2) * (1 + 1 / n_eff) + src + 0.2025 * months) AS down, coalesce(k * CASE WHEN sxx > 1e-9 THEN sxy / sxx END + (1 - k) * 0.15, 0.15) AS per_month FROM third),
@@ -332,7 +332,7 @@ SELECT user_id, answer, votes, floor(votes / 5 * 10000 + 0.5) / 10000 AS consist
         """SELECT question_id, k, n, floor(greatest(0, (k / n + 3.8416 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) * 1e6 + 0.5) / 1e6 AS low, floor(least(1, (k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) * 1e6 + 0.5) / 1e6 AS high
   FROM (SELECT question_id, count(*) FILTER (is_correct) AS k, count(*) AS n FROM answers WHERE is_correct IS NOT NULL GROUP BY 1)""", "answers"),
     "predict_weighted": T.sql("SELECT * FROM predicted", "grade_records", extra=_PREDICT),
-    "predict_sources": T.sql("SELECT user_id, subject_code, source, count(*) AS n, floor(sum(w) / any_value(t) * 10000 + 0.5) / 10000 AS weight_share FROM (SELECT *, sum(w) OVER (PARTITION BY user_id, subject_code) AS t FROM weighed) GROUP BY 1, 2, 3", "grade_records", extra=_PREDICT),
+    "predict_sources": T.sql("SELECT user_id, subject_code, source, count(*) AS n, floor(sum(w) / any_value(tw) * 10000 + 0.5) / 10000 AS weight_share FROM (SELECT *, sum(w) OVER (PARTITION BY user_id, subject_code) AS tw FROM weighed) GROUP BY 1, 2, 3", "grade_records", extra=_PREDICT),
     "predict_distribution": T.sql("SELECT * FROM dist", "grade_records", extra=_DIST),
     "predict_interval": T.sql(
         "SELECT e.user_id, e.subject_code, low, high, widened, least(0.99, floor((SELECT floor(sum(p) * 1e6 + 0.5) / 1e6 FROM dist d WHERE d.user_id = e.user_id AND d.subject_code = e.subject_code AND d.grade BETWEEN low AND high) * 100 + 0.5) / 100) AS confidence FROM ends e", "grade_records", extra=_RUNS),
