@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,18 +70,77 @@ def similar_texts(queries: DataFrame, candidates: DataFrame, k: int = 20, least:
     return s.withColumn("nth", nth).where(F.col("nth") <= k).select("query_id", "item_id", "similarity", "nth")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / (norm(a) * norm(b))
+def _block_pairs(threshold: float):
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or rows.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+        unit = lambda p: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.stack(p["v"].to_numpy()))
+        c = unit(queries) @ unit(rows).T
+        q, r = np.nonzero(c >= threshold)
+        out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "vec_id": rows["vec_id"].to_numpy()[r], "cosine": c[q, r]})
+        return out[out.query_id != out.vec_id]
+
+    return run
+
 
+def similar_vectors(queries: DataFrame, vectors: DataFrame, threshold: float = 0.92, block: int = 4096) -> DataFrame:
+    """A stated set of queries against all vectors: pairs at or above a cosine, in blocks of about ``block`` rows a side.
 
-def similar_vectors(queries: DataFrame, vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """A stated set of queries against all vectors: pairs at or above a cosine (queries are broadcast only if Spark sizes them so)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id"))
-    return pairs.withColumn("cosine", cosine(F.col("embedding"), F.col("q"))).where(F.col("cosine") >= threshold).select("query_id", "vec_id", round_half_up("cosine", 6).alias("cosine"))
+    Vectors that are null, zero or hold null components match nothing; all others must have one length.
+    """
+    def fine(df: DataFrame, key: str) -> DataFrame:
+        v = F.transform("embedding", lambda x: x.cast("double"))
+        ok = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()) & F.exists("v", lambda x: x != 0)
+        return df.select(F.col("vec_id").alias(key), v.alias("v")).where(ok)
+
+    q, x = fine(queries, "query_id"), fine(vectors, "vec_id")
+    nq, nx = (-(-max(1, df.count()) // block) for df in (queries, vectors))
+    q = q.withColumn("bq", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+    x = x.withColumn("bx", F.pmod(F.xxhash64("vec_id"), F.lit(nx)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    out = q.groupBy("bq", "bx").cogroup(x.groupBy("bq", "bx")).applyInPandas(_block_pairs(threshold), "query_id long, vec_id long, cosine double")
+    return out.select("query_id", "vec_id", round_half_up("cosine", 6).alias("cosine"))
+
+
+def _greedy(least: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf.side == s].sort_values("item") for s in (0, 1))
+        pairs = []
+        for a in left.itertuples():
+            m = SequenceMatcher(None, autojunk=False)
+            m.set_seq2(a.text)
+            for b in right.itertuples():
+                m.set_seq1(b.text)
+                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
+                    pairs.append((-r, a.item, b.item))
+        used_a, used_b, out = set(), set(), []
+        for r, a, b in sorted(pairs):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                out.append((key[0], a, b, round(-r, 6)))
+        return pd.DataFrame(out, columns=["doc", "left_item", "right_item", "ratio"])
+
+    return run
+
+
+def match_greedily(left: DataFrame, right: DataFrame, least: float = 0.62) -> DataFrame:
+    """Within each doc, left items to right ones by falling sequence-match ratio, each used once.
+
+    Both: doc (long), item (long), text.  A document's items are few (the questions of a
+    paper), so a group holds one document.
+    """
+    both = left.select("doc", "item", "text", F.lit(0).alias("side")).unionByName(right.select("doc", "item", "text", F.lit(1).alias("side")))
+    return both.where("text is not null").groupBy("doc").applyInPandas(_greedy(least), "doc long, left_item long, right_item long, ratio double")
+
+
+def contained(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Points to the boxes they lie in, borders included; of several boxes the smallest, then the least id.
+
+    points: keys, point_id, x, y; boxes: keys, box_id, x0, y0, x1, y1.  An equi-join on the page keeps both sides small.
+    """
+    j = points.join(boxes, keys).where("x between x0 and x1 and y between y0 and y1")
+    best = F.min_by("box_id", F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), "box_id"))
+    return j.groupBy(*keys, "point_id").agg(best.alias("box_id"), F.count("*").alias("boxes"))
 
 
 def section_totals(items: DataFrame, section: str, score: str, printed: str, tolerance: float = 0.01) -> DataFrame:

@@ -40,12 +40,18 @@ def overdue(expected: DataFrame, attempts: DataFrame, due: DataFrame, now, days:
     return expected.join(late, "assignment_id").join(attempts.where(F.col("status").isin(*FINISHED)), ["assignment_id", "user_id"], "left_anti").select("assignment_id", "user_id")
 
 
-def due_soon_digest(expected: DataFrame, attempts: DataFrame, due: DataFrame, now, hours: int = 24, busy: int = 20) -> DataFrame:
-    """Per user the assignments that fall due within ``hours`` and are not handed in; no row while busy or more sit an exam."""
+def due_soon_digest(expected: DataFrame, attempts: DataFrame, due: DataFrame, now, hours: int = 24, busy: int = 20, sitting_hours: int = 2) -> DataFrame:
+    """Per user the assignments that fall due within ``hours`` and are not handed in.
+
+    Nobody is told while ``busy`` or more attempts that began within ``sitting_hours`` are open.
+    """
     n = F.lit(now).cast("timestamp")
     soon = due.where((F.col("due_at") > n) & (F.col("due_at") <= n + F.expr(f"INTERVAL {hours} HOURS")))
     left = expected.join(soon, "assignment_id").join(attempts.where(F.col("status").isin(*FINISHED)), ["assignment_id", "user_id"], "left_anti")
-    return left.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("assignment_id").cast("string"))), ",").alias("assignments")).where(F.lit(busy) > 0)
+    g = left.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("assignment_id").cast("string"))), ",").alias("assignments"))
+    sitting = attempts.where((F.col("status") == "IN_PROGRESS") & F.col("started_at").between(n - F.expr(f"INTERVAL {sitting_hours} HOURS"), n))
+    calm = sitting.agg(F.count("*").alias("sitting")).where(F.col("sitting") < busy).select(F.lit(True).alias("calm"))  # one row or none
+    return g.withColumn("calm", F.lit(True)).join(F.broadcast(calm), "calm", "left_semi").select("user_id", "n", "assignments")
 
 
 def scope(items: DataFrame, taught: DataFrame, user_id, role: str, subject: str = "subject", owner: str = "created_by") -> DataFrame:
@@ -60,13 +66,17 @@ def scope(items: DataFrame, taught: DataFrame, user_id, role: str, subject: str
 
 
 def cohort_gate(assignments: DataFrame, now) -> DataFrame:
-    """Per assignment, over the others of its paper: unbounded (one has no due time), open until, blocked by how many."""
-    a = assignments.select("assignment_id", "paper_id")
-    o = assignments.select(F.col("assignment_id").alias("other"), "paper_id", "due_at")
+    """Per assignment, over all of its paper: unbounded (another has no due time), due_at (the latest still ahead, or its own) and blocked_by (how many others).
+
+    The sums per paper come from one grouped pass; an assignment's own part is taken out again, so no pair of assignments is formed.
+    """
     n = F.lit(now).cast("timestamp")
-    j = a.join(o, "paper_id").where("assignment_id <> other")
-    g = j.groupBy("assignment_id").agg(F.bool_or(F.col("due_at").isNull()).alias("unbounded"), F.max(F.when(F.col("due_at") > n, F.col("due_at"))).alias("open_until"), F.count_if(F.col("due_at").isNull() | (F.col("due_at") > n)).alias("blocked_by"))
-    return a.select("assignment_id").join(g, "assignment_id", "left").select("assignment_id", F.coalesce("unbounded", F.lit(False)).alias("unbounded"), "open_until", F.coalesce("blocked_by", F.lit(0)).alias("blocked_by"))
+    ahead = F.col("due_at") > n
+    g = assignments.groupBy("paper_id").agg(F.count_if(F.col("due_at").isNull()).alias("open_ended"), F.count_if(ahead).alias("ahead"), F.max(F.when(ahead, F.col("due_at"))).alias("last"))
+    j = assignments.join(g, "paper_id")
+    own_open, own_ahead = F.col("due_at").isNull().cast("int"), F.coalesce(ahead.cast("int"), F.lit(0))
+    unbounded = F.col("open_ended") - own_open > 0
+    return j.select("assignment_id", unbounded.alias("unbounded"), F.when(~unbounded, F.greatest("due_at", "last")).alias("due_at"), (F.col("open_ended") - own_open + F.col("ahead") - own_ahead).alias("blocked_by"))
 
 
 def visibility(policy: Column, status: Column, due_at: Column, released_at: Column, now) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import core, grading
+from . import core, documents, events, grading, relational, roster
 
-FAMILIES = [core, grading]
+FAMILIES = [core, grading, roster, documents, events, relational]
 QUERIES = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}

@@ -54,7 +54,7 @@ def class_stats_summary(s, d):
 
 
 def class_stats_questions(s, d):
-    return stats.by_question(T.attempts(s, d).where("assignment_id = 199801"), T.answers(s, d))
+    return stats.by_question(T.attempts(s, d), T.answers(s, d))
 
 
 def class_stats_scores(s, d):
@@ -179,7 +179,7 @@ ORACLES = {
         """SELECT d.assignment_id, question_id, count(*) AS answered, count(*) FILTER (is_correct) AS correct, floor(count(*) FILTER (is_correct) / any_value(n) * 100 * 10 + 0.5) / 10 AS correct_rate,
   floor(coalesce(sum(earned), 0) / (any_value(n) * max(score)) * 100 * 10 + 0.5) / 10 AS earned_rate, count(*) FILTER (is_correct IS NULL AND earned IS NULL) AS needs_review
   FROM answers a JOIN done d ON d.attempt_id = a.attempt_id GROUP BY 1, 2""", *_A,
-        extra="done AS (SELECT attempt_id, assignment_id, count(*) OVER (PARTITION BY assignment_id) AS n FROM attempts WHERE status <> 'IN_PROGRESS' AND assignment_id = 199801)"),
+        extra="done AS (SELECT attempt_id, assignment_id, count(*) OVER (PARTITION BY assignment_id) AS n FROM attempts WHERE status <> 'IN_PROGRESS')"),
     "class_stats_scores": T.sql("SELECT *, floor(cume_dist() OVER (PARTITION BY assignment_id ORDER BY total) * 100 * 10 + 0.5) / 10 AS percentile FROM scored", *_A, extra=_SCORES),
     "class_stats_missing": T.sql(
         "SELECT user_id, CAST(199501 + class_id % 7 * 100 AS INT) AS assignment_id FROM users u WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.user_id = u.user_id AND a.assignment_id = 199501 + class_id % 7 * 100 AND status <> 'IN_PROGRESS')", "attempts", "users"),

@@ -40,16 +40,17 @@ def grade_multi_partial(s, d):
 
 
 def _paper(s, d):
-    """Paper 1: parts 1..12 as items of three types; responses are line items of orders, one a part."""
-    p = T.scan(s, d, "part").where("p_partkey <= 12")
+    """Papers of twelve parts each, as items of three types; responses are line items of orders, one a part."""
+    p = T.scan(s, d, "part")
+    paper = lambda key: F.floor(F.col(key) / 12).alias("paper_id")
     pick = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
     items = p.select(
-        F.lit(1).alias("paper_id"), F.col("p_partkey").alias("question_id"), F.col("p_partkey").cast("int").alias("order"), pick("SINGLE", "MULTI", "ESSAY").alias("type"), F.lit(5.0).alias("score"),
-        F.when(F.col("p_partkey") % 3 == 0, F.array((F.col("p_partkey") % 4 + 1).cast("int"))).otherwise(F.array(F.lit(1), (F.col("p_partkey") % 4 + 2).cast("int"))).alias("correct_keys"), F.lit(5).alias("option_count"), (F.col("p_partkey") == 11).alias("award_all"),
+        paper("p_partkey"), F.col("p_partkey").alias("question_id"), F.col("p_partkey").cast("int").alias("order"), pick("SINGLE", "MULTI", "ESSAY").alias("type"), F.lit(5.0).alias("score"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array((F.col("p_partkey") % 4 + 1).cast("int"))).otherwise(F.array(F.lit(1), (F.col("p_partkey") % 4 + 2).cast("int"))).alias("correct_keys"), F.lit(5).alias("option_count"), (F.col("p_partkey") % 97 == 11).alias("award_all"),
     )
-    a = T.answers(s, d).where("question_id <= 12 and is_correct is not null")
+    a = T.answers(s, d).where("is_correct is not null")
     keys = F.when(F.col("is_correct"), F.array(F.lit(1), (F.col("question_id") % 4 + 2).cast("int"))).otherwise(F.array((F.col("question_id") % 4 + 1).cast("int")))
-    return items, a.select("attempt_id", F.lit(1).alias("paper_id"), "question_id", keys.alias("answer_keys"))
+    return items, a.select("attempt_id", paper("question_id"), "question_id", keys.alias("answer_keys"))
 
 
 def grade_attempt_items(s, d):
@@ -94,7 +95,7 @@ def review_priority(s, d):
 def vote_tally(s, d):
     e = T.scan(s, d, "events")
     keys = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("event_id") % 3 + 1).cast("int"), (F.col("event_id") % 2 + 1).cast("int")))
-    return grading.vote_tally(e.select("user_id", keys.alias("answer_keys"), F.col("event_id").alias("attempt_idx")).where("attempt_idx % 97 < 9"), "user_id", 5)
+    return grading.vote_tally(e.select(F.floor(F.col("event_id") / 5).alias("question_id"), keys.alias("answer_keys"), F.col("event_id").alias("attempt_idx")), "question_id", 5)
 
 
 def _claims(s, d):
@@ -151,7 +152,7 @@ def factor_loadings(s, d):
 
 def reliability_score(s, d):
     o = T.scan(s, d, "orders")
-    t = o.select((F.col("o_custkey") % 200).alias("wish_id"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "F").alias("official"), F.floor(F.col("o_totalprice") / 31250).cast("int").alias("grade")).where("year >= 1998")
+    t = o.select((F.col("o_custkey") % 200).alias("wish_id"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "F").alias("official"), F.floor(F.col("o_totalprice") / 31250).cast("int").alias("grade"))
     return placement.reliability(t, "wish_id", 2001)
 
 
@@ -202,11 +203,11 @@ QUERIES = {f.__name__: f for f in NAMES}
 _CHOICES = """choices AS (SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n, l_suppkey AS u, CAST(trunc(l_quantity) AS INT) AS q FROM lineitem),
 keyed AS (SELECT *, CASE WHEN u % 17 = 0 THEN [0] WHEN u % 19 = 0 THEN []::INT[] ELSE list_filter([1, 2, 3, 4, 5], lambda i: (q + i * n) % (i + 1) = 0) END AS got,
   list_filter([1, 2, 3, 4, 5], lambda i: (p + i) % 3 = 0) AS want, p % 5 + 1 AS one FROM choices)"""
-_PAPER = """items AS (SELECT p_partkey AS question_id, CAST(p_partkey AS INT) AS "order", (['SINGLE', 'MULTI', 'ESSAY'])[p_partkey % 3 + 1] AS type, p_partkey = 11 AS award,
-  CASE WHEN p_partkey % 3 = 0 THEN [p_partkey % 4 + 1] ELSE [1, p_partkey % 4 + 2] END AS want FROM part WHERE p_partkey <= 12),
-resp AS (SELECT attempt_id, question_id, CASE WHEN is_correct THEN [1, question_id % 4 + 2] ELSE [question_id % 4 + 1] END AS got FROM answers WHERE question_id <= 12 AND is_correct IS NOT NULL),
+_PAPER = """items AS (SELECT p_partkey AS question_id, CAST(p_partkey AS INT) AS "order", (['SINGLE', 'MULTI', 'ESSAY'])[p_partkey % 3 + 1] AS type, p_partkey % 97 = 11 AS award,
+  CASE WHEN p_partkey % 3 = 0 THEN [p_partkey % 4 + 1] ELSE [1, p_partkey % 4 + 2] END AS want, p_partkey // 12 AS paper_id FROM part),
+resp AS (SELECT attempt_id, question_id, CASE WHEN is_correct THEN [1, question_id % 4 + 2] ELSE [question_id % 4 + 1] END AS got FROM answers WHERE is_correct IS NOT NULL),
 cells AS (SELECT a.attempt_id, i.*, r.got, coalesce(len(r.got) > 0, false) AS answered, len(list_filter(i.want, lambda x: NOT list_contains(coalesce(r.got, []), x))) + len(list_filter(coalesce(r.got, []), lambda x: NOT list_contains(i.want, x))) AS off
-  FROM (SELECT DISTINCT attempt_id FROM resp) a CROSS JOIN items i LEFT JOIN resp r ON r.attempt_id = a.attempt_id AND r.question_id = i.question_id),
+  FROM (SELECT DISTINCT attempt_id, question_id // 12 AS paper_id FROM resp) a JOIN items i ON i.paper_id = a.paper_id LEFT JOIN resp r ON r.attempt_id = a.attempt_id AND r.question_id = i.question_id),
 marked AS (SELECT *, CASE type WHEN 'SINGLE' THEN CASE WHEN len(want) <> 1 THEN NULL WHEN coalesce(len(got), 0) <> 1 THEN 0.0 WHEN got[1] = want[1] THEN 5.0 ELSE 0.0 END
   WHEN 'MULTI' THEN CASE WHEN coalesce(len(got), 0) = 0 THEN 0.0 WHEN list_max(got) > 5 OR list_max(want) > 99 THEN NULL WHEN off = 0 THEN 5.0 ELSE floor(5.0 * greatest(5 - 2 * off, 0) / 5 * 1e6 + 0.5) / 1e6 END END AS auto FROM cells),
 graded AS (SELECT attempt_id, question_id, "order", type, answered, CASE WHEN award THEN 5.0 ELSE auto END AS earned, CASE WHEN NOT answered THEN 'BLANK' WHEN auto IS NULL THEN 'PENDING' WHEN auto >= 5 THEN 'CORRECT' WHEN auto > 0 THEN 'PARTIAL' ELSE 'WRONG' END AS verdict FROM marked)"""
@@ -317,10 +318,10 @@ ORACLES = {
   floor(count(*) FILTER (state = 'ACCEPTED') / nullif(count(*) FILTER (state <> 'PENDING'), 0) * 10000 + 0.5) / 10000 AS adoption, count(*) FILTER (state <> 'PENDING') >= 20 AS enough FROM proposals GROUP BY 1""", extra=_PROPOSALS),
     "review_priority": T.sql(
         """SELECT event_id, question_id, pr AS priority, CAST(row_number() OVER (PARTITION BY question_id ORDER BY pr, event_id) AS INT) AS position FROM (SELECT *, CASE WHEN state <> 'PENDING' THEN 10.0 WHEN suggested IS NULL THEN -2.0 WHEN unstable THEN -1.0 ELSE confidence END AS pr FROM proposals)""", extra=_PROPOSALS),
-    "vote_tally": """WITH v AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct([event_id % 3 + 1, event_id % 2 + 1])), ',') END AS answer FROM events WHERE event_id % 97 < 9),
-best AS (SELECT user_id, answer, count(*) AS n, min(event_id) AS f FROM v GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) = 1),
-w AS (SELECT user_id, answer, CASE WHEN answer = '' THEN 0 ELSE n END AS votes FROM best)
-SELECT user_id, answer, votes, floor(votes / 5 * 10000 + 0.5) / 10000 AS consistency, CASE WHEN votes / 5 >= 0.99 THEN 'high' WHEN votes / 5 >= 0.6 THEN 'mid' ELSE 'low' END AS tier, votes / 5 >= 0.6 AS autofill FROM w""",
+    "vote_tally": """WITH v AS (SELECT event_id // 5 AS question_id, event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct([event_id % 3 + 1, event_id % 2 + 1])), ',') END AS answer FROM events),
+best AS (SELECT question_id, answer, count(*) AS n, min(event_id) AS f FROM v GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, min(event_id)) = 1),
+w AS (SELECT question_id, answer, CASE WHEN answer = '' THEN 0 ELSE n END AS votes FROM best)
+SELECT question_id, answer, votes, floor(votes / 5 * 10000 + 0.5) / 10000 AS consistency, CASE WHEN votes / 5 >= 0.99 THEN 'high' WHEN votes / 5 >= 0.6 THEN 'mid' ELSE 'low' END AS tier, votes / 5 >= 0.6 AS autofill FROM w""",
     "calibration_curve": T.sql(
         """SELECT subject_code, CAST(band AS INT) AS band, n, hit, CASE WHEN n > 0 THEN floor(hit / n * 10000 + 0.5) / 10000 END AS hit_rate, floor(claimed * 10000 + 0.5) / 10000 AS claimed, floor(low * 10000 + 0.5) / 10000 AS low, floor(high * 10000 + 0.5) / 10000 AS high,
   CASE WHEN n >= 10 AND claimed - hit / n > 0.15 AND high < claimed THEN 'OVER' WHEN n >= 10 AND hit / n - claimed > 0.15 AND low > claimed THEN 'UNDER' END AS alert FROM (
@@ -342,7 +343,7 @@ SELECT user_id, answer, votes, floor(votes / 5 * 10000 + 0.5) / 10000 AS consist
   JOIN (SELECT class_id, CASE WHEN count(observed) = count(*) THEN 'OWN' WHEN count(observed) > 0 THEN 'MIXED' ELSE 'DEFAULT' END AS source FROM pairs GROUP BY 1) s USING (class_id) GROUP BY 1, 2""", "grade_records", "users", extra=_CORR),
     "reliability_score": """SELECT wish_id, years, score, CASE WHEN score < 0.4 THEN 'NO_ESTIMATE' WHEN score < 0.7 THEN 'HIGH_UNCERTAINTY' ELSE 'NORMAL' END AS tier FROM (SELECT wish_id, years,
   floor((CASE least(years, 3) WHEN 0 THEN 0.3 WHEN 1 THEN 0.55 WHEN 2 THEN 0.8 ELSE 1.0 END)::DOUBLE * (CASE 2001 - last WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.78 WHEN 3 THEN 0.62 ELSE 0.45 END)::DOUBLE * greatest(0.5, 1 - coalesce(sd, 0) / 6) * 10000 + 0.5) / 10000 AS score FROM (
-  SELECT o_custkey % 200 AS wish_id, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) END) AS years, max(year(o_orderdate)) AS last, stddev_samp(CAST(floor(o_totalprice / 31250) AS INT)) AS sd FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1))""",
+  SELECT o_custkey % 200 AS wish_id, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) END) AS years, max(year(o_orderdate)) AS last, stddev_samp(CAST(floor(o_totalprice / 31250) AS INT)) AS sd FROM orders GROUP BY 1))""",
     "mulberry32_stream": f"WITH ks AS (SELECT unnest(range(5000)) AS k),\n{_UNIFORM}\nSELECT k, u FROM uniforms",
     "placement_draws": f"WITH {_sql_draws()}\nSELECT * FROM draws",
     "placement_montecarlo": f"WITH {_sql_results()}\nSELECT wish, passes, failed_qualify, failed_sieve, floor(passes / {DRAWS} * 10000 + 0.5) / 10000 AS rate, CASE WHEN passes / {DRAWS} < 0.3 THEN 'SPRINT' WHEN passes / {DRAWS} > 0.7 THEN 'SAFE' ELSE 'STEADY' END AS risk FROM (SELECT wish, count(*) FILTER (cause IS NULL) AS passes, count(*) FILTER (cause = 'QUALIFY') AS failed_qualify, count(*) FILTER (cause LIKE 'SIEVE%') AS failed_sieve FROM results GROUP BY 1)",

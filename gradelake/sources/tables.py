@@ -116,6 +116,17 @@ def proctor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat_ws("-", F.col("user_id").cast("string"), day).alias("attempt_id"), "user_id", kind.alias("type"), F.col("ts").alias("at"), (F.col("value") * 100).cast("long").alias("duration_ms"), "event_id")
 
 
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """assignment_id, paper_id, open_at, due_at (null for every fifth), policy, released_at (null for odd ones)."""
+    a = attempts(spark, sf_dir).select("assignment_id").distinct()
+    year, quarter = F.floor(F.col("assignment_id") / 100).cast("int"), F.col("assignment_id") % 100
+    opened = F.make_timestamp(year, ((quarter - 1) * 3 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    due = F.when(F.col("assignment_id") % 5 != 0, opened + F.expr("INTERVAL 3 MONTHS"))
+    policy = F.element_at(F.array(*[F.lit(x) for x in ("IMMEDIATE", "ON_SUBMIT", "ON_DUE", "MANUAL", "NEVER")]), (year % 5 + 1).cast("int"))
+    released = F.when(F.col("assignment_id") % 2 == 0, opened + F.expr("INTERVAL 4 MONTHS"))
+    return a.select("assignment_id", (F.col("assignment_id") % 6).alias("paper_id"), opened.alias("open_at"), due.alias("due_at"), policy.alias("policy"), released.alias("released_at"))
+
+
 def for_tenant(df: DataFrame, tenant_id, column: str = "tenant_id") -> DataFrame:
     """Rows of one tenant; without a tenant nothing matches (closed by default)."""
     return df.where(F.lit(False)) if tenant_id is None else df.where(F.col(column) == tenant_id)
@@ -141,9 +152,12 @@ CTES = {
     "wishes": """wishes AS (SELECT user_id, percentile, c2.n_name AS institution, CAST((user_id + wish_rank - 1) % 8 + 1 AS INT) AS star_group, CAST(wish_rank AS INT) AS wish_rank FROM
   (SELECT c_custkey AS user_id, c_nationkey, 100 * cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS percentile FROM customer) u
   CROSS JOIN (SELECT unnest([1, 2, 3]) AS wish_rank) JOIN nation c2 ON c2.n_nationkey = (u.c_nationkey + (wish_rank - 1) * 7) % 25)""",
+    "assignments": """assignments AS (SELECT assignment_id, assignment_id % 6 AS paper_id, open_at, CASE WHEN assignment_id % 5 <> 0 THEN open_at + INTERVAL 3 MONTHS END AS due_at,
+  (['IMMEDIATE', 'ON_SUBMIT', 'ON_DUE', 'MANUAL', 'NEVER'])[assignment_id // 100 % 5 + 1] AS policy, CASE WHEN assignment_id % 2 = 0 THEN open_at + INTERVAL 4 MONTHS END AS released_at
+  FROM (SELECT DISTINCT assignment_id, make_timestamp(assignment_id // 100, (assignment_id % 100 - 1) * 3 + 1, 1, 0, 0, 0) AS open_at FROM attempts))""",
     "proctor_events": """proctor_events AS (SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS attempt_id, user_id,
   CASE event_type WHEN 'view' THEN 'TAB_VISIBLE' WHEN 'click' THEN 'WINDOW_FOCUS' WHEN 'error' THEN 'FULLSCREEN_EXIT' WHEN 'signup' THEN 'FULLSCREEN_ENTER' WHEN 'purchase' THEN 'PASTE' END AS type,
-  ts AS at, CAST(trunc(value * 100) AS BIGINT) AS duration_ms, event_id FROM events)""",
+  ts AS seen, CAST(trunc(value * 100) AS BIGINT) AS duration_ms, event_id FROM events)""",
 }
 
 
