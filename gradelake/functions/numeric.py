@@ -41,7 +41,7 @@ def share(part, whole, digits: int = 4) -> Column:
 
 def wilson(hits, n, z: float = 1.96) -> tuple[Column, Column]:
     """The Wilson score interval (low, high) of hits out of n; null where n is 0."""
-    h, m = col(hits).cast("double"), col(n).cast("double")
+    h, m = col(hits).cast("double"), F.nullif(col(n).cast("double"), F.lit(0.0))
     p, zz = h / m, z * z
     mid = p + zz / (2 * m)
     half = F.lit(z) * F.sqrt(p * (1 - p) / m + zz / (4 * m * m))

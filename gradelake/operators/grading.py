@@ -90,7 +90,7 @@ def calibration_curve(rows: DataFrame, group: list[str]) -> DataFrame:
     frame = rows.select(*group).distinct().withColumn("band", F.explode(F.array(*[F.lit(i) for i in range(len(BANDS))])))
     low, high = wilson("hit", "n")
     out = frame.join(g, [*group, "band"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "hit": F.coalesce("hit", F.lit(0))}).withColumns({"low": low, "high": high})
-    rate = F.col("hit") / F.col("n")
+    rate = F.col("hit") / F.nullif("n", F.lit(0))
     sure = (F.col("n") >= MIN_CALIBRATION)
     alert = F.when(sure & (F.col("claimed") - rate > MARGIN) & (F.col("high") < F.col("claimed")), "OVER").when(sure & (rate - F.col("claimed") > MARGIN) & (F.col("low") > F.col("claimed")), "UNDER")
     return out.select(*group, "band", "n", "hit", share("hit", "n").alias("hit_rate"), round_half_up("claimed", 4).alias("claimed"), round_half_up("low", 4).alias("low"), round_half_up("high", 4).alias("high"), alert.alias("alert"))

@@ -72,10 +72,12 @@ def named_columns(tables: DataFrame, aliases: dict[str, list[str]]) -> DataFrame
     """(path, line, <field> ...) from ``read_tables``: each field is the first column of the file's first row that one of its names fits."""
     head = tables.groupBy("path").agg(F.min_by("cells", "line").alias("head"), F.min("line").alias("first"))
     names = F.transform("head", normal_header)
-    at = {}
-    for field, options in aliases.items():
+
+    def place(options: list[str]) -> Column:
         fits = F.array(*[normal_header(F.lit(o)) for o in options])
-        at[field] = F.array_position(F.transform(names, lambda h, fits=fits: F.array_contains(fits, h)), True)
+        return F.array_position(F.transform(names, lambda h: F.array_contains(fits, h)), True)
+
+    at = {field: place(options) for field, options in aliases.items()}
     head = head.select("path", "first", *[F.when(p > 0, p).cast("int").alias(f"_{f}") for f, p in at.items()])
     body = tables.join(head, "path").where(F.col("line") > F.col("first"))
     return body.select("path", "line", *[F.trim(F.try_element_at("cells", F.col(f"_{f}"))).alias(f) for f in aliases])

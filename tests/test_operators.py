@@ -127,7 +127,7 @@ def test_upsert_and_violations(spark):
 
 
 def test_uploaded_tables_in_several_encodings(spark, tmp_path):
-    text = '學號（必填）,姓名\r\n"a,1","王""小"明"\r\n,\r\nb2,李四\r\n'
+    text = '學號（必填）,姓名\r\n"a,1","王""小""明"\r\n,\r\nb2,李四\r\n'
     for name, raw in {"u8.csv": b"\xef\xbb\xbf" + text.encode(), "big5.csv": text.encode("big5"), "u16.csv": b"\xff\xfe" + text.encode("utf-16-le")}.items():
         (tmp_path / name).write_bytes(raw)
     t = files.read_tables(spark, f"file://{tmp_path}")
