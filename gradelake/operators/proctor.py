@@ -63,3 +63,33 @@ def late_filter(events: DataFrame, closes: DataFrame, late_ms: int = LATE_MS, mo
     w = Window.partitionBy("attempt_id", late).orderBy("at", "event_id")
     nth = F.row_number().over(w)
     return j.withColumn("late", late).withColumn("nth", nth).select("event_id", "attempt_id", F.when(F.col("late"), "CLOSED").when(F.col("nth") > most, "FULL").otherwise("OK").alias("fate"))
+
+
+def away_segments(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """Raw signals (keys, seq, kind, at_ms) to away records: keys, type, at_ms, duration_ms, bursts.
+
+    Away is hidden or without focus.  Absences with at most MERGE_MS between them are one,
+    merged ones below SHORT_MS go, those of LONG_MS or more are LONG_ABSENCE; one that has
+    not ended has no record, and neither has what it continues.  Running flags and two island
+    numbers over one partitioning by key.
+    """
+    w = Window.partitionBy(*keys).orderBy("at_ms", "seq")
+    flag = lambda on, off: F.coalesce(F.last(F.when(F.col("kind") == on, True).when(F.col("kind") == off, False), ignorenulls=True).over(w), F.lit(False))
+    s = signals.withColumn("hid", flag("hidden", "visible")).withColumn("away", F.col("hid") | flag("blur", "focus"))
+    s = s.withColumn("was", F.coalesce(F.lag("away").over(w), F.lit(False)))
+    s = s.withColumn("seg", F.sum((F.col("away") & ~F.col("was")).cast("int")).over(w)).where("away or was")
+    seg = s.groupBy(*keys, "seg").agg(F.min("at_ms").alias("start"), F.max(F.when(~F.col("away"), F.col("at_ms"))).alias("end"), F.bool_or(F.col("hid") & F.col("away")).alias("hid"))
+    order = Window.partitionBy(*keys).orderBy("seg")
+    new = F.coalesce(F.col("start") - F.lag("end").over(order) > MERGE_MS, F.lit(True))
+    seg = seg.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order))
+    g = seg.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("at_ms"), F.bool_or("hid").alias("hid"), F.bool_or(F.col("end").isNull()).alias("open"), F.count("*").alias("bursts"))
+    g = g.withColumn("duration_ms", F.col("at_ms") - F.col("start")).where(~F.col("open") & (F.col("duration_ms") >= SHORT_MS))
+    kind = F.when(F.col("duration_ms") >= LONG_MS, "LONG_ABSENCE").when(F.col("hid"), "TAB_VISIBLE").otherwise("WINDOW_FOCUS")
+    return g.select(*keys, kind.alias("type"), "at_ms", "duration_ms", "bursts")
+
+
+def pastes(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """Pastes (keys, seq, at_ms, chars) that follow within MERGE_MS as one: the last moment, characters and count."""
+    w = Window.partitionBy(*keys).orderBy("at_ms", "seq")
+    s = signals.withColumn("new", F.coalesce((F.col("at_ms") - F.lag("at_ms").over(w) > MERGE_MS).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    return s.groupBy(*keys, "run").agg(F.max("at_ms").alias("at_ms"), F.sum(F.greatest(F.coalesce("chars", F.lit(0)), F.lit(0))).alias("chars"), F.count("*").alias("count")).drop("run")

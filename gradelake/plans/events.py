@@ -32,6 +32,21 @@ def proctor_sessions(s, d):
     return x.select("user_id", "session", "events", F.unix_millis("started_at").alias("started_ms"), "length_ms")
 
 
+def _signals(s, d):
+    """Events with their times drawn together 120-fold, so that absences of seconds occur."""
+    kinds = {"view": "hidden", "click": "visible", "purchase": "blur", "signup": "focus"}
+    kind = F.create_map(*[F.lit(x) for p in kinds.items() for x in p])[F.col("event_type")]
+    return T.scan(s, d, "events").select("user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.floor(F.unix_millis("ts") / 1200).alias("at_ms"), F.floor("value").alias("chars"))
+
+
+def proctor_away(s, d):
+    return proctor.away_segments(_signals(s, d), ["user_id"])
+
+
+def proctor_pastes(s, d):
+    return proctor.pastes(_signals(s, d).where("kind = 'blur'").drop("kind"), ["user_id"])
+
+
 def late_event_filter(s, d):
     e = T.proctor_events(s, d)
     closes = e.groupBy("attempt_id").agg((F.min("at") + F.expr("INTERVAL 6 HOURS")).alias("closed_at"))
@@ -114,7 +129,7 @@ def connected_components(s, d):
 
 
 NAMES = [
-    proctor_summary, proctor_baseline, proctor_outliers, proctor_sessions, late_event_filter, notify_schedule, notify_dedupe, delivery_states, stream_tumbling, stream_sessions, stream_on_time, stream_throttle, graph_closure, graph_cycles, graph_levels, connected_components,
+    proctor_summary, proctor_baseline, proctor_outliers, proctor_sessions, proctor_away, proctor_pastes, late_event_filter, notify_schedule, notify_dedupe, delivery_states, stream_tumbling, stream_sessions, stream_on_time, stream_throttle, graph_closure, graph_cycles, graph_levels, connected_components,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -129,7 +144,18 @@ _E = """edges AS (SELECT DISTINCT src, dst FROM (SELECT n_nationkey::BIGINT AS s
   UNION SELECT n_nationkey, CASE n_nationkey WHEN 24 THEN 20 ELSE n_nationkey + 1 END FROM nation WHERE n_nationkey >= 20 UNION SELECT 5, 21)"""
 _REACH = f"""WITH RECURSIVE {_E}, walk(src, dst, hops) AS (SELECT src, dst, 1 FROM edges UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.src = w.dst WHERE w.hops < 30),
 reach AS (SELECT src, dst, min(hops) AS hops FROM walk GROUP BY 1, 2)"""
+_SIGNALS = "signals AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'hidden' WHEN 'click' THEN 'visible' WHEN 'purchase' THEN 'blur' WHEN 'signup' THEN 'focus' END AS kind, epoch_us(ts) // 1000 // 1200 AS at_ms, CAST(floor(value) AS BIGINT) AS chars FROM events)"
 ORACLES = {
+    "proctor_away": f"""WITH {_SIGNALS},
+flags AS (SELECT *, coalesce(last_value(CASE kind WHEN 'hidden' THEN true WHEN 'visible' THEN false END IGNORE NULLS) OVER w, false) AS hid, coalesce(last_value(CASE kind WHEN 'blur' THEN true WHEN 'focus' THEN false END IGNORE NULLS) OVER w, false) AS blurred FROM signals WINDOW w AS (PARTITION BY user_id ORDER BY at_ms, seq)),
+moves AS (SELECT *, hid OR blurred AS away, coalesce(lag(hid OR blurred) OVER (PARTITION BY user_id ORDER BY at_ms, seq), false) AS was FROM flags),
+numbered AS (SELECT *, sum(CAST(away AND NOT was AS INT)) OVER (PARTITION BY user_id ORDER BY at_ms, seq) AS seg FROM moves),
+segs AS (SELECT user_id, seg, min(at_ms) AS s, max(at_ms) FILTER (NOT away) AS e, bool_or(hid AND away) AS hid FROM numbered WHERE away OR was GROUP BY 1, 2),
+chained AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY seg) AS island FROM (SELECT *, CAST(coalesce(s - lag(e) OVER (PARTITION BY user_id ORDER BY seg) > 2000, true) AS INT) AS new FROM segs)),
+whole AS (SELECT user_id, island, min(s) AS s, max(e) AS at_ms, bool_or(hid) AS hid, bool_or(e IS NULL) AS is_open, count(*) AS bursts FROM chained GROUP BY 1, 2)
+SELECT user_id, CASE WHEN at_ms - s >= 30000 THEN 'LONG_ABSENCE' WHEN hid THEN 'TAB_VISIBLE' ELSE 'WINDOW_FOCUS' END AS type, at_ms, at_ms - s AS duration_ms, bursts FROM whole WHERE NOT is_open AND at_ms - s >= 1500""",
+    "proctor_pastes": f"""WITH {_SIGNALS} SELECT user_id, max(at_ms) AS at_ms, CAST(sum(greatest(chars, 0)) AS BIGINT) AS chars, count(*) AS count FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY at_ms, seq) AS run FROM (
+  SELECT *, coalesce(CAST(at_ms - lag(at_ms) OVER (PARTITION BY user_id ORDER BY at_ms, seq) > 2000 AS INT), 1) AS new FROM signals WHERE kind = 'blur')) GROUP BY user_id, run""",
     "proctor_summary": T.sql("SELECT * FROM summary", "proctor_events", extra=_SUMMARY),
     "proctor_baseline": T.sql("SELECT * FROM base", "proctor_events", extra=_DAYS),
     "proctor_outliers": T.sql(
