@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     touched = s.save(star.select("node").union(star.select("hub")).distinct(), "touched")
     need = stand.join(touched, "node", "left_semi").select("node", "kd", "kt")
     need = s.save(need, "need")
-    texts = d.select("kd", "kt", "text").join(need.hint("merge"), ["kd", "kt"])  # the same plan at every size.select("node", "text")
+    # a merge join: the same plan at every size
+    texts = d.select("kd", "kt", "text").join(need.hint("merge"), ["kd", "kt"]).select("node", "text")
     sets = s.save(texts.mapInArrow(_sets(k), "node long, items array<long>"), "sets")
     links = _confirm(s, star, sets, num, den)
     comp = components(s, links, "hub", "node").withColumnRenamed("id", "node")
