@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, table
 
 THRESHOLD = 0.9
-#: Vectors that centroids are fitted on, at most; vectors in one block.
-SAMPLE, BLOCK = 16_384, 2048
-#: Margin of the production query.  The exact one, 0.436 at 0.9, visits nearly every cell in 64 dimensions; at 0.2 a pair is
-#: lost only if it straddles a border from farther off on both sides than noise in 64 dimensions leads (measured recall 1.0).
-MARGIN = 0.2
+#: Vectors that centroids are fitted on, at most; vectors in one block; vectors a cell on average.  At the exact margin a vector
+#: visits up to half of the cells, so cells are few and large: below a few thousand vectors a cell, visits outgrow what cells save.
+SAMPLE, BLOCK, CELL = 16_384, 2048, 8192
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -97,6 +95,8 @@ def _compare(threshold: float):
         near = x @ y.T >= threshold
         if bi == bj:
             np.fill_diagonal(near, False)
+        if not near.any():
+            return pd.DataFrame({"vec": [], "n": [], "root": []}, dtype="int64")
         out = {}
         for names, count in ((ids, near @ v), (jds, near.T @ w) if bi != bj else (ids[:0], w[:0])):
             for a, n in zip(names.tolist(), count.tolist(), strict=True):
@@ -125,7 +125,7 @@ def embedding_links(s: Scratch, vectors: DataFrame, threshold: float, cells: int
     """vectors: vec, weight, dim, embedding (distinct) to (vec, n, root) rows, several a vector."""
     size = vectors.agg(F.count("*").alias("n"), F.mode("dim").alias("dim")).first()
     n, dim = size["n"], size["dim"] or 1
-    k = cells or int(min(1024, max(1, math.sqrt(n) / 4)))
+    k = cells or min(1024, max(1, n // CELL))
     sample = vectors.where(F.col("dim") == dim).where(F.rand(17) < min(1.0, 2 * SAMPLE / max(n, 1))).select("embedding").limit(SAMPLE).toPandas()
     if len(sample):
         x = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
@@ -179,4 +179,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int |
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"), margin=MARGIN)
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -55,3 +55,15 @@ def test_recall_on_the_table(spark):
     near = x @ x.T >= 0.9
     want = dict(zip(p.vec_id, near.sum(1) - 1))
     assert {r.vec_id: r.n_links for r in E.near_vectors(df).collect()} == want
+
+
+def test_the_query_finds_links_across_many_borders(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(E, "CELL", 150, raising=False)
+    r = np.random.default_rng(6)
+    x = (r.standard_normal((3000, 4)) @ r.standard_normal((4, 64)) + 0.02 * r.standard_normal((3000, 64))).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = ((y @ y.T >= 0.9).sum(1) - 1).tolist()
+    assert sum(want) > 3000
+    got = {r.vec_id: r.n_links for r in E.op9(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(x))] == want
