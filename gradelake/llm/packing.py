@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, table
-from .tokens import byte_bpe
+from .tokens import document_bpe
 
 SIZE = 1024
 END = 2
@@ -99,7 +99,7 @@ def best_fit_plan(counts: dict[int, int], size: int = SIZE) -> np.ndarray:
 
 def _pieces(path: str | None, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path)
+        encode = document_bpe(path)
         seen = np.zeros(size + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch in batches:
@@ -148,8 +148,8 @@ def pack(docs: DataFrame, size: int = SIZE, end: int = END, tokenizer: str | Non
     docs: doc_id (long) and text; other columns are not read.  A document is its
     token ids and ``end``; a longer one than ``size`` is cut into full pieces after a
     shorter first one.  Returns per piece doc_id, piece, start, length, ids_crc32,
-    sequence_id and offset.  A null or empty text is the ``end`` token alone; repeated
-    rows are packed each; null ids stay null; an empty table gives an empty result.
+    sequence_id and offset.  The string of an added token in a text is that token.
+    A null or empty text is the ``end`` token alone; repeated rows are packed each; null ids stay null; an empty table gives an empty result.
     """
     s = Scratch(docs.sparkSession, "packing")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -92,3 +92,20 @@ def test_round_trip(spark):
     assert sorted((str(p.doc_id), p.piece, p.start, p.length, p.ids_crc32) for p in got) == sorted(want)
     assert len(places) == len(plain_best_fit([p.length for p in got], 1024))
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_in_texts_are_one_id_each(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "x" * 50 + "<|endoftext|>" * 1500, " é 漢<|endoftext|>  y", ""]
+    got = {(p.doc_id, p.piece): p for p in P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = 0
+    for i, text in enumerate(texts):
+        ids = np.append(np.array(t.encode(text, add_special_tokens=False).ids, np.uint32), P.END).astype("<u4")
+        first = len(ids) % 1024 or 1024
+        for k, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], range(first, len(ids) + 1, 1024))):
+            n += 1
+            assert (got[i, k].start, got[i, k].length, got[i, k].ids_crc32) == (a, b - a, zlib.crc32(ids[a:b].tobytes())), text
+    assert n == len(got)
