@@ -31,6 +31,30 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby4",
     "all rights reserved": "reserved",
 }
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_OBTAIN = "you may obtain a copy of the license at"
+_ASIS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"
+_NOWARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and"
+_ENDORSE = "contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Whole sentences of the licences as published, and the identifiers that each stands for (the SQL knows the sentences above only).
+WHOLE = {
+    "licensed under the apache license version 2 0 the license": "apache2",
+    f"{_OBTAIN} http www apache org licenses license 2 0": "obtain",
+    f"{_OBTAIN} https www apache org licenses license 2 0": "obtain",
+    _ASIS: "asis-law",
+    f"{_ASIS} either express or implied": "asis-law",
+    _MIT: "mit-grant",
+    f"{_NOWARRANTY} noninfringement": "nowarranty",
+    f"{_NOWARRANTY} non infringement": "nowarranty",
+    _GPL: "gpl-terms",
+    f"{_GPL} either version 3 of the license or at your option any later version": "gpl-terms|gpl3-later",
+    f"{_GPL} either version 2 of the license or at your option any later version": "gpl-terms|gpl2-later",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    f"neither the name of the copyright holder nor the names of its {_ENDORSE}": "bsd-endorse",
+}
+#: The endorsement clause names its holder.
+_HOLDER = "^(?:3 )?neither the name of [a-z0-9 ]{1,200}? nor the names of (?:its|their|any|other|the) contributors"
 #: Ordered rules: the first that fits a place wins over later ones.  A rule is a sequence of sentence identifiers that follow each other, other sentences left out.
 RULES = [
     ("Apache-2.0", ["apache2", "compliance", "obtain", "asis-law"]),
@@ -52,13 +76,27 @@ RULES = [
 ]
 #: A sentence ends at a line break, ';', or at one of '.!?:' before white space or the end of the text.
 _ENDS = r"[\n\r;]+|[.!?:]+(\s+|$)"
+#: A wrapped sentence goes on over single line breaks: it ends at a line without letters and digits, or as above.
+_WRAPPED_ENDS = r";+|[.!?:]+(\s+|$)|(?>\r\n|\r|\n)(?>[^a-z0-9\r\n;]*)(?>\r\n|\r|\n)"
+#: A copyright line stands alone.
+_COPYRIGHT = r"(?m)^([^a-z0-9\r\n]*copyright[^\r\n]*)(?>\r\n|\r|\n)"
+
+
+def _known(part: Column) -> Column:
+    """The identifiers of a normalised sentence, or null."""
+    table_ = F.create_map(*[F.lit(x) for pair in (SENTENCES | WHOLE).items() for x in pair])
+    clean = F.trim(F.regexp_replace(part, "[^a-z0-9]+", " "))
+    holder = F.regexp_replace(clean, _HOLDER, "neither the name of the copyright holder nor the names of its contributors")
+    return F.try_element_at(table_, F.when(F.contains(clean, F.lit("neither the name of")), holder).otherwise(clean))
 
 
 def _sequence(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    clean = F.transform(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _ENDS, -1), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(clean, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    """The identifiers of the known sentences of a text, in order; what is no known sentence over its line breaks is read line by line."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parts = F.split(F.regexp_replace(low, _COPYRIGHT, "$1\n\n"), _WRAPPED_ENDS, -1)
+    lines = lambda x: F.array_compact(F.transform(F.split(x, r"[\r\n]+", -1), _known))
+    ids = F.flatten(F.transform(parts, lambda x: F.coalesce(F.split(_known(x), r"\|", -1), lines(x))))
+    return F.flatten(F.transform(ids, lambda x: F.split(x, r"\|", -1)))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
