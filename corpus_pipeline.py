@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one row, of least id, of each group (five-word shingles, similarity 0.8 or more)."""
     return keep_one(docs, k=5, num=80, den=100)
 
 

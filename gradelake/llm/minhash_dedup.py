@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, doc_key, table
+from .common import Scratch, components, doc_key, free_name, table
 from .textbytes import CHUNK, Rolling, by_bytes, mix, view
 
 _SPACE = np.zeros(256, bool)
@@ -265,9 +265,23 @@ def _confirm(s: Scratch, star: DataFrame, sets: DataFrame, num: int, den: int) -
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without the rows whose near-duplicate group has a row of smaller doc_id."""
-    gone = near_duplicates(docs, k, num, den).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    """``docs`` with one row of each near-duplicate group, one of least doc_id (null after all others).
+
+    Among rows of one doc_id the hash of the text decides.  Rows are told apart by a
+    number of their own, so repeated rows and null ids are groups like any other; rows
+    without shingles link with nothing and all stay.
+    """
+    s = Scratch(docs.sparkSession, "keep-one")
+    row = free_name(docs, "row")
+    rows = s.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k, num, den)
+    extra = s.save(near.where("not kept").select(F.col("doc_id").alias("r"), "component_id"), "extra")
+    member = extra.union(extra.select("component_id", "component_id").distinct())
+    rank = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(row).alias("r"))
+    member = s.save(rows.select(rank.alias("rank")).join(member, F.col("rank.r") == F.col("r")).select("component_id", "rank"), "ranks")
+    stay = member.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.r").alias("stay"))
+    gone = member.select(F.col("rank.r").alias("gone")).join(stay, F.col("gone") == F.col("stay"), "left_anti")
+    return rows.join(gone, rows[row] == gone.gone, "left_anti").drop(row)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,19 @@ def test_empty_table_and_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", 1), (2, "A b c d e f g", 2), (3, None, 3)], "doc_id long, text string, node int")
     out = M.keep_one(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as C
+
+    r = random.Random(4)
+    long = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(90))
+    twice, null_copy, null_only, shared, other, last = (long() for _ in range(6))
+    rows = [(1, twice), (1, twice), (1, twice), (2, null_copy), (None, null_copy), (None, null_only), (None, null_only), (5, shared), (9, shared + " end"), (9, other), (None, last), (20, None), (20, None)]
+    df = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = C.near_duplicates(spark, df, "")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = sorted([(1, twice), (2, null_copy), (None, null_only), (5, shared), (9, other), (None, last), (20, None), (20, None)], key=key)
+    assert kept.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=key) == want
+    assert sorted(((x.doc_id, x.text or "") for x in C.repeats(spark, kept, "").collect()), key=key) == [(i, t or "") for i, t in want]
