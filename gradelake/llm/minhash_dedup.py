@@ -148,6 +148,8 @@ def block_links(num: int, den: int):
         bi, bj = key[1], key[2]
         a = pdf[pdf.block == bi].reset_index(drop=True)
         b = a if bi == bj else pdf[pdf.block == bj].reset_index(drop=True)
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         vocabulary = np.unique(np.concatenate(list(a["items"])))
         size_a, size_b = a["items"].map(len).to_numpy(), b["items"].map(len).to_numpy()
         inter = np.zeros((len(a), len(b)), np.float32)
@@ -199,12 +201,14 @@ def _missed(s: Scratch, sets: DataFrame, group: DataFrame, comp: DataFrame, num:
     sizes = s.save(sizes.withColumn("unit", unit), "units")
     parts = F.greatest(F.ceil(F.sum("elements") / BLOCK_ELEMENTS), F.ceil(F.sum("m") / (BLOCK_ROWS // 2))).cast("int")
     blocks = sizes.groupBy("gid", "unit").agg(parts.alias("parts"), F.count("*").alias("comps"))
-    blocks = s.save(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "unit", "comps", "parts", "part", F.xxhash64("unit", "part").alias("block")), "blocks")
-    left = blocks.select("gid", F.col("block").alias("bi"), F.col("unit").alias("ui"), F.col("comps").alias("ci"))
-    right = blocks.select("gid", F.col("block").alias("bj"), F.col("unit").alias("uj"))
+    placed = member.join(sizes.select("gid", "comp", "unit"), ["gid", "comp"]).join(blocks, ["gid", "unit"])
+    placed = placed.withColumn("block", F.xxhash64("unit", F.expr("cast(pmod(xxhash64(node), parts) as int)")))
+    # the blocks that nodes were really placed in: where sets are longer than a block, others stay empty
+    filled = s.save(placed.select("gid", "unit", "comps", "block").distinct(), "filled")
+    left = filled.select("gid", F.col("block").alias("bi"), F.col("unit").alias("ui"), F.col("comps").alias("ci"))
+    right = filled.select("gid", F.col("block").alias("bj"), F.col("unit").alias("uj"))
     pairs = left.join(right, "gid").where("bi <= bj and not (ui = uj and ci = 1)").select("gid", "bi", "bj")
-    placed = member.join(sizes.select("gid", "comp", "unit"), ["gid", "comp"]).join(blocks.select("gid", "unit", "parts").distinct(), ["gid", "unit"])
-    placed = placed.withColumn("block", F.xxhash64("unit", F.expr("cast(pmod(xxhash64(node), parts) as int)"))).select("gid", "comp", "block", "items")
+    placed = placed.select("gid", "comp", "block", "items")
     ends = pairs.select("gid", "bi", "bj", F.col("bi").alias("block")).union(pairs.where("bi <> bj").select("gid", "bi", "bj", F.col("bj").alias("block")))
     rows = ends.join(placed, ["gid", "block"])
     return rows.groupBy("gid", "bi", "bj").applyInPandas(block_links(num, den), "a long, b long")

@@ -111,3 +111,23 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     assert kept.columns == df.columns
     assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=key) == want
     assert sorted(((x.doc_id, x.text or "") for x in C.repeats(spark, kept, "").collect()), key=key) == [(i, t or "") for i, t in want]
+
+
+def test_sets_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ELEMENTS", 20)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for _ in range(i % 9):
+            w[r.randrange(100)] = f"x{r.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(x) for x in M.near_duplicates(df, 3, 85, 100).collect())
+    assert got == brute(rows, 3, 85, 100)
+
+
+def test_an_empty_block_has_no_links():
+    pdf = pd.DataFrame({"comp": [1], "block": [1], "items": [np.arange(3)]})
+    assert len(M.block_links(80, 100)((0, 0, 1), pdf)) == 0 and len(M.block_links(80, 100)((0, 1, 2), pdf)) == 0
