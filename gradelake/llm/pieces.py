@@ -28,8 +28,9 @@ from .common import table
 from .tokens import sentence_pieces
 
 MARK = "▁"
-#: Words that a worker remembers, and checked pairs of pieces; beyond, it starts afresh.
-WORDS, PAIRS = 800_000, 1_000_000
+#: Words that a worker remembers, and checked pairs of pieces; beyond, it starts afresh.  Words of more characters than ``LONG``
+#: (texts without spaces) are encoded, but not remembered.
+WORDS, PAIRS, LONG = 800_000, 1_000_000, 256
 
 
 class PieceModel:
@@ -89,15 +90,15 @@ class PieceModel:
         if self.n_pairs > PAIRS:
             self.pairs, self.n_pairs = {}, 0
         out, before = {}, ""
-        # by prefix length: last piece, ids, score, and the starts of what may still become a piece
-        last, ids, best, open_ = [""], [b""], [0.0], [[]]
+        # by prefix length: last piece, score, and the starts of what may still become a piece
+        last, best, open_ = [""], [0.0], [[]]
         begins, code, pairs, bpe = self.begins.get, self.code, self.pairs, self.kind == "bpe"
         for w in sorted(words):
             n = min(len(w), len(before))
             shared = 0
             while shared < n and w[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :], best[shared + 1 :], open_[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :], open_[shared + 1 :]
             for i in range(shared + 1, len(w) + 1):
                 starts, at, top = [], -1, 0.0
                 for a in open_[i - 1]:
@@ -126,10 +127,15 @@ class PieceModel:
                     at = i - 1
                 t = w[at:i]
                 last.append(t)
-                ids.append(ids[at] + (code.get(t) or self.spell(t)))
                 best.append(top)
                 open_.append(starts)
-            out[w] = ids[len(w)]
+            ids, i = [], len(w)
+            while i:  # back from piece to piece
+                t = last[i]
+                ids.append(code.get(t) or self.spell(t))
+                i -= len(t)
+            ids.reverse()
+            out[w] = b"".join(ids)
             before = w
         return out
 
@@ -148,7 +154,12 @@ class PieceModel:
             if len(self.words) + len(missing) > WORDS:
                 self.words = {}
                 missing = set().union(*split)
-            self.words |= self.encode_words(missing)
+            fresh = self.encode_words(missing)
+            long = {w: fresh.pop(w) for w in missing if len(w) > LONG}
+            self.words |= fresh
+            if long:
+                get = lambda w: long[w] if len(w) > LONG else self.words[w]
+                return [b"".join(map(get, parts)) for parts in split]
         get = self.words.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 

@@ -58,3 +58,22 @@ def test_edges(spark, monkeypatch):
     got = {r.doc_id: (r.n_ids, r.round_trip) for r in P.piece_digest(df).collect()}
     assert got[1] == got[3] == (0, True) and got[None][0] == 4
     assert P.piece_digest(df.limit(0)).count() == 0 and P.encode(df.limit(0)).count() == 0
+
+
+def test_long_texts_without_spaces():
+    import resource
+    import sys
+
+    sp, model, r = sentence_pieces(), P.load_model(), random.Random(8)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(200_000))
+    base64 = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    limit = resource.getrlimit(resource.RLIMIT_AS)
+    with open("/proc/self/statm") as f:
+        resource.setrlimit(resource.RLIMIT_AS, (int(f.read().split()[0]) * resource.getpagesize() + (2 << 30), limit[1]))
+    try:
+        codes = [np.frombuffer(c, np.uint32).tolist() for c in model.encode([chinese, base64, "a " + chinese[:300] + " b"])]
+    finally:
+        resource.setrlimit(resource.RLIMIT_AS, limit)
+    assert codes == [sp.encode(t) for t in (chinese, base64, "a " + chinese[:300] + " b")]
+    assert sum(map(sys.getsizeof, model.words)) < 1 << 28 and max(map(len, model.words)) <= P.LONG
+    assert model.decode(codes[0]) == chinese and model.decode(codes[1]) == base64
