@@ -16,6 +16,8 @@ from .common import Scratch, table
 #: Verdict, host, path of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DAMPING, ROUNDS, CUT = 0.85, 12, 0.5
+#: Ranks are settled once four rounds change them by less than this in sum and reach no further host (the SQL runs ``ROUNDS`` rounds).
+TOLERANCE = 1e-9
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*href\s*=\s*["']?(?:https?:)?//([^/?#"'>\s]+)"""
 
@@ -48,11 +50,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(s: Scratch, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(s: Scratch, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, r): personalised rank of each kind over its own edges.
 
     edges: kind, src, dst, n; seeds: kind, host.  One round sends each host's rank along
-    its edges in proportion to n; what a host without edges holds is lost.
+    its edges in proportion to n; what a host without edges holds is lost.  Rounds go
+    on until the ranks are settled and every host that links lead to has one.
     """
     seeds = s.save(seeds.distinct(), "seeds")
     count = seeds.groupBy("kind").agg(F.count("*").alias("seeds"))
@@ -60,11 +63,19 @@ def spread(s: Scratch, edges: DataFrame, seeds: DataFrame, damping: float = DAMP
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     share = s.save(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")), "shares")
     rank = start.select("kind", "host", F.col("seed").alias("r"))
-    for i in range(rounds):
-        sent = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("r"))).alias("r"))
-        rank = sent.union(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if i % 4 == 3:
-            rank = s.save(rank, "rank")
+    if not edges.limit(1).count():
+        return rank
+    settled = start.select("kind", "host", F.col("seed").alias("r"))
+    while True:
+        for _ in range(4):
+            sent = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("r"))).alias("r"))
+            rank = sent.union(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        rank = s.save(rank, "rank")
+        both = rank.join(settled.withColumnRenamed("r", "was"), ["kind", "host"], "left")
+        change = both.agg(F.sum(F.abs(F.col("r") - F.coalesce("was", F.lit(0.0)))).alias("sum"), F.count(F.when(F.col("was").isNull(), 1)).alias("new")).first()
+        if not change["new"] and (change["sum"] or 0.0) < tolerance:
+            break
+        settled = rank
     return rank
 
 
@@ -85,7 +96,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     seeds = p.where("host <> '' and hit is not null").select(F.expr("if(hit.verdict = 'allow', 'trust', 'distrust')").alias("kind"), "host")
     out = p.select("page_id", "host", "path", "hit")
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), "dst", "src", "n"))
-    rank = spread(s, both, seeds, rounds=ROUNDS if edges.limit(1).count() else 0)
+    rank = spread(s, both, seeds)
     sums = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("r"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("r"))).alias("d"))
     t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
     bad = s.save(sums.where(d > CUT * (t + d)).select(F.col("host").alias("bad_host")), "blocked")

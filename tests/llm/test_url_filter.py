@@ -30,3 +30,9 @@ def test_distrust_flows_back_along_links(spark):
     rows = [(1, bad, ""), (2, good, link("friend.net")), (3, "http://farm.net/", link("s.com", "S.com")), (4, "http://friend.net/", link("other.net")), (5, "http://other.net/", ""), (6, "http://far.net/", link("farm.net")), (7, "http://alone.net/", None)]
     got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(0, "http://s.com/de/1", "")] + [(i, f"http://h{i}.net/", f'<a href="http://{"s.com" if i == 1 else f"h{i - 1}.net"}/">x</a>') for i in range(1, 19)]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" for i in range(19)}
