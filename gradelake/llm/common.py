@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode where none is named (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gradelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -75,21 +77,21 @@ def free_name(df: DataFrame, want: str) -> str:
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns that tell rows apart even where ids repeat or are null.
 
-    Rows with one id and one text share the key; they get the same result.
+    Rows with one id and one text share the key; they get the same result.  Rows with
+    null ids are told apart by 128 bits of their text, rows that repeat an id by 64.
     """
-    return [
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63) + 1)).alias("kd"),
-        F.hash(F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))).alias("kt"),
-    ]
+    null, text = F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("id"), text)).alias("kd"), F.xxhash64(null, text).alias("kt")]
 
 
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Connected components as ``(id, comp)``, ``comp`` the smallest id of each.
 
-    Rounds of contraction: each vertex points to its least neighbour (or itself), a
-    pointer jump shortens the chains, and edges are redrawn between what they point to,
-    so that most edges are gone after one round.  Every step is a grouped minimum with
-    map-side combine or an equi-join with a unique side; the driver only learns whether
+    Rounds of contraction: each vertex points to that of its neighbours and itself which is
+    least in an order of the round's own (a hash of id and round, so that a chain
+    shrinks by a constant share whatever its ids are), a pointer jump shortens the
+    chains, and edges are redrawn between what they point to.  Every step is a grouped
+    minimum with map-side combine or an equi-join with a unique side; the driver only learns whether
     edges are left.  Rows with a null end are ignored.  Empty input gives an empty result.
     """
 
@@ -99,9 +101,10 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
 
     e = ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
     steps: list[DataFrame] = []
-    for _ in range(max_rounds):
-        near = e.union(e.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("p"))
-        near = scratch.save(near, "near")
+    for i in range(max_rounds):
+        place = lambda c, i=i: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("p"))
+        near = e.union(e.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.min(place("b")).alias("low"))
+        near = scratch.save(near.select("v", F.least("low", place("v"))["p"].alias("p")), "near")
         up = near.select(F.col("v").alias("w"), F.col("p").alias("q"))
         to = scratch.save(near.join(up, near.p == up.w).select("v", F.col("q").alias("p")), "points")
         scratch.drop(near)
@@ -118,5 +121,5 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
     for to in steps[-2::-1]:
         top = labels.select(F.col("v").alias("w"), F.col("p").alias("q"))
         labels = scratch.save(to.join(top, to.p == top.w, "left").select("v", F.coalesce("q", "p").alias("p")), "labels")
-    out = labels.select(F.col("v").alias("id"), F.col("p").alias("comp"))
-    return out
+    least = labels.groupBy(F.col("p").alias("root")).agg(F.min("v").alias("comp"))
+    return scratch.save(labels.join(least, labels.p == least.root).select(F.col("v").alias("id"), "comp"), "least")

@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     s = Scratch(docs.sparkSession, "minhash")
     bands, rows = bands_for(num / den)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *doc_key())
-    sketch = s.save(d.mapInArrow(_sketch(k, bands, rows), "doc_id long, kd long, kt int, n_shingles long, node long, bands array<long>"), "sketch")
+    sketch = s.save(d.mapInArrow(_sketch(k, bands, rows), "doc_id long, kd long, kt long, n_shingles long, node long, bands array<long>"), "sketch")
     full = sketch.where("n_shingles > 0")
     # one stand-in document for each node
     stand = full.groupBy("node").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("kd").alias("kd"), F.first("kt").alias("kt"))

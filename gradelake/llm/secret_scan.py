@@ -1,12 +1,16 @@
-"""Secrets in texts, with multipart credentials linked across a document (DataFrame functions only).
+"""Secrets in texts, with multipart credentials linked within scopes (DataFrame functions only).
 
 Base candidates (an assignment to a secret-like name, an access key id, a long
 hexadecimal run) stand for themselves.  Weak candidates (a user or client name, a
-short or oddly named secret, an endpoint) mean little alone: they are reported only
-where the complementary parts of a credential lie within ``reach`` characters in the
-same document.  That interval join is a sorted sweep: each weak part looks at the
-nearest end before it and the nearest start after it among the parts of another role,
-so no pairs are made and a document with many parts costs a sort.
+short or oddly named secret, an endpoint) mean little alone.  A *scope* is a stretch of a
+document in which each part (identifier, secret or endpoint) begins at most
+``reach`` characters after the furthest end of those before it, with no blank line between;
+a bare hexadecimal run is no part of a credential.  Weak parts are reported where their scope holds
+an identifier and a secret, so the parts of a credential stand or fall together.
+
+Joining the parts with their scopes is a sorted sweep over intervals: running sums of blank lines and of gaps
+number the scopes, and a grouped maximum tells what each holds.  No pairs are made; a document's parts
+are one window partition, whose frames only grow, so it costs a sort however many there are.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from .common import Scratch, doc_key, table
 KINDS = [
     ("assign", "secret", True, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", "identifier", True, r"AKIA[A-Z0-9]{16,}", 0, 20),
-    ("hex", "secret", True, r"[0-9a-f]{24,}", 0, 24),
+    ("hex", "", True, r"[0-9a-f]{24,}", 0, 24),
     ("user", "identifier", False, r"""(?i)\b(user_?name|user|login|account_?id|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
     ("phrase", "secret", False, r"""(?i)\b(pass_?phrase|pass_?code|pwd|credential|private_?key|signature)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 4),
     ("endpoint", "endpoint", False, r"""(?i)\b(https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|s3)://([^\s/?#"'<>]+)""", 2, 3),
 ]
+#: A blank line ends a scope.
+BREAK = r"\n[ \t\r]*\n"
 #: The same kinds without a least length in the pattern.  A match takes its whole run, so a run that is too short fails either way.
 PLAIN = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 REACH = 200
@@ -34,9 +40,9 @@ MASK = "[redacted]"
 
 def _hits(rank: int) -> Column:
     """The matches of one kind as {rank, i, gap, size, ok}: ``gap`` characters stand before each since the match before."""
-    _, _, _, pattern, _, least = KINDS[rank]
+    _, _, _, pattern, _, least = KINDS[rank] if rank < len(KINDS) else ("", "", False, BREAK, 0, 0)
     text = F.col("text")
-    found, tested = f"m{rank}", f"g{rank}"
+    found, tested = f"m{rank}", f"g{rank}" if rank < len(KINDS) else f"m{rank}"
     gaps = F.split(text, pattern, -1)
     return F.when(
         F.size(found) > 0,
@@ -48,33 +54,35 @@ def _hits(rank: int) -> Column:
 
 
 def credential_spans(docs: DataFrame, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
-    """``(rows, spans)``: the keyed rows of ``docs`` without text, and a row per key with its sorted spans.
+    """``(rows, spans)``: the keyed rows of ``docs`` without text, and a row per key with its sorted spans (``reach``: see above).
 
     spans: kd, kt, list<struct<start, rank, end, kind>>; positions are code points, end exclusive.
     """
     s = Scratch(docs.sparkSession, "secrets")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *doc_key())
-    columns = {}
     for r, (_, _, _, pattern, group, _) in enumerate(KINDS):
-        columns[f"m{r}"] = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        columns[f"g{r}"] = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else F.col(f"m{r}")
-    for name, value in columns.items():
-        d = d.withColumn(name, value)
-    rows = s.save(d.select("doc_id", "kd", "kt", F.concat(*[_hits(r) for r in range(len(KINDS))]).alias("hits")), "hits")
+        d = d.withColumn(f"m{r}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        d = d.withColumn(f"g{r}", F.when(F.size(f"m{r}") > 0, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))) if group else F.col(f"m{r}"))
+    weak = sum((F.size(f"m{r}") for r, k in enumerate(KINDS) if not k[2]), F.lit(0)) > 0
+    d = d.withColumn(f"m{len(KINDS)}", F.when(weak, F.regexp_extract_all("text", F.lit(BREAK), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    hits = F.concat(*[_hits(r) for r in range(len(KINDS) + 1)])
+    rows = s.save(d.select("doc_id", "kd", "kt", hits.alias("hits")), "hits")
     one = rows.where("size(hits) > 0").dropDuplicates(["kd", "kt"])
     each = one.select("kd", "kt", F.explode("hits").alias("h")).select("kd", "kt", "h.*")
     order = Window.partitionBy("kd", "kt", "rank").orderBy("i")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order)).where("ok")
     kind, role, strong = (F.array(*[F.lit(k[j]) for k in KINDS]) for j in range(3))
-    parts = placed.select("kd", "kt", "rank", (F.col("end") - F.col("size")).alias("start"), "end", kind[F.col("rank")].alias("kind"), role[F.col("rank")].alias("role"), strong[F.col("rank")].alias("strong"))
+    at = lambda a: F.get(a, F.col("rank"))  # noqa: E731  null for a blank line
+    parts = placed.select("kd", "kt", "rank", (F.col("end") - F.col("size")).alias("start"), "end", at(kind).alias("kind"), at(role).alias("role"), at(strong).alias("strong"))
     doc = Window.partitionBy("kd", "kt").orderBy("start", "rank")
-    ahead, behind = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
-    for r in ("identifier", "secret"):
-        is_role = F.col("role") == r
-        near = (F.coalesce(F.max(F.when(is_role, F.col("end"))).over(ahead), F.lit(-(2**40))) >= F.col("start") - reach) | (F.coalesce(F.min(F.when(is_role, F.col("start"))).over(behind), F.lit(2**40)) <= F.col("end") + reach)
-        parts = parts.withColumn(f"near_{r}", near)
-    linked = F.expr("case role when 'identifier' then near_secret when 'secret' then near_identifier else near_identifier and near_secret end")
-    kept = parts.where(F.col("strong") | linked)
+    block = F.count_if(F.col("rank") == len(KINDS)).over(doc)
+    links = F.col("role") != ""
+    before = F.max(F.when(links, F.col("end"))).over(Window.partitionBy("kd", "kt", "block").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("block", block).where("kind is not null").withColumn("apart", links & F.coalesce(F.col("start") > before + reach, F.lit(False)))
+    parts = parts.withColumn("scope", F.count_if("apart").over(Window.partitionBy("kd", "kt", "block").orderBy("start", "rank")))
+    inside = Window.partitionBy("kd", "kt", "block", "scope")
+    both = F.max(F.col("role") == "identifier").over(inside) & F.max(F.col("role") == "secret").over(inside)
+    kept = parts.withColumn("both", both).where("strong or both")
     spans = kept.groupBy("kd", "kt").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))
     return rows, s.save(spans, "spans")
 
@@ -140,7 +148,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     scans, parts = [], []
-    for r, (kind, role, strong, pattern, group, least) in enumerate(KINDS):
+    for r, (kind, role, strong, pattern, group, least) in enumerate([*KINDS, ("", "", False, BREAK, 0, 0)]):
         p = PLAIN.get(kind, pattern).replace("'", "''")
         scans.append(f"regexp_extract_all(text, '{p}') AS m{r}, regexp_extract_all(text, '{p}', {group}) AS g{r}, string_split_regex(text, '{p}') AS p{r}")
         parts.append(
@@ -148,18 +156,16 @@ def _oracle() -> str:
             f"list_sum(list_transform(p{r}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{r}[1:i-1], lambda x: length(x))), 0) AS s, "
             f"length(m{r}[i]) AS n, length(g{r}[i]) >= {least} AS ok FROM (SELECT *, unnest(range(1, len(m{r}) + 1)) AS i FROM scans)"
         )
-    near = []
-    for role in ("identifier", "secret"):
-        near.append(
-            f"(coalesce(max(CASE WHEN role = '{role}' THEN e END) OVER (PARTITION BY doc_id ORDER BY s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1099511627776) >= s - {REACH} "
-            f"OR coalesce(min(CASE WHEN role = '{role}' THEN s END) OVER (PARTITION BY doc_id ORDER BY s, rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1099511627776) <= e + {REACH}) AS near_{role}"
-        )
     return f"""
 WITH scans AS (SELECT doc_id, {", ".join(scans)} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 parts AS (SELECT *, CAST(s + n AS BIGINT) AS e FROM ({" UNION ALL ".join(parts)}) WHERE ok),
-swept AS (SELECT *, {", ".join(near)} FROM parts),
-kept AS (SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || e AS span FROM swept
-  WHERE strong OR CASE role WHEN 'identifier' THEN near_secret WHEN 'secret' THEN near_identifier ELSE near_identifier AND near_secret END)
+blocks AS (SELECT *, count(*) FILTER (kind = '') OVER (PARTITION BY doc_id ORDER BY s, rank ROWS UNBOUNDED PRECEDING) AS block FROM parts),
+gaps AS (SELECT *, role <> '' AND s > max(e) FILTER (role <> '') OVER (PARTITION BY doc_id, block ORDER BY s, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {REACH} AS apart FROM blocks WHERE kind <> ''),
+scoped AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY doc_id, block ORDER BY s, rank ROWS UNBOUNDED PRECEDING) AS scope FROM gaps),
+whole AS (SELECT i.doc_id, i.block, i.scope FROM scoped i JOIN scoped x ON x.doc_id = i.doc_id AND x.block = i.block AND x.scope = i.scope
+  WHERE i.role = 'identifier' AND x.role = 'secret' GROUP BY ALL),
+kept AS (SELECT p.*, kind || ':' || CAST(s AS BIGINT) || ':' || e AS span FROM scoped p LEFT JOIN whole w ON w.doc_id = p.doc_id AND w.block = p.block AND w.scope = p.scope
+  WHERE strong OR w.doc_id IS NOT NULL)
 SELECT d.doc_id, count(k.s) FILTER (rank = 0) AS n_assign, count(k.s) FILTER (rank = 1) AS n_access, count(k.s) FILTER (rank = 2) AS n_hex,
   count(k.s) FILTER (rank > 2) AS n_linked,
   sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank <= 2), '')) AS base_sha256,

@@ -36,7 +36,7 @@ WINDOW = 200
 GRAM = 48
 #: Suffixes in one stretch of the third digit.
 STRETCH = 8
-_ITEM = "g1 long, g2 int, c long, kd long, kt int, start int, len int"
+_ITEM = "g1 long, g2 int, c long, kd long, kt long, start int, len int"
 
 
 def _segments(off: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -112,7 +112,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     names = ["g1", "g2", "kd", "kt", "start", "len", "w", "real", "ctx"]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -203,11 +203,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, scratch: Scratch | N
     want = todo.groupBy("kd", "kt").agg(F.collect_list(F.struct("g1", "g2", "start", "len", "w", "real", F.lit(window).alias("window"))).alias("items"))
     want = s.save(want, "wanted")
     context = s.save(
-        docs.select("kd", "kt", "text").join(want, ["kd", "kt"]).mapInArrow(_contexts, "g1 long, g2 int, kd long, kt int, start int, len int, w int, real boolean, ctx binary"), "contexts"
+        docs.select("kd", "kt", "text").join(want, ["kd", "kt"]).mapInArrow(_contexts, "g1 long, g2 int, kd long, kt long, start int, len int, w int, real boolean, ctx binary"), "contexts"
     )
     s.drop(want, todo)
     # digit 3: stretches of STRETCH suffixes
-    kind = "g1 long, g2 int, c long, kd long, kt int, start int, len int, w int, real boolean, ahead int, gram long"
+    kind = "g1 long, g2 int, c long, kd long, kt long, start int, len int, w int, real boolean, ahead int, gram long"
     items = s.save(context.mapInArrow(_refine(window, STRETCH), kind), "cells")
     classes, same3 = _digit(s, items, "cell", ["ahead", "gram"])
     s.drop(items)

@@ -1,6 +1,9 @@
 import random
+from types import SimpleNamespace
 
-from gradelake.llm.common import Scratch, components, free_name
+import pytest
+
+from gradelake.llm.common import Scratch, components, free_name, shared_dir
 
 
 def test_components_against_union_find(spark):
@@ -23,5 +26,17 @@ def test_components_against_union_find(spark):
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_long_chain_settles(spark):
+    got = components(Scratch(spark, "t"), spark.range(400).selectExpr("id as a", "id + 1 as b"), max_rounds=20).collect()
+    assert len(got) == 401 and {x.comp for x in got} == {0}
+
+
+def test_cluster_without_shared_folder_is_refused():
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://head:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+
+
 def test_free_name(spark):
     assert free_name(spark.createDataFrame([], "Key int, key_ int"), "key") == "key__"

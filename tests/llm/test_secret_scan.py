@@ -39,6 +39,49 @@ def test_base_spans_and_linked_parts(spark):
     assert S.secret_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+WEAK = [(kind, role, re.compile(pattern.replace("(?i)", ""), re.I | re.A), group, least) for kind, role, strong, pattern, group, least in S.KINDS if not strong or role]
+LINKED = [
+    "login: ann pwd=abcd", "login: ann\n\npwd=abcd", "login: ann\n \t\npwd=abcd", "login: ann\npwd=abcd", "login: ann see http://a.example.org and pwd=abcd", "http://a.example.org login: ann",
+    "login: ann " + "x" * 190 + " http://a.example.org " + "y" * 190 + " pwd=abcd", "login: ann " + "x" * 300 + " http://a.example.org " + "y" * 190 + " pwd=abcd", "user: maria, commit " + "0a" * 20,
+    "user: maria, commit " + "0a" * 20 + " " + "z" * 170 + " signature=zzzz", "login: ann " + "token=abcdefgh " * 3 + "\n\nhttp://b.example.org/ pwd=abcd client_id=12345",
+]
+
+
+def linked(text):
+    """Kinds and places of the weak parts that are reported: scopes by comparing every part with all before it."""
+    parts = []
+    for kind, role, rx, group, least in WEAK:
+        parts += [(m.start(), m.end(), role, kind) for m in rx.finditer(text) if len(m[group]) >= least]
+    parts.sort()
+    scopes = []
+    for p in parts:
+        reach = [q for s in scopes[-1:] for q in s if p[0] <= q[1] + S.REACH]
+        if reach and not re.search(r"\n[ \t\r]*\n", text[scopes[-1][0][0] : p[0]]):
+            scopes[-1].append(p)
+        else:
+            scopes.append([p])
+    strong = {k[0] for k in S.KINDS if k[2]}
+    return sorted((p[3], p[0], p[1]) for s in scopes if {"identifier", "secret"} <= {q[2] for q in s} for p in s if p[3] not in strong)
+
+
+def test_parts_of_a_credential_stand_or_fall_together(spark):
+    texts = [t for t in LINKED + TEXTS if t]
+    got = {r.doc_id: r.spans for r in S.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        spans = [x.split(":") for x in got[i].split(",") if x]
+        want = linked(t)
+        some += len(want)
+        assert sorted((k, int(a), int(b)) for k, a, b in spans if k in ("user", "phrase", "endpoint")) == want, t
+    assert some > 15 and got[8].startswith("hex") and linked(LINKED[1]) == []
+
+
+def test_many_parts_in_one_document_cost_a_sort(spark):
+    text = "".join(f"user: name{i} pwd=secret{i} " for i in range(100_000))
+    row = S.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_linked == 200_000
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, cuts int")
     out = S.redact(df)
