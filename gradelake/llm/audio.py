@@ -145,52 +145,64 @@ def tensors(mel: np.ndarray) -> pa.FixedShapeTensorArray:
 
 
 _SECOND = RATE * UP / DOWN
-_SPAN = "array<struct<start_s:double,end_s:double>>"
-SCHEMA = f"media binary, tensors array<array<float>>, tensor_spans {_SPAN}, segments {_SPAN}"
+_SPAN = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+#: Columns that ``audio_features`` adds; ``tensors`` is an Arrow IPC stream (see ``store``).
+ADDED = {"tensors": pa.binary(), "segments": _SPAN, "problem": pa.string()}
+SCHEMA = "tensors binary, segments array<struct<start_s:double,end_s:double>>, problem string"
 
 
 def _spans(pairs) -> list[dict]:
     return [{"start_s": a * HOP / _SECOND, "end_s": ((b - 1) * HOP + FRAME) / _SECOND} for a, b in pairs]
 
 
-def featurize(media: bytes) -> tuple[pa.Array, list[dict], list[dict]]:
-    """Tensors, their time spans and the loud segments' spans of a WAV file."""
-    mel, power = log_mel(from_wav(media)[1])
+def store(mel: np.ndarray) -> bytes:
+    """The frames as an Arrow IPC stream: a column ``tensor`` of fixed shape (FRAMES, MELS) with its time span beside it."""
     t = tensors(mel)
-    return t, _spans((i * FRAMES, min((i + 1) * FRAMES, len(mel))) for i in range(len(t))), _spans(segments(power))
-
-
-def _features(column: str, text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            rest = [i for i in range(batch.num_columns) if i != at]
-            for lo in range(0, batch.num_rows, 16):
-                part = batch.slice(lo, 16)
-                media, stored, spans, loud = [], [], [], []
-                for value in part.column(at).to_pylist():
-                    wav = to_wav(payload(value)) if text else value
-                    t, a, b = featurize(wav)
-                    media.append(wav)
-                    stored.append(t.to_numpy_ndarray().reshape(len(t), -1).tolist())
-                    spans.append(a)
-                    loud.append(b)
-                kinds = [pa.binary(), pa.list_(pa.list_(pa.float32())), *[pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))] * 2]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in rest], *[pa.array(x, k) for x, k in zip((media, stored, spans, loud), kinds, strict=True)]],
-                    names=[*[batch.schema.names[i] for i in rest], "media", "tensors", "tensor_spans", "segments"],
-                )
-
-    return run
+    spans = _spans((i * FRAMES, min((i + 1) * FRAMES, len(mel))) for i in range(len(t)))
+    batch = pa.RecordBatch.from_arrays([t, *[pa.array([x[k] for x in spans], pa.float64()) for k in ("start_s", "end_s")]], names=["tensor", "start_s", "end_s"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def load(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """(tensors (n, FRAMES, MELS), their time spans) out of what ``store`` made; the shape comes from the stored type."""
+    table_ = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    spans = list(zip(table_["start_s"].to_pylist(), table_["end_s"].to_pylist(), strict=True))
+    return table_["tensor"].chunk(0).to_numpy_ndarray(), spans
+
+
+def featurize(media: bytes) -> tuple[bytes, list[dict]]:
+    """Stored tensors and the loud segments' spans of a WAV file."""
+    mel, power = log_mel(from_wav(media)[1])
+    return store(mel), _spans(segments(power))
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 16):
+            part, rows = batch.slice(lo, 16), []
+            for media in part.column("media").to_pylist():
+                try:
+                    rows.append((None, None, None) if media is None else (*featurize(media), None))
+                except ValueError as e:
+                    rows.append((None, None, str(e)))
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, k) for x, k in zip(zip(*rows, strict=True), ADDED.values(), strict=True)]], names=[*part.schema.names, *ADDED])
 
 
 def audio_features(audio: DataFrame) -> DataFrame:
-    """Adds tensors (each FRAMES x MELS, row-major), tensor_spans and segments to a column ``media`` of WAV files.
+    """Adds ``tensors``, ``segments`` and ``problem`` to a table with a column ``media`` of WAV files.
 
-    Other columns stay.  Null media are left out; files that are no mono 8-bit PCM WAV fail.
+    ``tensors`` holds Arrow IPC bytes: tensors of FRAMES x MELS with their time spans.  Other
+    columns and all rows stay; columns with the names of the added ones are replaced.  A null
+    file has nulls; a file that is no mono 8-bit PCM WAV has nulls and its ``problem``; a file
+    without samples is one frame of silence; an empty table gives an empty result.
     """
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in audio.schema if f.name != "media")
-    return audio.where("media is not null").mapInArrow(_features("media", False), f"{rest}, {SCHEMA}" if rest else SCHEMA)
+    have = {c.lower() for c in ADDED}
+    a = audio.drop(*[c for c in audio.columns if c.lower() in have])
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema)
+    return a.mapInArrow(_features, f"{rest}, {SCHEMA}")
 
 
 def payload(text: str | None) -> bytes:
@@ -209,9 +221,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text not in known:
                     media = to_wav(payload(text))
                     back = from_wav(media)[1]
-                    t, spans, loud = featurize(media)
-                    crc = zlib.crc32(t.to_numpy_ndarray().astype("<f4").tobytes())
-                    feature = f"tensors={len(t)}x{FRAMES}x{MELS};mel={crc:08x};end={spans[-1]['end_s']:.4f};segments={len(loud)};loud={sum(s['end_s'] - s['start_s'] for s in loud):.4f}"
+                    stored, loud = featurize(media)
+                    t, spans = load(stored)
+                    crc = zlib.crc32(t.astype("<f4").tobytes())
+                    feature = f"tensors={'x'.join(map(str, t.shape))};mel={crc:08x};end={spans[-1][1]:.4f};segments={len(loud)};loud={sum(s['end_s'] - s['start_s'] for s in loud):.4f}"
                     known[text] = (len(text.encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
                 rows.append(known[text])
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -221,6 +234,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def audio_digest(docs: DataFrame) -> DataFrame:
     """Texts as recordings: stored as WAV, read back, and the digests of what was stored and computed.
 
+    ``feature`` is taken from tensors that were stored as Arrow bytes and read back.
+
     docs: doc_id (long) and text; other columns are not read.  A null text counts as
     empty (64 zero bytes); equal texts give equal rows, whatever batch they are in;
     an empty table gives an empty result.
