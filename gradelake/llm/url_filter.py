@@ -54,8 +54,9 @@ def spread(s: Scratch, edges: DataFrame, seeds: DataFrame, damping: float = DAMP
     """(kind, host, r): personalised rank of each kind over its own edges.
 
     edges: kind, src, dst, n; seeds: kind, host.  One round sends each host's rank along
-    its edges in proportion to n; what a host without edges holds is lost.  Rounds go
-    on until the ranks are settled and every host that links lead to has one.
+    its edges in proportion to n; what a host without edges holds goes back to the seeds.
+    As it goes back in the seeds' own proportions it only scales the ranks, so rounds leave it out and
+    the settled ranks are scaled to a sum of 1 a kind.  Rounds go on until the ranks are settled and every host that links lead to has one.
     """
     seeds = s.save(seeds.distinct(), "seeds")
     count = seeds.groupBy("kind").agg(F.count("*").alias("seeds"))
@@ -76,7 +77,8 @@ def spread(s: Scratch, edges: DataFrame, seeds: DataFrame, damping: float = DAMP
         if not change["new"] and (change["sum"] or 0.0) < tolerance:
             break
         settled = rank
-    return rank
+    whole = rank.groupBy("kind").agg(F.sum("r").alias("whole"))  # two rows
+    return s.save(rank.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("r") / F.col("whole")).alias("r")), "ranks")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -131,7 +133,7 @@ share AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w F
 seeds AS (SELECT DISTINCT CASE given WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host FROM ruled WHERE given IS NOT NULL AND host <> ''),
 rank0 AS (SELECT kind, host, 1.0 / count(*) OVER (PARTITION BY kind) AS r FROM seeds),
 {", ".join(steps)},
-bad AS (SELECT host FROM (SELECT host, coalesce(sum(CASE kind WHEN 'trust' THEN r END), 0) AS t, coalesce(sum(CASE kind WHEN 'distrust' THEN r END), 0) AS d FROM {last} GROUP BY host) WHERE d > {CUT} * (t + d))
+bad AS (SELECT host FROM (SELECT host, coalesce(sum(CASE kind WHEN 'trust' THEN r END), 0) AS t, coalesce(sum(CASE kind WHEN 'distrust' THEN r END), 0) AS d FROM (SELECT kind, host, r / sum(r) OVER (PARTITION BY kind) AS r FROM {last}) GROUP BY host) WHERE d > {CUT} * (t + d))
 SELECT page_id, r.host, path, rule, coalesce(given, CASE WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r LEFT JOIN bad b ON b.host = r.host
 """
 

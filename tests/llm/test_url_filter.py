@@ -1,3 +1,5 @@
+import numpy as np
+from gradelake.llm.common import Scratch
 from gradelake.llm import url_filter as U
 
 
@@ -36,3 +38,26 @@ def test_distrust_reaches_the_end_of_a_long_chain(spark):
     rows = [(0, "http://s.com/de/1", "")] + [(i, f"http://h{i}.net/", f'<a href="http://{"s.com" if i == 1 else f"h{i - 1}.net"}/">x</a>') for i in range(1, 19)]
     got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "block" for i in range(19)}
+
+
+def test_ranks_against_a_dense_solution(spark):
+    r = np.random.default_rng(6)
+    n, kinds = 40, ("trust", "distrust")
+    edges = {(k, int(a), int(b)): int(w) for k in kinds for a, b, w in zip(r.integers(0, n, 70), r.integers(0, n, 70), r.integers(1, 5, 70), strict=True) if a != b and a % 5}
+    seeds = {k: sorted(set(r.integers(0, n, 4).tolist())) for k in kinds}
+    got = U.spread(
+        Scratch(spark, "t"), spark.createDataFrame([(k, str(a), str(b), w) for (k, a, b), w in edges.items()], "kind string, src string, dst string, n long"),
+        spark.createDataFrame([(k, str(h)) for k in kinds for h in [*seeds[k], seeds[k][0]]], "kind string, host string"),
+    )
+    rank = {(x.kind, int(x.host)): x.r for x in got.collect()}
+    for k in kinds:
+        s = np.zeros(n)
+        s[seeds[k]] = 1 / len(seeds[k])
+        m = np.zeros((n, n))
+        for (kind, a, b), w in edges.items():
+            if kind == k:
+                m[b, a] += w
+        total = m.sum(0)
+        m = np.where(total > 0, m / np.maximum(total, 1), s[:, None])  # hosts without edges send all to the seeds
+        want = np.linalg.solve(np.eye(n) - U.DAMPING * m, (1 - U.DAMPING) * s)
+        assert np.abs(np.array([rank.get((k, i), 0.0) for i in range(n)]) - want).max() < 1e-7
