@@ -7,9 +7,12 @@
 3. Bins are banded.  In each bucket all members are joined to its least member only (a star), so a bucket of m
    nodes gives m - 1 candidates.  Candidates are confirmed on the full sets.
 4. A star can miss a link between two outer members.  Buckets are grouped into connected candidate groups; where a group
-   did not end as one component, its nodes are compared on full sets in blocks of bounded size, except blocks
-   that are one component already, and only links that join components leave a block.  So no link between two
-   nodes that share a bucket is lost, and no list of pairs is made.
+   did not end as one component, its nodes are compared on full sets.  A group that fills one block is compared in one
+   task.  A larger one (texts from templates chain many buckets together) is banded anew, in more and longer bands with
+   the same chance of a miss, which unlike texts seldom share, and only nodes of
+   different components in one bucket are compared, in blocks of bounded size where a bucket is larger than one.  Blocks
+   that are one component already are passed over, and only links that join components leave a block.  No list of pairs
+   is made, and work follows the sizes of buckets, not of groups.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ BLOCK_ELEMENTS, BLOCK_ROWS = 200_000, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bands_for(threshold: float, miss: float = 1e-8) -> tuple[int, int]:
-    """(bands, rows): a pair at the threshold shares no bucket with probability ``miss`` at most."""
-    rows = 6 if threshold >= 0.84 else 5
+def bands_for(threshold: float, miss: float = 1e-8, longer: int = 1) -> tuple[int, int]:
+    """(bands, rows): a pair at the threshold shares no bucket with probability ``miss`` at most; ``longer`` times the usual rows."""
+    rows = (6 if threshold >= 0.84 else 5) * longer
     bands = math.ceil(math.log(miss) / math.log(1 - threshold**rows))
     return bands, rows
 
@@ -107,6 +110,15 @@ def signatures(value: np.ndarray, off: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def buckets(sig: np.ndarray) -> np.ndarray:
+    """Bucket names (row, band) of signatures (row, band, place)."""
+    n, bands, rows = sig.shape
+    band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, (n, bands)).copy()
+    for j in range(rows):
+        band = mix(band * _ODD + sig[:, :, j])
+    return band
+
+
 def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +129,7 @@ def _sketch(k: int, bands: int, rows: int):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value), dtype=np.uint64)])
                 node = mix((total[at[1:]] - total[at[:-1]]) * _ODD + size.astype(np.uint64)).view(np.int64)
                 sig = signatures(value, at, bands * rows).reshape(hi - lo, bands, rows)
-                band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, (hi - lo, bands)).copy()
-                for j in range(rows):
-                    band = mix(band * _ODD + sig[:, :, j])
+                band = buckets(sig)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "kd", "kt")], pa.array(size.astype(np.int64)), pa.array(node), lists],
@@ -141,6 +151,23 @@ def _sets(k: int):
     return run
 
 
+def _longer(bands: int, rows: int):
+    """(node, comp, items) to node, comp and the buckets of longer bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                items = part.column("items")
+                value = items.flatten().to_numpy().view(np.uint64)
+                off = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+                band = buckets(signatures(value, off, bands * rows).reshape(len(part), bands, rows)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), pa.array(band.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("comp"), lists], names=["node", "comp", "bands"])
+
+    return run
+
+
 def block_links(num: int, den: int):
     """Compares two blocks of sets; returns links that join components within the pair, a forest at most."""
 
@@ -190,11 +217,28 @@ def block_links(num: int, den: int):
     return run
 
 
-def _missed(s: Scratch, sets: DataFrame, group: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+def _within_buckets(s: Scratch, large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, gid, comp) of large groups once for each longer bucket that holds several components; buckets of the same members count once."""
+    bands, rows = bands_for(threshold, longer=2)
+    banded = large.join(sets, "node").select("node", "comp", "items").mapInArrow(_longer(bands, rows), "node long, comp long, bands array<long>")
+    spread = s.save(banded.select("node", F.explode("bands").alias("gid"), "comp"), "spread")
+    seen = spread.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)])
+    once = s.save(seen.where("lo <> hi").groupBy("h0", "h1").agg(F.min("gid").alias("gid")).select("gid"), "once")
+    out = s.save(spread.join(once, "gid", "left_semi").select("node", "gid", "comp"), "shared")
+    s.drop(spread, once)
+    return out
+
+
+def _missed(s: Scratch, sets: DataFrame, stand: DataFrame, group: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     """Links (as pairs of components) in candidate groups that did not end as one component."""
     member = group.join(comp, "node", "left").select("node", "gid", F.coalesce("comp", "node").alias("comp"))
-    open_ = s.save(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid"), "open")
-    member = s.save(member.join(open_, "gid", "left_semi").join(sets, "node").select("node", "gid", "comp", "items", F.size("items").alias("n")), "members")
+    member = s.save(member.join(stand.select("node", "n"), "node"), "grouped")
+    fills = (F.sum("n") > BLOCK_ELEMENTS) | (F.count("*") > BLOCK_ROWS // 2)
+    open_ = s.save(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), fills.alias("large")).where("lo <> hi").select("gid", "large"), "open")
+    small = member.join(open_.where("not large"), "gid", "left_semi").select("node", "gid", "comp")
+    large = member.join(open_.where("large"), "gid", "left_semi").select("node", "comp")
+    member = small.union(_within_buckets(s, large, sets, num / den))
+    member = s.save(member.join(sets, "node").select("node", "gid", "comp", "items", F.size("items").alias("n")), "members")
     # a component that fills blocks of its own is a unit; what is smaller shares unit 0
     sizes = member.groupBy("gid", "comp").agg(F.sum("n").alias("elements"), F.count("*").alias("m"))
     unit = F.when((F.col("elements") >= BLOCK_ELEMENTS) | (F.col("m") >= BLOCK_ROWS // 2), F.col("comp")).otherwise(F.lit(0))
@@ -245,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     links = _confirm(s, star, sets, num, den)
     comp = components(s, links, "hub", "node").withColumnRenamed("id", "node")
     group = components(s, star, "hub", "node").select(F.col("id").alias("node"), F.col("comp").alias("gid"))
-    more = s.save(_missed(s, sets, group, comp, num, den), "missed")
+    more = s.save(_missed(s, sets, stand, group, comp, num, den), "missed")
     s.drop(sets, star, links, touched, need)
     over = components(s, more).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
     comp = stand.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))

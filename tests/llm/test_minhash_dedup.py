@@ -131,3 +131,29 @@ def test_sets_longer_than_a_block(spark, monkeypatch):
 def test_an_empty_block_has_no_links():
     pdf = pd.DataFrame({"comp": [1], "block": [1], "items": [np.arange(3)]})
     assert len(M.block_links(80, 100)((0, 0, 1), pdf)) == 0 and len(M.block_links(80, 100)((0, 1, 2), pdf)) == 0
+
+
+def test_a_large_group_of_low_similarity_is_cut_along_buckets(spark, monkeypatch):
+    pairs = []
+    monkeypatch.setattr(M, "BLOCK_ROWS", 40)
+    real = M._within_buckets
+
+    def counted(s, large, *rest):
+        out = real(s, large, *rest)
+        pairs.append((large.count(), sum(r["count"] * (r["count"] - 1) // 2 for r in out.groupBy("gid").count().collect())))
+        return out
+
+    monkeypatch.setattr(M, "_within_buckets", counted)
+    for n in (300, 1500):
+        r = random.Random(5)
+        template = [f"t{i}" for i in range(60)]
+        rows = []
+        for i in range(n):
+            own = [f"o{r.randrange(10**6)}" for _ in range(33)]
+            rows.append((i, " ".join([*template, *own]) if i % 10 else rows[-1][1] + " tail" if rows else "x"))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted(tuple(x) for x in M.near_duplicates(df, 3, 85, 100).collect())
+        want = {d: (d - 1 if d and d % 10 == 0 else d) for d, _ in rows}
+        assert {d: c for d, _, c, _ in got} == want
+    (m1, p1), (m2, p2) = pairs
+    assert m2 > 4 * m1 > 1000 and p2 < 0.05 * m2 * (m2 - 1) / 2
