@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, table
 
 THRESHOLD = 0.9
-#: Vectors that centroids are fitted on, at most; vectors in one block; vectors a cell on average.  At the exact margin a vector
-#: visits up to half of the cells, so cells are few and large: below a few thousand vectors a cell, visits outgrow what cells save.
-SAMPLE, BLOCK, CELL = 16_384, 2048, 8192
+#: Vectors that centroids are fitted on, at most; vectors in one block; vectors a cell on average; cells at most (beyond, cells grow;
+#: the centroids are broadcast).  At the exact margin a vector visits up to half of the cells, so cells are few and large: below a
+#: few thousand vectors a cell, visits outgrow what cells save.
+SAMPLE, BLOCK, CELL, CELLS = 16_384, 2048, 8192, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -51,7 +52,6 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 def _cells(centroids: np.ndarray, margin: float):
     """Rows (vec, dim, embedding) to rows for each cell that the vector belongs to or visits."""
-    gap = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2) if len(centroids) else np.zeros((0, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +66,8 @@ def _cells(centroids: np.ndarray, margin: float):
                     dots = _unit(part.column("embedding").take(pa.array(fit))) @ centroids.T
                     own = dots.argmax(1)
                     over = dots[np.arange(len(fit)), own][:, None] - dots
-                    visit = (over <= margin * gap[own] + 1e-9) & (np.arange(len(centroids))[None, :] > own[:, None])
+                    apart = np.sqrt(np.maximum(2 - 2 * (centroids[own] @ centroids.T), 0))  # of unit centroids
+                    visit = (over <= margin * apart + 1e-7) & (np.arange(len(centroids))[None, :] > own[:, None])
                     i, c = np.nonzero(visit)
                     row, cell, home = [fit, fit[i]], [own, c], [np.ones(len(fit), bool), np.zeros(len(i), bool)]
                 rest = np.flatnonzero(dim != centroids.shape[1])  # vectors of other lengths have a cell of their own length each
@@ -125,7 +126,7 @@ def embedding_links(s: Scratch, vectors: DataFrame, threshold: float, cells: int
     """vectors: vec, weight, dim, embedding (distinct) to (vec, n, root) rows, several a vector."""
     size = vectors.agg(F.count("*").alias("n"), F.mode("dim").alias("dim")).first()
     n, dim = size["n"], size["dim"] or 1
-    k = cells or min(1024, max(1, n // CELL))
+    k = cells or min(CELLS, max(1, n // CELL))
     sample = vectors.where(F.col("dim") == dim).where(F.rand(17) < min(1.0, 2 * SAMPLE / max(n, 1))).select("embedding").limit(SAMPLE).toPandas()
     if len(sample):
         x = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
