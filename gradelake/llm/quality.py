@@ -1,8 +1,9 @@
 """Document quality: random Fourier features, ridge by summed normal equations, isotonic calibration.
 
 Only statistics of a text's own characters, words and lines are inputs.  Each
-partition sums its part of the normal equations and of the calibration counts;
-the driver solves a system whose size is a parameter, whatever the corpus size.
+partition sums its part of the normal equations and of the calibration counts, fold by fold;
+the driver solves systems whose size is a parameter, whatever the corpus size.  The
+calibration sees each labelled row's score by the weights of the other folds.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import Scratch, table
 from .minhash_dedup import _SPACE, shingles
 from .textbytes import CHUNK, Rolling, by_bytes, view
 
-#: Random features, ridge, kernel width (in standard deviations), steps of the calibration.
-FEATURES, RIDGE, WIDTH, STEPS, SEED = 192, 1e-3, 4.0, 2000, 11
+#: Random features, ridge, kernel width (in standard deviations), steps of the calibration, folds that it is fitted over.
+FEATURES, RIDGE, WIDTH, STEPS, SEED, FOLDS = 192, 1e-3, 4.0, 2000, 11, 4
 THRESHOLD = 0.3
 
 _CLASSES = {
@@ -116,6 +117,7 @@ class Model:
         self.w = r.standard_normal((len(mean), features)) / (width * np.sqrt(len(mean)) / 3)
         self.b = r.uniform(0, 2 * np.pi, features)
         self.weights = np.zeros(features + 1)
+        self.without = np.zeros((0, features + 1))  # the weights without each fold
         self.knots = (np.array([0.0]), np.array([0.5]))
 
     def features(self, x: np.ndarray) -> np.ndarray:
@@ -144,18 +146,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs), np.array(ys)
 
 
-def _sums(model: Model):
-    """Each partition's sum of features times features and label, as one row."""
+def _sums(model: Model, folds: int):
+    """Each partition's sum of features times features and label by fold, as rows of the matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(model.weights)
-        total = np.zeros((d, d + 1))
+        total = np.zeros((folds, d, d + 1))
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                phi, y = model.features(_matrix(part.column("stats"))), part.column("y").to_numpy().astype(float)
-                total += phi.T @ np.column_stack([phi, y])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(list(total))], names=["i", "v"])
+                phi, y, fold = model.features(_matrix(part.column("stats"))), part.column("y").to_numpy().astype(float), part.column("fold").to_numpy()
+                for f in np.unique(fold):
+                    p = phi[fold == f]
+                    total[f] += p.T @ np.column_stack([p, y[fold == f]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(folds * d, dtype=np.int32)), pa.array(list(total.reshape(folds * d, d + 1)))], names=["i", "v"])
 
     return run
 
@@ -163,29 +167,41 @@ def _sums(model: Model):
 def _raw(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch.column("stats")))), batch.column("y")], names=["raw", "y"])
+            weights = model.without[batch.column("fold").to_numpy()]
+            raw = (model.features(_matrix(batch.column("stats"))) * weights).sum(1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column("y")], names=["raw", "y"])
 
     return run
 
 
-def fit(s: Scratch, measured: DataFrame, labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, steps: int = STEPS, seed: int = SEED) -> Model:
-    """A model from all labelled rows (stats, y in {0, 1}); the centre and scale come from all of ``measured``."""
+def solve(total: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from summed normal equations (d, d + 1), the last feature being the constant."""
+    d = len(total)
+    n = total[d - 1, d - 1]
+    if not n:
+        return np.zeros(d)
+    return np.linalg.solve(total[:, :d] + ridge * n * np.diag([*[1.0 / (d - 1)] * (d - 1), 1e-9]), total[:, d])
+
+
+def fit(s: Scratch, measured: DataFrame, labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, steps: int = STEPS, seed: int = SEED, folds: int = FOLDS) -> Model:
+    """A model from all labelled rows (stats, y in {0, 1}, fold); the centre and scale come from all of ``measured``."""
     each = measured.select(F.posexplode("stats").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
     got = sorted(each.collect())  # a row a statistic
     mean = np.array([r["m"] for r in got]) if got else np.zeros(1)
     sd = np.array([r["sd"] or 0.0 for r in got]) if got else np.ones(1)
     model = Model(mean, np.where(sd > 1e-9, sd, 1.0), features, width, seed)
-    rows = s.save(labelled.select("stats", F.col("y").cast("int").alias("y")), "labelled")
+    rows = s.save(labelled.select("stats", F.col("y").cast("int").alias("y"), F.col("fold").cast("int").alias("fold")), "labelled")
     d = features + 1
-    parts = rows.mapInArrow(_sums(model), "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
-    flat = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # d * (d + 1) sums
-    total = np.zeros((d, d + 1))
+    parts = rows.mapInArrow(_sums(model, folds), "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
+    flat = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("v")).collect()  # folds * d rows of d + 1 sums
+    total = np.zeros((folds * d, d + 1))
     for r in flat:
-        total[r["i"], r["j"]] = r["x"]
-    n = total[d - 1, d - 1]
-    if not n:
+        total[r["i"]] = [x["x"] for x in r["v"]]
+    total = total.reshape(folds, d, d + 1)
+    if not total[:, d - 1, d - 1].any():
         return model
-    model.weights = np.linalg.solve(total[:, :d] + ridge * n * np.diag([*[1.0 / features] * features, 1e-9]), total[:, d])
+    model.weights = solve(total.sum(0), ridge)
+    model.without = np.array([solve(total.sum(0) - t, ridge) for t in total])
     bins = rows.mapInArrow(_raw(model), "raw double, y int").withColumn("bin", F.floor(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * steps))
     hist = sorted(bins.groupBy("bin").agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect())  # 3 * steps rows at most
     model.knots = isotonic(np.array([r["x"] for r in hist]), np.array([r["y"] for r in hist]), np.array([float(r["n"]) for r in hist]))
@@ -204,15 +220,15 @@ def _held(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of ``row`` (a struct of the columns but text) and ``stats``."""
+def _fitted(docs: DataFrame, labels: DataFrame, texts: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and the stored table of ``row`` (a struct of the columns, of ``text`` only if ``texts``) and ``stats``."""
     s = Scratch(docs.sparkSession, "quality")
-    columns = [c for c in docs.columns if c != "text"]
+    columns = [c for c in docs.columns if texts or c != "text"]
     d = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     measured = s.save(d.mapInArrow(_measure, T.StructType([d.schema["row"], T.StructField("stats", T.ArrayType(T.DoubleType()))])), "statistics")
     known = labels.where("quality is not null and doc_id is not null").where(~_held("doc_id")).select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").alias("y"))
-    labelled = measured.select(F.col("row.doc_id").cast("long").alias("id"), "stats").join(known, F.col("id") == F.col("label_id")).select("stats", "y")
-    return fit(s, measured, labelled), measured
+    labelled = measured.select(F.col("row.doc_id").cast("long").alias("id"), "stats").join(known, F.col("id") == F.col("label_id"))
+    return fit(s, measured, labelled.select("stats", "y", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold"))), measured
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -228,21 +244,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return scored.select("row", _held("row.doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _good(model: Model, column: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = view(batch.column(column))
-            keep = [model.score(statistics(raw, off[lo : hi + 1])) >= threshold for lo, hi in by_bytes(off, CHUNK // 2)]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
-
-    return run
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects (score below the threshold); no shuffle of texts."""
-    model, _ = _fitted(docs.select("doc_id", "text"), labels)
-    return docs.mapInArrow(_good(model, docs.columns.index("text"), threshold), docs.schema)
+    """``docs`` without the rows that the classifier rejects (score below the threshold).
+
+    Rows are stored once with their statistics, so texts are measured once and never shuffled.
+    """
+    model, measured = _fitted(docs, labels, texts=True)
+    scored = measured.mapInArrow(_score(model), T.StructType([measured.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.where(F.col("score") >= threshold).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
