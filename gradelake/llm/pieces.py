@@ -2,10 +2,11 @@
 
 The distinct marked words of a batch are sorted, which puts them in the order of a
 depth-first walk through their trie; each word reuses the forward states of the prefix
-it shares with the word before and only extends what is new.
+it shares with the word before and only extends what is new.  One walk finds two paths:
 
-* Unigram models: the state of a prefix is its best score (Viterbi).
-* BPE models: merges depend on priorities, not on sums, but the encoding of a prefix
+* The best-scored path (Viterbi): the state of a prefix is its best sum of piece scores, the start of the last piece on that path and
+  the number of pieces.  For a unigram model this is the encoding.
+* For a BPE model merges depend on priorities, not on sums, but the encoding of a prefix
   still has exactly one last piece ``t`` such that the encoding of the rest ends in a piece
   ``u`` and the string ``ut`` encodes as just ``u, t`` (a merge across a border of pieces would
   show in those two alone).  So the state of a prefix is its last piece, found among the pieces that
@@ -15,6 +16,7 @@ it shares with the word before and only extends what is new.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,9 +30,9 @@ from .common import table
 from .tokens import sentence_pieces
 
 MARK = "▁"
-#: Words that a worker remembers, and checked pairs of pieces; beyond, it starts afresh.  Words of more characters than ``LONG``
-#: (texts without spaces) are encoded, but not remembered.
-WORDS, PAIRS, LONG = 800_000, 1_000_000, 256
+#: Words that a worker remembers, their characters, and checked pairs of pieces; beyond, it starts afresh.  Words of more characters
+#: than ``LONG`` (texts without spaces) are encoded, but not remembered.
+WORDS, CHARS, PAIRS, LONG = 500_000, 12_000_000, 1_000_000, 256
 
 
 class PieceModel:
@@ -43,19 +45,17 @@ class PieceModel:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("pieces that span words are not supported")
         self.unknown = min(self.score.values(), default=0.0) - 10.0
-        if kind == "bpe":
-            usable = {p for p in self.score if len(p) == 1 or self.merge(p) == [p]}
-        else:
-            usable = set(self.score)
-        #: Every prefix of a piece, and whether it is one that encodes as itself.
-        self.begins: dict[str, bool] = {}
-        for p in usable:
+        #: Every prefix of a piece: None, or (score, whether it encodes as itself) where it is a piece.
+        self.begins: dict[str, tuple[float, bool] | None] = {}
+        for p, s in self.score.items():
             for n in range(1, len(p)):
-                self.begins.setdefault(p[:n], False)
-            self.begins[p] = True
+                self.begins.setdefault(p[:n], None)
+            self.begins[p] = (s, kind != "bpe" or len(p) == 1 or self.merge(p) == [p])
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.words: dict[str, bytes] = {}
+        #: Of each word its ids, the number of pieces on its best-scored path and that path's score.
+        self.words: dict[str, tuple[bytes, int, float]] = {}
+        self.chars = 0
 
     def merge(self, text: str) -> list[str]:
         """The pieces by merging the best-scored pair of neighbours, the left-most first, until none is in the vocabulary."""
@@ -85,49 +85,51 @@ class PieceModel:
         """The ids of one character: its piece, or its bytes."""
         return self.code.get(char) or b"".join(self.byte_ids[b].to_bytes(4, "little") for b in char.encode())
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids (little-endian 32-bit) of each marked word."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[bytes, int, float]]:
+        """Ids (little-endian 32-bit) of each marked word, and the number of pieces and the score of its best-scored path."""
         if self.n_pairs > PAIRS:
             self.pairs, self.n_pairs = {}, 0
         out, before = {}, ""
-        # by prefix length: last piece, score, and the starts of what may still become a piece
-        last, best, open_ = [""], [0.0], [[]]
-        begins, code, pairs, bpe = self.begins.get, self.code, self.pairs, self.kind == "bpe"
+        # by prefix length: last piece, best score, pieces on that path, start of its last one, and the starts of what may still become a piece
+        last, best, count, back, open_ = [""], [0.0], [0], [0], [[]]
+        begins, code, pairs, bpe, unknown, absent = self.begins.get, self.code, self.pairs, self.kind == "bpe", self.unknown, ()
         for w in sorted(words):
             n = min(len(w), len(before))
             shared = 0
             while shared < n and w[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :], open_[shared + 1 :]
+            for state in (last, best, count, back, open_):
+                del state[shared + 1 :]
             for i in range(shared + 1, len(w) + 1):
-                starts, at, top = [], -1, 0.0
+                starts, at, top, way = [], -1, 0.0, -1
                 for a in open_[i - 1]:
                     t = w[a:i]
-                    whole = begins(t)
-                    if whole is None:
+                    piece = begins(t, absent)
+                    if piece == absent:
                         continue
                     starts.append(a)
-                    if whole and bpe:
-                        if at < 0:  # the longest starts come first, and just one piece can be the last
-                            u = last[a]
-                            if not u:
+                    if piece is None:
+                        continue
+                    if way < 0 or best[a] + piece[0] > top:
+                        top, way = best[a] + piece[0], a
+                    if at < 0 and bpe and piece[1]:  # the longest starts come first, and just one piece can be the last
+                        u = last[a]
+                        if not u:
+                            at = a
+                        else:
+                            ok = pairs[u].get(t) if u in pairs else None
+                            if ok if ok is not None else self.stays(u, t):
                                 at = a
-                            else:
-                                ok = pairs[u].get(t) if u in pairs else None
-                                if ok if ok is not None else self.stays(u, t):
-                                    at = a
-                    elif whole and (at < 0 or best[a] + self.score[t] > top):
-                        top, at = best[a] + self.score[t], a
-                t = w[i - 1]
                 starts.append(i - 1)
-                if not bpe:
-                    alone = best[i - 1] + self.score.get(t, self.unknown)
-                    at, top = (i - 1, alone) if at < 0 or alone >= top else (at, top)
+                alone = begins(w[i - 1], absent) or (unknown,)
+                if way < 0 or best[i - 1] + alone[0] >= top:
+                    top, way = best[i - 1] + alone[0], i - 1
                 if at < 0:
                     at = i - 1
-                t = w[at:i]
-                last.append(t)
+                last.append(w[at:i] if bpe else w[way:i])
                 best.append(top)
+                count.append(count[way] + 1)
+                back.append(way)
                 open_.append(starts)
             ids, i = [], len(w)
             while i:  # back from piece to piece
@@ -135,12 +137,12 @@ class PieceModel:
                 ids.append(code.get(t) or self.spell(t))
                 i -= len(t)
             ids.reverse()
-            out[w] = b"".join(ids)
+            out[w] = b"".join(ids), count[-1], best[-1]
             before = w
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts.  A text is marked: a mark in front, and for each space."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, int, float]]:
+        """Ids of whole texts, and the number of pieces and the score of their best-scored paths.  A text is marked: a mark in front, and for each space."""
         split = []
         for text in texts:
             parts = text.split(" ") if text else []
@@ -149,19 +151,21 @@ class PieceModel:
             else:
                 parts = [MARK + p for p in parts]
             split.append(parts)
-        missing = set().union(*split) - self.words.keys() if split else set()
+        known, missing = self.words, set().union(*split) - self.words.keys() if split else set()
         if missing:
-            if len(self.words) + len(missing) > WORDS:
-                self.words = {}
+            if len(self.words) + len(missing) > WORDS or self.chars > CHARS:
+                self.words, self.chars = {}, 0
                 missing = set().union(*split)
             fresh = self.encode_words(missing)
             long = {w: fresh.pop(w) for w in missing if len(w) > LONG}
             self.words |= fresh
-            if long:
-                get = lambda w: long[w] if len(w) > LONG else self.words[w]
-                return [b"".join(map(get, parts)) for parts in split]
-        get = self.words.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+            self.chars += sum(map(len, fresh))
+            known = self.words | long if long else self.words
+        out, get = [], known.__getitem__
+        for parts in split:
+            codes, counts, scores = zip(*map(get, parts), strict=True) if parts else ((), (), ())
+            out.append((b"".join(codes), sum(counts), math.fsum(scores)))
+        return out
 
     @functools.cached_property
     def spelled(self) -> dict[int, bytes]:
@@ -215,7 +219,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for lo, rows in _slices(batch.column("text")):
                 part = batch.slice(lo, len(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(model.encode(rows))], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists([c for c, _, _ in model.encode(rows)])], names=[*part.schema.names, "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
     return d.mapInArrow(run, f"{fields}, ids array<int>")
@@ -236,26 +240,28 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def piece_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_ids, ids_crc32, decoded_crc32 and round_trip.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_ids, ids_crc32, n_best, best_score, decoded_crc32 and round_trip.
 
-    Every whole text is encoded and decoded again.  ``round_trip`` is false only where a
-    text holds the mark character itself, which decodes to a space.
+    Every whole text is encoded and decoded again.  ``n_best`` and ``best_score`` are the number of pieces and the summed piece
+    scores of the best-scored path (a character that is no piece counts as one, 10 below the least score).
+    ``round_trip`` is false only where a text holds the mark character itself, which decodes to a space.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(path)
         for batch in batches:
             for lo, rows in _slices(batch.column("text")):
-                codes = model.encode(rows)
+                codes, counts, scores = zip(*model.encode(rows), strict=True)
                 back = [model.decode(np.frombuffer(c, np.uint32).tolist()) for c in codes]
                 cols = [
-                    pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array([zlib.crc32(c) for c in codes], pa.int64()),
+                    pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array([zlib.crc32(c) for c in codes], pa.int64()), pa.array(counts, pa.int64()), pa.array(scores, pa.float64()),
                     pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()), pa.array([a == b for a, b in zip(rows, back, strict=True)]),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(rows)), *cols], names=["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
+                names = ["doc_id", "n_ids", "ids_crc32", "n_best", "best_score", "decoded_crc32", "round_trip"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(rows)), *cols], names=names)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return d.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_best long, best_score double, decoded_crc32 long, round_trip boolean")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
