@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import answers
 from .numeric import col
 
 
@@ -31,10 +32,11 @@ def multi_choice(got, want, n, score, all_or_nothing: bool = False) -> Column:
 
 
 def short_answer(text, mode, answer, keywords, score) -> Column:
-    """EXACT or CONTAINS (every keyword) by rule; null without a rule."""
-    t, s = F.trim(F.coalesce(col(text), F.lit(""))), col(score).cast("double")
-    every = F.forall(col(keywords), lambda k: F.contains(t, k)) & (F.size(col(keywords)) > 0)
-    return F.when(col(mode) == "EXACT", F.when(t == F.trim(col(answer)), s).otherwise(0.0)).when(col(mode) == "CONTAINS", F.when(every, s).otherwise(0.0))
+    """EXACT (as a fill-in answer) or CONTAINS (every keyword, in normal form); null without a rule, an answer or keywords, or where unsure."""
+    s, every = col(score).cast("double"), answers.holds_all(col(text), col(keywords))
+    same = answers.same_text(col(text), col(answer))
+    exact = F.when(same == answers.SAME, s).when(same == answers.DIFFERENT, 0.0)
+    return F.when(col(mode) == "EXACT", exact).when(col(mode) == "CONTAINS", F.when(every, s).when(~every, 0.0))
 
 
 def map_display_keys(keys, order) -> Column:

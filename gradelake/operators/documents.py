@@ -12,11 +12,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.numeric import round_half_up
+from ..sources.shared import stored
 
 
 def hash_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's content hash, the first document with it, and how many share it."""
-    d = docs.select(key, X.content_hash(text).alias("hash"))
+    d = stored(docs.select(key, X.content_hash(text).alias("hash")), "hashes")  # texts are read and hashed once
     g = d.groupBy("hash").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
     return d.join(g, "hash").select(key, "hash", "first_id", "copies")
 
@@ -86,18 +87,18 @@ def _block_pairs(threshold: float):
 def similar_vectors(queries: DataFrame, vectors: DataFrame, threshold: float = 0.92, block: int = 4096) -> DataFrame:
     """A stated set of queries against all vectors: pairs at or above a cosine, in blocks of about ``block`` rows a side.
 
-    Vectors that are null, zero or hold null components match nothing; all others must have one length.
+    Vectors that are null, zero or hold null or non-finite components match nothing, and so do vectors of different lengths.
     """
     def fine(df: DataFrame, key: str) -> DataFrame:
         v = F.transform("embedding", lambda x: x.cast("double"))
-        ok = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()) & F.exists("v", lambda x: x != 0)
-        return df.select(F.col("vec_id").alias(key), v.alias("v")).where(ok)
+        ok = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        return df.select(F.col("vec_id").alias(key), v.alias("v")).where(ok).withColumn("dim", F.size("v"))
 
     q, x = fine(queries, "query_id"), fine(vectors, "vec_id")
     nq, nx = (-(-max(1, df.count()) // block) for df in (queries, vectors))
     q = q.withColumn("bq", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
     x = x.withColumn("bx", F.pmod(F.xxhash64("vec_id"), F.lit(nx)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    out = q.groupBy("bq", "bx").cogroup(x.groupBy("bq", "bx")).applyInPandas(_block_pairs(threshold), "query_id long, vec_id long, cosine double")
+    out = q.groupBy("dim", "bq", "bx").cogroup(x.groupBy("dim", "bq", "bx")).applyInPandas(_block_pairs(threshold), "query_id long, vec_id long, cosine double")
     return out.select("query_id", "vec_id", round_half_up("cosine", 6).alias("cosine"))
 
 

@@ -1,32 +1,33 @@
-"""Prerequisite graphs: closure, cycles, levels and connected components over edge tables."""
+"""Prerequisite graphs: closure, cycles, levels and connected components over edge tables.
+
+Every round is written before the next one reads it, and rounds go on until nothing
+changes; as path lengths double, a chain of n edges takes about log2(n) of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _settle(df: DataFrame, i: int) -> DataFrame:
-    """Cuts the lineage every few rounds with a reliable checkpoint (spark.checkpoint.dir)."""
-    sc = df.sparkSession.sparkContext
-    if i % 4 != 3 or sc._jsc.sc().getCheckpointDir().isEmpty():
-        return df
-    return df.checkpoint()
+from ..sources.shared import stored
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(src, dst, hops): everything reachable, with the least number of edges, by doubling of path lengths."""
-    known = edges.select("src", "dst").distinct().withColumn("hops", F.lit(1))
-    count = known.count()
-    for i in range(rounds):
+def _doubled(paths: DataFrame, best) -> DataFrame:
+    """(src, dst, hops): all paths of ``paths`` joined end to end until no pair of ends is new or better."""
+    known, before = stored(paths), None
+    while True:
+        now = tuple(known.agg(F.count("*"), F.sum("hops")).first())
+        if now == before:
+            return known
+        before = now
         a, b = known.select("src", F.col("dst").alias("mid"), F.col("hops").alias("h1")), known.select(F.col("src").alias("mid"), "dst", F.col("hops").alias("h2"))
         longer = a.join(b, "mid").select("src", "dst", (F.col("h1") + F.col("h2")).alias("hops"))
-        known = _settle(known.unionByName(longer).groupBy("src", "dst").agg(F.min("hops").alias("hops")), i)
-        now = known.agg(F.count("*"), F.sum("hops")).first()
-        if tuple(now) == count:
-            break
-        count = tuple(now)
-    return known
+        known = stored(known.unionByName(longer).groupBy("src", "dst").agg(best("hops").alias("hops")))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops): everything reachable, with the least number of edges."""
+    return _doubled(edges.select("src", "dst").distinct().withColumn("hops", F.lit(1)), F.min)
 
 
 def cycles(reach: DataFrame) -> DataFrame:
@@ -36,33 +37,40 @@ def cycles(reach: DataFrame) -> DataFrame:
     return mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("cycle")).select("cycle", "node")
 
 
-def levels(reach: DataFrame, nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def levels(reach: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest chain of prerequisites below a node; nodes on or above a cycle have none (null)."""
-    stuck = reach.where("src = dst").select(F.col("src").alias("node"))
-    above = reach.join(stuck.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
-    bad = stuck.union(above).distinct()
-    level = nodes.select("node").distinct().join(bad, "node", "left_anti").withColumn("level", F.lit(0))
-    for i in range(rounds):
-        best = edges.join(level.select(F.col("node").alias("dst"), F.col("level").alias("below")), "dst").groupBy(F.col("src").alias("node")).agg((F.max("below") + 1).alias("up"))
-        new = _settle(level.join(best, "node", "left").select("node", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), F.col("level").alias("was")), i)
-        moved = new.where("level > was").limit(1).count()
-        level = new.select("node", "level")
-        if not moved:
-            break
-    return nodes.select("node").distinct().join(level, "node", "left")
-
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the least node reachable, by least labels of neighbours with pointer jumps."""
-    e = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    label = e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for i in range(rounds):
-        near = e.join(label.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        low = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
-        up = low.select(F.col("node").alias("component"), F.col("component").alias("c2"))
-        new = _settle(low.join(up, "component").select("node", F.least("component", "c2").alias("component"), "was"), i)
-        moved = new.where("component <> was").limit(1).count()
-        label = new.select("node", "component")
-        if not moved:
-            break
-    return label
+    stuck = reach.where("src = dst").select(F.col("src").alias("dst")).distinct()
+    bad = stored(stuck.select(F.col("dst").alias("src")).union(reach.join(stuck, "dst", "left_semi").select("src")).distinct())
+    whole = edges.select("src", "dst").distinct().join(bad, "src", "left_anti")  # what lies below a good node is good
+    far = _doubled(whole.withColumn("hops", F.lit(1)), F.max).groupBy(F.col("src").alias("node")).agg(F.max("hops").alias("far"))
+    out = nodes.select("node").distinct().join(far, "node", "left").join(bad.select(F.col("src").alias("node"), F.lit(True).alias("bad")), "node", "left")
+    return out.select("node", F.when(F.col("bad").isNull(), F.coalesce("far", F.lit(0))).alias("level"))
+
+
+def _first(i: int, c: str) -> Column:
+    return F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("p"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable.
+
+    Each round every node points to the one of its neighbours and itself that comes first in an order of that
+    round's own, what is pointed to is followed once more, and edges are redrawn between the ends;
+    an edge is gone when both of its ends meet, so each round leaves a share of the edges.
+    """
+    e = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    e, steps = stored(e.where("src <> dst")), []
+    while not e.isEmpty():
+        i = len(steps)
+        near = e.union(e.select("dst", "src")).groupBy(F.col("src").alias("v")).agg(F.min(_first(i, "dst")).alias("low"))
+        near = stored(near.select("v", F.least("low", _first(i, "v"))["p"].alias("p")))
+        to = stored(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")))
+        steps.append(to)
+        a, b = to.select(F.col("v").alias("src"), F.col("p").alias("a")), to.select(F.col("v").alias("dst"), F.col("p").alias("b"))
+        e = stored(e.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    label = nodes.select("node", F.col("node").alias("at"))
+    for to in steps:
+        label = stored(label.join(to.select(F.col("v").alias("at"), "p"), "at", "left").select("node", F.coalesce("p", "at").alias("at")))
+    least = label.groupBy("at").agg(F.min("node").alias("component"))
+    return label.join(least, "at").select("node", "component")

@@ -62,8 +62,10 @@ def by_question(attempts: DataFrame, answers: DataFrame) -> DataFrame:
 def scores(attempts: DataFrame, answers: DataFrame) -> DataFrame:
     """Finished attempts with their totals and the share of the assignment's scores that are no higher."""
     t = finished(attempts).join(answers.groupBy("attempt_id").agg(r(F.sum("earned"), 2).alias("total")), "attempt_id").where("total is not null")
-    pct = F.cume_dist().over(Window.partitionBy("assignment_id").orderBy("total"))
-    return t.select("assignment_id", "attempt_id", "user_id", "total", r(pct * 100, 1).alias("percentile"))
+    each = t.groupBy("assignment_id", "total").agg(F.count("*").alias("n"))  # the window runs over distinct totals, not over attempts
+    no_higher = F.sum("n").over(Window.partitionBy("assignment_id").orderBy("total"))
+    shares = each.select("assignment_id", "total", (no_higher / F.sum("n").over(Window.partitionBy("assignment_id"))).alias("share"))
+    return t.join(shares, ["assignment_id", "total"]).select("assignment_id", "attempt_id", "user_id", "total", r(F.col("share") * 100, 1).alias("percentile"))
 
 
 def missing(expected: DataFrame, attempts: DataFrame) -> DataFrame:

@@ -82,6 +82,12 @@ def cosine_neardup(s, d):
     return D.similar_vectors(e.where("vec_id % 50 = 0"), e, 0.92)
 
 
+def cosine_neighbours(s, d):
+    """The same query set at a threshold that these vectors do reach."""
+    e = T.scan(s, d, "embeddings")
+    return D.similar_vectors(e.where("vec_id % 50 = 0"), e, 0.45)
+
+
 def greedy_match(s, d):
     """Answers of each conversation to its questions, by falling similarity."""
     c = T.scan(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("item"), "text", "role")
@@ -96,7 +102,7 @@ def spatial_join(s, d):
 
 
 NAMES = [
-    content_hash_dupes, legibility, html_text, running_heads, section_split, merge_continued, issue_dangling_refs, issue_duplicate_options, section_totals, ngram_overlap, trigram_topk, cosine_neardup, greedy_match, spatial_join,
+    content_hash_dupes, legibility, html_text, running_heads, section_split, merge_continued, issue_dangling_refs, issue_duplicate_options, section_totals, ngram_overlap, trigram_topk, cosine_neardup, cosine_neighbours, greedy_match, spatial_join,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -130,6 +136,7 @@ c AS (SELECT item_id, unnest(g) AS g, len(g) AS nc FROM (SELECT *, {_grams('t',
 SELECT query_id, item_id, similarity, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS nth FROM (
   SELECT query_id, item_id, floor(count(*) / (max(nq) + max(nc) - count(*)) * 1e6 + 0.5) / 1e6 AS similarity FROM q JOIN c USING (g) GROUP BY 1, 2)) WHERE nth <= 20""",
     "cosine_neardup": "SELECT q.vec_id AS query_id, e.vec_id, floor(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) >= 0.92",
+    "cosine_neighbours": "SELECT q.vec_id AS query_id, e.vec_id, floor(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) >= 0.45",
     "spatial_join": """WITH p AS (SELECT l_suppkey % 100 AS page, l_orderkey AS point_id, max(l_quantity) AS x, max(l_discount) * 500 AS y FROM lineitem GROUP BY 1, 2), b AS (SELECT p_partkey % 100 AS page, p_partkey AS box_id, CAST(p_size AS DOUBLE) AS x0, p_size + 20.0::DOUBLE AS x1, CAST(p_partkey % 40 AS DOUBLE) AS y0, CAST(p_partkey % 40 + 10 AS DOUBLE) AS y1 FROM part)
 SELECT page, point_id, arg_min(box_id, ((x1 - x0) * (y1 - y0), box_id)) AS box_id, count(*) AS boxes FROM p JOIN b USING (page) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2""",
 }

@@ -180,23 +180,61 @@ def normal_cdf_table(s, d):
     return s.range(-400, 401).select(F.col("id").alias("i"), round_half_up(normal_cdf(F.col("id") / 100.0), 9).alias("p"))
 
 
+#: Stated verdicts: answer, standard answer, verdict.
+TEXT_CASES = [
+    ("0.5", "1/2", "SAME"), ("１／２", "0.50", "SAME"), ("−3", "-3", "SAME"), ("1/-2", "-0.5", "SAME"), ("1,234", "1234", "SAME"), ("$\\dfrac{2}{4}$", "1/2", "SAME"), ("3公分", "3.0公分", "SAME"), ("0.5", "1/2|二分之一", "SAME"), ("|x|=3", "|x|=3", "SAME"),
+    ("0.333", "1/3", "DIFFERENT"), ("水", "空氣", "DIFFERENT"), ("", "1/2", "DIFFERENT"), ("3公分", "4公分", "DIFFERENT"), ("0.6", "1/2|二分之一", "DIFFERENT"), ("水", "3", "DIFFERENT"),
+    ("50%", "0.5", "UNSURE"), ("Co", "CO", "UNSURE"), ("0.03公尺", "3公分|三公分", "UNSURE"), ("√2", "1.414", "UNSURE"), ("一半", "0.5", "UNSURE"), ("三分之二", "1/2|二分之一", "UNSURE"), ("3", "3公分", "UNSURE"), ("1,2", "12", "UNSURE"), ("7", " ", "UNSURE"),
+]
+#: Stated slots as stored (JSON), standard slots, verdict.
+SLOT_CASES = [
+    ('["1","2"]', '["1","2"]', "SAME"), ('{"14":"2","13":"1"}', '["1","2"]', "SAME"), ('{"2":"2","10":"1"}', '["2","1"]', "SAME"), ('["−3","０"]', '["-3","0"]', "SAME"), ("12", '["12"]', "SAME"),
+    ('["1","3"]', '["1","2"]', "DIFFERENT"), ("[]", '["1","2"]', "DIFFERENT"), ('["",null]', '["1","2"]', "DIFFERENT"), ('["1"]', '["1","2"]', "DIFFERENT"), ('["9","50%"]', '["1","0.5"]', "DIFFERENT"), (None, '["1"]', "DIFFERENT"),
+    ('["1","50%"]', '["1","0.5"]', "UNSURE"), ('["1","2","3"]', '["1","2"]', "UNSURE"), ('["1"]', "[]", "UNSURE"), ('["1"]', '["",""]', "UNSURE"),
+]
+#: Stated units and their forms.
+UNIT_CASES = [
+    ("m/s²", "m·s^-2"), ("m·s⁻²", "m·s^-2"), ("m s^-2", "m·s^-2"), ("m/s/s", "m·s^-2"), ("J/(kg·K)", "J·K^-1·kg^-1"), ("N·m", "N·m"), ("m·N", "N·m"), ("µm", "μm"), ("米/秒²", "m·s^-2"), ("公里/小時", "hr^-1·km"), ("公斤·米/秒²", "kg·m·s^-2"),
+    ("莫耳/公升", "L^-1·mol"), ("立方公分", "cm^3"), ("$\\mathrm{m/s^2}$", "m·s^-2"), ("度", "?度"), ("台尺", "?台尺"), ("每公升  3 大卡", "?每公升 3 大卡"), ("km", "km"), ("", ""), (None, ""), ("%", "%"), ("m·m^-1", ""),
+]
+#: Stated short answers: text, mode, answer, keywords, score of 4 (null: a person decides).
+SHORT_CASES = [
+    ("光合 作用", "EXACT", "光合作用", None, 4.0), ("0.5", "EXACT", "1/2|二分之一", None, 4.0), ("呼吸作用", "EXACT", "光合作用", None, 0.0), ("50%", "EXACT", "0.5", None, None), ("x", "EXACT", None, None, None),
+    ("葉綠體 行光合作用", "CONTAINS", None, ["葉綠體", "光合 作用"], 4.0), ("葉綠體", "CONTAINS", None, ["葉綠體", "光合"], 0.0), ("", "CONTAINS", None, ["a"], 0.0), ("a", "CONTAINS", None, [], None), ("a", None, "a", ["a"], None),
+]
+
+
+def _cases(cases, key, names):
+    """The stated case of each row, by its key."""
+    places = [F.struct(*[(F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(n) for n, v in zip(names, case, strict=False)]) for case in cases]
+    kind = ", ".join(f"{n}: {'array<string>' if n == 'keywords' else 'string'}" for n in names)
+    return F.element_at(F.array(*[p.cast(f"struct<{kind}>") for p in places]), (F.col(key) % len(cases) + 1).cast("int"))
+
+
 def grade_fill_text(s, d):
-    """Decimal quantities against the same amounts written as fractions, percents and words."""
-    li = T.scan(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("x"))
-    got = F.format_string("%.2f", F.col("x"))
-    want = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.round(F.col("x") * 100).cast("int").cast("string"), F.lit("/100"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.round(F.col("x") * 100).cast("int").cast("string"), F.lit("%|zero"))).otherwise(F.lit("x+1"))
-    return li.select("l_orderkey", "l_linenumber", "x", A.same_text(got, want).alias("verdict"))
+    """Each line item with a stated answer and standard answer."""
+    li = T.scan(s, d, "lineitem").select("l_orderkey", "l_linenumber", _cases(TEXT_CASES, "l_partkey", ["got", "want"]).alias("c"))
+    return li.select("l_orderkey", "l_linenumber", A.same_text("c.got", "c.want").alias("verdict"))
+
+
+def grade_fill_slots(s, d):
+    o = T.scan(s, d, "orders").select("o_orderkey", _cases(SLOT_CASES, "o_orderkey", ["got", "want"]).alias("c"))
+    return o.select("o_orderkey", A.same_slots(A.slot_list("c.got"), A.slot_list("c.want")).alias("verdict"))
+
+
+def grade_short_answer(s, d):
+    c = T.scan(s, d, "customer").select("c_custkey", _cases(SHORT_CASES, "c_custkey", ["text", "mode", "answer", "keywords"]).alias("c")).select("c_custkey", "c.*")
+    return c.select("c_custkey", G.short_answer("text", "mode", "answer", "keywords", F.lit(4)).alias("earned"))
 
 
 def unit_normalise(s, d):
-    units = ["km/h", "m/s", "公分", "kg*m/s^2", "foo", "g/cm^3", "小時"]
-    p = T.scan(s, d, "part").select("p_partkey", F.element_at(F.array(*[F.lit(u) for u in units]), (F.col("p_partkey") % len(units) + 1).cast("int")).alias("unit"))
-    return p.select("p_partkey", "unit", A.unit_form("unit").alias("form"))
+    p = T.scan(s, d, "part").select("p_partkey", _cases(UNIT_CASES, "p_partkey", ["unit"]).alias("c"))
+    return p.select("p_partkey", A.unit_form("c.unit").alias("form"))
 
 
 NAMES = [
     grade_single, grade_multi_partial, grade_attempt_items, grade_attempt_totals, regrade_diff, sample_consensus, proposal_accuracy, review_priority, vote_tally, calibration_curve, calibration_counts, wilson_interval, predict_weighted,
-    predict_sources, predict_distribution, predict_interval, pairwise_correlation, factor_loadings, reliability_score, mulberry32_stream, placement_draws, placement_montecarlo, combo_analysis, normal_cdf_table, grade_fill_text, unit_normalise,
+    predict_sources, predict_distribution, predict_interval, pairwise_correlation, factor_loadings, reliability_score, mulberry32_stream, placement_draws, placement_montecarlo, combo_analysis, normal_cdf_table, grade_fill_slots, grade_short_answer, grade_fill_text, unit_normalise,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -298,7 +336,17 @@ def _sql_results() -> str:
     return _sql_draws() + ",\nresults AS (" + " UNION ALL ".join(rows) + ")"
 
 
+def _stated(cases, table, key, name, *keys):
+    """The last entry of the stated case of each row."""
+    literal = lambda v: "NULL" if v is None else str(v) if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT {', '.join(keys)}, ([{', '.join(literal(c[-1]) for c in cases)}])[{key} % {len(cases)} + 1] AS {name} FROM {table}"
+
+
 ORACLES = {
+    "grade_fill_text": _stated(TEXT_CASES, "lineitem", "l_partkey", "verdict", "l_orderkey", "l_linenumber"),
+    "grade_fill_slots": _stated(SLOT_CASES, "orders", "o_orderkey", "verdict", "o_orderkey"),
+    "grade_short_answer": _stated(SHORT_CASES, "customer", "c_custkey", "earned", "c_custkey"),
+    "unit_normalise": _stated(UNIT_CASES, "part", "p_partkey", "form", "p_partkey"),
     "grade_single": T.sql("SELECT k, p, n, u, q, CASE WHEN u % 17 = 0 THEN NULL WHEN len(got) <> 1 THEN 0.0 WHEN got[1] = one THEN 5.0 ELSE 0.0 END AS earned FROM keyed", extra=_CHOICES),
     "grade_multi_partial": T.sql(
         """SELECT k, p, n, u, q, CASE WHEN u % 17 = 0 OR len(want) = 0 THEN NULL WHEN len(got) = 0 THEN 0.0 WHEN off = 0 THEN 5.0 ELSE floor(5.0 * greatest(5 - 2 * off, 0) / 5 * 1e6 + 0.5) / 1e6 END AS earned FROM (

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
 from ..sources.tables import SCHEMAS
 
 
@@ -19,12 +20,6 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the warehouse where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, then stops; append mode goes to Parquet files in the shared folder.
 

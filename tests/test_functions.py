@@ -12,6 +12,7 @@ from gradelake.functions import grading as G
 from gradelake.functions import randoms
 from gradelake.functions import text as X
 from gradelake.functions.numeric import erf, normal_cdf, round_bankers, round_half_up, wilson
+from gradelake.plans import grading as PG
 from gradelake.operators import mastery, notify, placement, predict, roster, stats
 
 
@@ -42,18 +43,16 @@ def test_short_answer_rules(spark):
 
 
 def test_rationals_and_units():
-    assert A.compare("0.50", "1/2") == A.SAME
-    assert A.compare("50%", r"$\frac{1}{2}$") == A.SAME
-    assert A.compare("１／２", "0.5") == A.SAME
-    assert A.compare("0.51", "1/2") == A.DIFFERENT
-    assert A.compare("x+1", "1/2") == A.UNSURE
-    assert A.rational("-3.25") == Fraction(-13, 4)
-    assert A.alternatives("a|b") == ["a", "b"]
-    assert A.alternatives("a|") == ["a|"]
-    assert A.fill_slot(["1/2", "3"], ["0.5", "3"]) == A.SAME
-    assert A.fill_slot(["1", "2", "3"], ["1"]) == A.UNSURE
-    assert A.normal_unit("km/h") == "5/18 m^1 s^-1"
-    assert A.normal_unit("zz") == "?"
+    for got, want, verdict in PG.TEXT_CASES:
+        assert A.fill_text(got, want) == verdict, (got, want)
+    assert A.compare("-0", "0") == A.compare("½", "0.5") == A.compare("0.5.", "0.5") == A.SAME
+    assert A.compare("", "√2") == A.DIFFERENT and A.compare(" ", "") == A.SAME
+    assert A.compare(r"\frac{\sqrt{2}}{2}", "0.707") == A.compare("1/0", "2") == A.UNSURE
+    assert A.rational("-3.25") == (Fraction(-13, 4), "") and A.rational("3.5 公分") == (Fraction(7, 2), "公分") and A.rational("3x4") is None
+    assert A.alternatives("a|b") == ["a", "b"] and A.alternatives("a|") == ["a|"] and A.alternatives(" ") == []
+    for unit, form in PG.UNIT_CASES:
+        assert A.normal_unit(unit) == form, unit
+    assert A.same_unit(None, "N") and not A.same_unit("km", "m") and not A.same_unit("N", "kg·m/s^2")
 
 
 def test_rounding(spark):

@@ -91,6 +91,15 @@ def test_cycles_and_closure(spark):
     assert {r["component"] for r in graph.components(e).collect()} == {"a"}
 
 
+def test_levels_and_components_of_a_long_chain(spark):
+    e = spark.range(200).selectExpr("id as src", "id + 1 as dst")
+    e = e.union(spark.createDataFrame([(300, 301), (301, 300), (302, 300)], "src long, dst long"))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
+    got = {r["node"]: r["level"] for r in graph.levels(graph.closure(e), nodes, e).collect()}
+    assert got == {i: 200 - i for i in range(201)} | {300: None, 301: None, 302: None}
+    assert {(r["node"], r["component"]) for r in graph.components(e).collect()} == {(i, 0) for i in range(201)} | {(i, 300) for i in (300, 301, 302)}
+
+
 def test_fullscreen_exits_never_fall_below_zero(spark):
     rows = [(i, "x", kind, f"2024-01-01 00:00:{i:02d}", 100) for i, kind in enumerate(["FULLSCREEN_ENTER", "FULLSCREEN_EXIT", "FULLSCREEN_EXIT", "FULLSCREEN_ENTER", "TAB_VISIBLE"])]
     df = spark.createDataFrame(rows, "event_id int, attempt_id string, type string, at string, duration_ms long").withColumn("at", F.col("at").cast("timestamp"))
