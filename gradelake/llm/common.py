@@ -87,10 +87,10 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Connected components as ``(id, comp)``, ``comp`` the smallest id of each.
 
-    Rounds of contraction: each vertex points to that of its neighbours and itself which is
-    least in an order of the round's own (a hash of id and round, so that a chain
-    shrinks by a constant share whatever its ids are), a pointer jump shortens the
-    chains, and edges are redrawn between what they point to.  Every step is a grouped
+    Rounds of contraction: each vertex points to the least of its neighbours and itself, a pointer
+    jump shortens the chains, and edges are redrawn between what they point to.  Least is the
+    smallest id in every other round, which settles stars at their hubs, and the smallest hash of id and round in
+    the rounds between, so that a chain shrinks by a constant share whatever its ids are.  Every step is a grouped
     minimum with map-side combine or an equi-join with a unique side; the driver only learns whether
     edges are left.  Rows with a null end are ignored.  Empty input gives an empty result.
     """
@@ -102,7 +102,7 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", m
     e = ordered(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
     steps: list[DataFrame] = []
     for i in range(max_rounds):
-        place = lambda c, i=i: F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("p"))
+        place = lambda c, i=i: F.struct((F.xxhash64(F.lit(i), F.col(c)) if i % 2 else F.lit(0)).alias("h"), F.col(c).alias("p"))
         near = e.union(e.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.min(place("b")).alias("low"))
         near = scratch.save(near.select("v", F.least("low", place("v"))["p"].alias("p")), "near")
         up = near.select(F.col("v").alias("w"), F.col("p").alias("q"))

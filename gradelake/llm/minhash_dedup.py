@@ -7,10 +7,10 @@
 3. Bins are banded.  In each bucket all members are joined to its least member only (a star), so a bucket of m
    nodes gives m - 1 candidates.  Candidates are confirmed on the full sets.
 4. A star can miss a link between two outer members.  Buckets are grouped into connected candidate groups; where a group
-   did not end as one component, its nodes are compared on full sets.  A group that fills one block is compared in one
-   task.  A larger one (texts from templates chain many buckets together) is banded anew, in more and longer bands with
+   did not end as one component, its nodes are compared on full sets, block by block of bounded size.  A group of more blocks
+   than a node has buckets (texts from templates chain many buckets together) is banded anew instead, in more and longer bands with
    the same chance of a miss, which unlike texts seldom share, and only nodes of
-   different components in one bucket are compared, in blocks of bounded size where a bucket is larger than one.  Blocks
+   different components in one bucket are compared: so no node is sent to more tasks than it has buckets.  Blocks
    that are one component already are passed over, and only links that join components leave a block.  No list of pairs
    is made, and work follows the sizes of buckets, not of groups.
 """
@@ -233,7 +233,8 @@ def _missed(s: Scratch, sets: DataFrame, stand: DataFrame, group: DataFrame, com
     """Links (as pairs of components) in candidate groups that did not end as one component."""
     member = group.join(comp, "node", "left").select("node", "gid", F.coalesce("comp", "node").alias("comp"))
     member = s.save(member.join(stand.select("node", "n"), "node"), "grouped")
-    fills = (F.sum("n") > BLOCK_ELEMENTS) | (F.count("*") > BLOCK_ROWS // 2)
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / (BLOCK_ROWS // 2)))
+    fills = blocks > bands_for(num / den, longer=2)[0]
     open_ = s.save(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), fills.alias("large")).where("lo <> hi").select("gid", "large"), "open")
     small = member.join(open_.where("not large"), "gid", "left_semi").select("node", "gid", "comp")
     large = member.join(open_.where("large"), "gid", "left_semi").select("node", "comp")

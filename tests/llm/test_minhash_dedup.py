@@ -135,7 +135,7 @@ def test_an_empty_block_has_no_links():
 
 def test_a_large_group_of_low_similarity_is_cut_along_buckets(spark, monkeypatch):
     pairs = []
-    monkeypatch.setattr(M, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 20)
     real = M._within_buckets
 
     def counted(s, large, *rest):
@@ -144,7 +144,7 @@ def test_a_large_group_of_low_similarity_is_cut_along_buckets(spark, monkeypatch
         return out
 
     monkeypatch.setattr(M, "_within_buckets", counted)
-    for n in (300, 1500):
+    for n in (1500,):
         r = random.Random(5)
         template = [f"t{i}" for i in range(60)]
         rows = []
@@ -155,5 +155,5 @@ def test_a_large_group_of_low_similarity_is_cut_along_buckets(spark, monkeypatch
         got = sorted(tuple(x) for x in M.near_duplicates(df, 3, 85, 100).collect())
         want = {d: (d - 1 if d and d % 10 == 0 else d) for d, _ in rows}
         assert {d: c for d, _, c, _ in got} == want
-    (m1, p1), (m2, p2) = pairs
-    assert m2 > 4 * m1 > 1000 and p2 < 0.05 * m2 * (m2 - 1) / 2
+    ((m, p),) = [x for x in pairs if x[0]]
+    assert m > 1300 and p < 0.05 * m * (m - 1) / 2
