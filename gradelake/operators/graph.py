@@ -48,7 +48,8 @@ def levels(reach: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _first(i: int, c: str) -> Column:
-    return F.struct(F.xxhash64(F.lit(i), F.col(c)).alias("h"), F.col(c).alias("p"))
+    """A node's place in the order of round i: by name in even rounds (stars settle at once), by a hash in odd ones (chains shrink)."""
+    return F.struct((F.xxhash64(F.lit(i), F.col(c)) if i % 2 else F.lit(0)).alias("h"), F.col(c).alias("p"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import core, documents, events, grading, paper, relational, roster
+from . import core, documents, events, grading, guards, paper, relational, roster, views
 
-FAMILIES = [core, grading, roster, paper, documents, events, relational]
+FAMILIES = [core, grading, roster, guards, paper, documents, events, relational, views]
 QUERIES = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}
