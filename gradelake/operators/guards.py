@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
-from ..functions.text import FULL, HALF
+from ..functions.text import condensed
 
 KNOWN = ("IN_PROGRESS", "SUBMITTED", "GRADED", "VOIDED")
 MOST_MINUTES = 600
@@ -149,11 +149,6 @@ def _runs(text: Column, n: Column) -> Column:
     return F.when((n > 0) & (F.length(text) >= n), F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
-def condensed(text) -> Column:
-    """Half-width lower case; only digits, a-z and Han characters stay."""
-    return F.regexp_replace(F.lower(F.translate(F.coalesce(col(text), F.lit("")), FULL, HALF)), r"[^0-9a-z\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+", "")
-
-
 def quoted(text: Column) -> Column:
     """What stands in quotation marks of any kind, 1 to 60 characters each."""
     return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"{a}([^{b}]{{1,60}}){b}"), F.lit(1)) for a, b in (("「", "」"), ("『", "』"), ('"', '"'), ("“", "”"))]))

@@ -53,8 +53,12 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     Each file is read whole by one task, as an upload's encoding is known only from all of
     it; big UTF-8 exports go through ``read_csv``, which splits them.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_parse, "path string, encoding string, line long, cells array<string>")
+    return parse_tables(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def parse_tables(files: DataFrame) -> DataFrame:
+    """The same from a table of uploads (path, content)."""
+    return files.select("path", "content").mapInArrow(_parse, "path string, encoding string, line long, cells array<string>")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, multiline: bool = False) -> DataFrame:
