@@ -30,9 +30,34 @@ SENTENCES = {
     "licensed under cc by sa 4 0": "ccbysa4",
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby4",
     "all rights reserved": "reserved",
+    "this library is free software": "free-software",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl-terms",
+    "either version 2 1 of the license or at your option any later version": "gpl21-later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "zero-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-waiver",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution": "epl2",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "boost",
+    "use modification and distribution are subject to the boost software license version 1 0": "boost",
+    "spdx license identifier": "spdx",
 }
+#: Identifiers that stand after an SPDX tag.
+TAGS = [
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "Unlicense", "EPL-2.0", "Zlib", "BSL-1.0", "0BSD", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+]
+SENTENCES |= {" ".join(t.lower().replace("-", " ").replace(".", " ").split()): f"tag-{t}" for t in TAGS}
 _MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
-_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GNU = {"gpl": "", "lgpl": "lesser ", "agpl": "affero "}
+_VERSIONS = {"gpl2-later": "2", "gpl21-later": "2 1", "gpl3-later": "3"}
 _OBTAIN = "you may obtain a copy of the license at"
 _ASIS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"
 _NOWARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and"
@@ -47,16 +72,18 @@ WHOLE = {
     _MIT: "mit-grant",
     f"{_NOWARRANTY} noninfringement": "nowarranty",
     f"{_NOWARRANTY} non infringement": "nowarranty",
-    _GPL: "gpl-terms",
-    f"{_GPL} either version 3 of the license or at your option any later version": "gpl-terms|gpl3-later",
-    f"{_GPL} either version 2 of the license or at your option any later version": "gpl-terms|gpl2-later",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     f"neither the name of the copyright holder nor the names of its {_ENDORSE}": "bsd-endorse",
 }
+for _id, _word in _GNU.items():
+    _terms = f"you can redistribute it and or modify it under the terms of the gnu {_word}general public license as published by the free software foundation"
+    WHOLE[_terms] = f"{_id}-terms"
+    WHOLE |= {f"{_terms} either version {v} of the license or at your option any later version": f"{_id}-terms|{later}" for later, v in _VERSIONS.items()}
 #: The endorsement clause names its holder.
 _HOLDER = "^(?:3 )?neither the name of [a-z0-9 ]{1,200}? nor the names of (?:its|their|any|other|the) contributors"
 #: Ordered rules: the first that fits a place wins over later ones.  A rule is a sequence of sentence identifiers that follow each other, other sentences left out.
 RULES = [
+    *[(t, ["spdx", f"tag-{t}"]) for t in TAGS],
     ("Apache-2.0", ["apache2", "compliance", "obtain", "asis-law"]),
     ("Apache-2.0", ["apache2"]),
     ("MIT", ["mit", "mit-grant", "nowarranty"]),
@@ -66,7 +93,22 @@ RULES = [
     ("GPL-2.0-or-later", ["free-software", "gpl-terms", "gpl2-later"]),
     ("GPL-3.0-or-later", ["gpl-terms", "gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl-terms", "gpl2-later"]),
+    ("LGPL-3.0-or-later", ["free-software", "lgpl-terms", "gpl3-later"]),
+    ("LGPL-2.1-or-later", ["free-software", "lgpl-terms", "gpl21-later"]),
+    ("AGPL-3.0-or-later", ["free-software", "agpl-terms", "gpl3-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-terms", "gpl3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "gpl21-later"]),
+    ("AGPL-3.0-or-later", ["agpl-terms", "gpl3-later"]),
     ("GPL-3.0-only", ["gpl3"]),
+    ("MPL-2.0", ["mpl-terms", "mpl2-copy"]),
+    ("EPL-2.0", ["epl2"]),
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["zero-grant"]),
+    ("Unlicense", ["unlicense", "unlicense-grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant"]),
     ("CC-BY-NC-4.0", ["ccbync4"]),
