@@ -1,9 +1,13 @@
-"""Texts from scans, forms and models taken apart: lines, badges, filled blanks, subjects, rules, dates, JSON (column expressions)."""
+"""Texts from scans, forms and models taken apart: lines, badges, filled blanks, subjects, rules, dates, JSON (column expressions; number words in an Arrow UDF)."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .numeric import col
 
@@ -202,3 +206,32 @@ def advice_issues(advice, numbers, years) -> Column:
         "TOO_LONG": F.length(F.regexp_replace(t, r"\s+", "")) > MOST_ADVICE,
     }
     return F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))
+
+
+#: Number words, and what stands before and after a digit that is one.
+_HAN = {"零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+_SMALL = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), 1)}
+_TENS = {w: i * 10 for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_AHEAD, _UNITS = "第|選項|答案是|答案為|正解是|正確答案是|選", "個項號題步次"
+_ONES = "|".join(w for w, n in _SMALL.items() if n < 10)
+_HAN_TENS = re.compile("([一二兩三四五六七八九]?)十([一二兩三四五六七八九]?)")
+_HAN_ONE = re.compile(f"({_AHEAD})([{''.join(_HAN)}])|([{''.join(_HAN)}])(?=[{_UNITS}])")
+_ENGLISH = re.compile(rf"(?i)\b(?:({'|'.join(_TENS)})(?:[-\s]+({_ONES}))?|({'|'.join(w for w, n in _SMALL.items() if n > 9)}))\b")
+_HUNDRED = re.compile(rf"(?i)\b({_ONES}|\d+)\s+hundred(?:\s+(?:and\s+)?(\d+))?\b")
+_SAID = re.compile(rf"(?i)\b((?:answers?|ans|result|total|option|number|equals|equal to|choose|pick|select|is|are|was|were|gets?|got|be)\s{{0,3}})({_ONES})\b(?!\s+of\b)")
+
+
+def _plain(text: str | None) -> str | None:
+    if text is None:
+        return None
+    t = _HAN_TENS.sub(lambda m: str((_HAN[m[1]] if m[1] else 1) * 10 + (_HAN[m[2]] if m[2] else 0)), text)
+    t = _HAN_ONE.sub(lambda m: (m[1] or "") + str(_HAN[m[2] or m[3]]), t)
+    t = _ENGLISH.sub(lambda m: str(_TENS[m[1].lower()] + _SMALL.get((m[2] or "").lower(), 0) if m[1] else _SMALL[m[3].lower()]), t)
+    t = _HUNDRED.sub(lambda m: str((_SMALL.get(m[1].lower()) or int(m[1])) * 100 + int(m[2] or 0)), t)
+    return _SAID.sub(lambda m: m[1] + str(_SMALL[m[2].lower()]), t)
+
+
+@F.pandas_udf(StringType())
+def plain_numbers(text: pd.Series) -> pd.Series:
+    """Number words as digits: Chinese tens and English teens, tens and hundreds everywhere, single digits only where a number is meant."""
+    return text.map(_plain)

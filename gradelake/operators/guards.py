@@ -198,3 +198,24 @@ def proposal_issues(proposals: DataFrame, rubric: DataFrame, tolerance: float =
     }
     found = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in codes.items()]))
     return p.select("proposal_id", F.explode(found).alias("code"))
+
+
+def submission_checklist(users: DataFrame, programs: DataFrame, items: DataFrame, now, per_year: dict[str, int], per_program: dict[str, int]) -> DataFrame:
+    """(user_id, code, ok, severity): what stands between a user and handing in; what cannot be checked yet is not ok.
+
+    users: user_id; programs: user_id, program, mode, deadline; items: user_id, grade_year, kind, selected_for
+    array<string>.  Uploads open on 30 April and daily from 9 to 21 o'clock of ``now``'s own clock.
+    """
+    over = lambda most: F.greatest(*[(F.count_if(F.col("kind") == k) > m).cast("int") for k, m in most.items()])
+    p = programs.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("mode").isNull()).alias("no_mode"), F.count_if(F.col("mode") == "MIXED").alias("mixed"), F.count_if(F.col("deadline").isNull()).alias("no_deadline"))
+    central = items.groupBy("user_id", "grade_year").agg(over(per_year).alias("o")).groupBy("user_id").agg(F.max("o").alias("central"))
+    chosen = items.select("user_id", "kind", F.explode("selected_for").alias("program")).groupBy("user_id", "program").agg(over(per_program).alias("o")).groupBy("user_id").agg(F.max("o").alias("selected"))
+    j = users.join(p, "user_id", "left").join(central, "user_id", "left").join(chosen, "user_id", "left")
+    n, t = F.coalesce("n", F.lit(0)), _ts(now)
+    rules = [
+        ("WINDOW_START", "INFO", (F.month(t) * 100 + F.dayofmonth(t)) >= 430), ("WINDOW_DAILY", "WARN", F.hour(t).between(9, 20)), ("PROGRAMS_LISTED", "BLOCK", n > 0), ("MODE_CHOSEN", "BLOCK", (n > 0) & (F.col("no_mode") == 0)),
+        ("MODE_NOT_MIXED", "BLOCK", (n > 0) & (F.col("mixed") == 0)), ("DEADLINE_KNOWN", "WARN", (n > 0) & (F.col("no_deadline") == 0)), ("COUNT_CENTRAL", "BLOCK", F.coalesce(F.col("central") == 0, F.lit(True))),
+        ("COUNT_SELECTED", "BLOCK", ((n > 0) | F.col("selected").isNotNull()) & F.coalesce(F.col("selected") == 0, F.lit(True))),
+    ]
+    rows = F.explode(F.array(*[F.struct(F.lit(code).alias("code"), F.coalesce(ok, F.lit(False)).alias("ok"), F.lit(severity).alias("severity")) for code, severity, ok in rules]))
+    return j.select("user_id", rows.alias("r")).select("user_id", "r.*")

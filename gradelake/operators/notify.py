@@ -73,3 +73,23 @@ def next_state(status: Column, tries: Column, ok: Column, stale: Column) -> tupl
     after = F.when(stale, "SKIPPED").when(ok, "SENT").when(tries + 1 >= 5, "FAILED").otherwise("PENDING")
     wait = F.when(~stale & ~ok & (tries + 1 < 5), F.least(F.lit(15.0), F.pow(F.lit(2.0), tries)))
     return F.when(status == "PENDING", after).otherwise(status), F.when(status == "PENDING", wait)
+
+
+def quiet(minute: Column, start: Column, end: Column) -> Column:
+    """``in_quiet_hours`` as an expression over minutes of the day."""
+    inside = F.when(start < end, (minute >= start) & (minute < end)).otherwise((minute >= start) | (minute < end))
+    return F.coalesce(F.when(start != end, inside), F.lit(False))
+
+
+def quiet_end(at_ms: Column, start: Column, end: Column, offset: int = OFFSET_MIN) -> Column:
+    """``quiet_until`` as an expression: the first moment that is not quiet."""
+    minute = F.pmod(F.floor(at_ms / MINUTE_MS) + offset, F.lit(DAY_MIN))
+    wait = F.pmod(end - minute, F.lit(DAY_MIN))
+    then = F.floor(at_ms / MINUTE_MS) * MINUTE_MS + F.when(wait == 0, DAY_MIN).otherwise(wait) * MINUTE_MS
+    return F.when(quiet(minute, start, end), then).otherwise(at_ms).cast("long")
+
+
+def minute_of_day(text: Column) -> Column:
+    """HH:MM as a minute of the day, else null."""
+    part = lambda i: F.nullif(F.regexp_extract(F.trim(text), "^([01]?[0-9]|2[0-3]):([0-5][0-9])$", i), F.lit("")).cast("int")
+    return part(1) * 60 + part(2)

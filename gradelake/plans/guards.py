@@ -97,7 +97,16 @@ def grade_proposal_issues(s, d):
     return G.proposal_issues(*_proposals(s, d))
 
 
-NAMES = [attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
+def submission_checklist(s, d):
+    """Suppliers as students, their line items as pieces and every third part they supply as a program."""
+    li = T.scan(s, d, "lineitem").where("l_linenumber <= 2")
+    u = F.col("l_suppkey").alias("user_id")
+    items = li.select(u, (F.col("l_orderkey") % 30).alias("grade_year"), _pick(["OUTCOME", "DIVERSE", "SUMMARY"], F.col("l_orderkey")).alias("kind"), F.slice(F.array((F.col("l_partkey") % 4).cast("string")), 1, (F.col("l_orderkey") % 2).cast("int")).alias("selected_for"))
+    programs = li.where("l_partkey % 40 = 0 and l_suppkey % 5 > 0").select(u, "l_partkey", F.when(F.col("l_partkey") % 7 > 0, F.when(F.col("l_partkey") % 9 == 0, "MIXED").otherwise("PDF")).alias("mode"), F.when(F.col("l_partkey") % 11 > 0, F.lit("05-20")).alias("deadline")).distinct()
+    return G.submission_checklist(T.scan(s, d, "supplier").select(F.col("s_suppkey").alias("user_id")), programs.withColumnRenamed("l_partkey", "program"), items, "2024-05-03 21:00:00", {"OUTCOME": 6, "DIVERSE": 10}, {"OUTCOME": 20, "DIVERSE": 60})
+
+
+NAMES = [submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
 QUERIES = {f.__name__: f for f in NAMES}
 
 
@@ -159,5 +168,13 @@ ORACLES = {
     "portfolio_may_add": f"""WITH i AS (SELECT l_suppkey AS user_id, l_orderkey * 10 + l_linenumber AS item, l_linenumber, (['G1', 'G2', 'G3', 'G1', 'G3', 'UNKNOWN', 'UNKNOWN'])[l_partkey % 7 + 1] AS grade_year, (['OUTCOME', 'DIVERSE', 'SUMMARY'])[l_orderkey % 3 + 1] AS kind FROM lineitem WHERE l_orderkey % 25 = 0),
 c AS (SELECT *, (SELECT count(*) FROM i o WHERE o.l_linenumber > 1 AND o.user_id = i.user_id AND o.grade_year = i.grade_year AND o.kind = i.kind) AS used FROM i WHERE l_linenumber = 1)
 SELECT user_id, item, NOT stop AS ok, CASE WHEN stop THEN lower(kind) || '_full' END AS reason FROM (SELECT *, grade_year <> 'UNKNOWN' AND CASE kind WHEN 'OUTCOME' THEN used = {QUOTA['OUTCOME']} WHEN 'DIVERSE' THEN used = {QUOTA['DIVERSE']} ELSE false END AS stop FROM c)""",
+    "submission_checklist": """WITH li AS (SELECT l_suppkey AS user_id, l_partkey, l_orderkey % 30 AS y, l_orderkey % 3 AS kind, l_orderkey % 2 AS has FROM lineitem WHERE l_linenumber <= 2),
+p AS (SELECT user_id, count(*) AS n, count(*) FILTER (l_partkey % 7 = 0) AS no_mode, count(*) FILTER (l_partkey % 7 > 0 AND l_partkey % 9 = 0) AS mixed, count(*) FILTER (l_partkey % 11 = 0) AS no_deadline FROM (SELECT DISTINCT user_id, l_partkey FROM li WHERE l_partkey % 40 = 0 AND user_id % 5 > 0) GROUP BY 1),
+c AS (SELECT user_id, bool_or(o > 6 OR v > 10) AS full FROM (SELECT user_id, y, count(*) FILTER (kind = 0) AS o, count(*) FILTER (kind = 1) AS v FROM li GROUP BY 1, 2) GROUP BY 1),
+x AS (SELECT user_id, bool_or(o > 20 OR v > 60) AS full FROM (SELECT user_id, l_partkey % 4, count(*) FILTER (kind = 0) AS o, count(*) FILTER (kind = 1) AS v FROM li WHERE has = 1 GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT s_suppkey AS user_id, coalesce(n, 0) AS n, no_mode, mixed, no_deadline, c.full AS central, x.full AS selected FROM supplier LEFT JOIN p ON p.user_id = s_suppkey LEFT JOIN c ON c.user_id = s_suppkey LEFT JOIN x ON x.user_id = s_suppkey)
+SELECT user_id, 'WINDOW_START' AS code, true AS ok, 'INFO' AS severity FROM j UNION ALL SELECT user_id, 'WINDOW_DAILY', false, 'WARN' FROM j UNION ALL SELECT user_id, 'PROGRAMS_LISTED', n > 0, 'BLOCK' FROM j UNION ALL SELECT user_id, 'MODE_CHOSEN', n > 0 AND no_mode = 0, 'BLOCK' FROM j
+UNION ALL SELECT user_id, 'MODE_NOT_MIXED', n > 0 AND mixed = 0, 'BLOCK' FROM j UNION ALL SELECT user_id, 'DEADLINE_KNOWN', n > 0 AND no_deadline = 0, 'WARN' FROM j UNION ALL SELECT user_id, 'COUNT_CENTRAL', NOT coalesce(central, false), 'BLOCK' FROM j
+UNION ALL SELECT user_id, 'COUNT_SELECTED', (n > 0 OR selected IS NOT NULL) AND NOT coalesce(selected, false), 'BLOCK' FROM j""",
     "grade_proposal_issues": f"WITH {_PROPOSALS} " + " UNION ALL ".join(f"SELECT k AS proposal_id, '{code}' AS code FROM checked WHERE {rule}" for code, rule in _CODES.items()),
 }

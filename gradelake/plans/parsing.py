@@ -35,6 +35,11 @@ ADVICE = [
 ]
 
 
+NUMBERS = [
+    ("答案是二十四", "答案是24"), ("三角函數一起看", "三角函數一起看"), ("第三個選項有十二項", "第3個選項有12項"), ("the answer is twenty-four", "the answer is 24"), ("which one of the twelve", "which one of the 12"), ("one hundred twenty steps", "120 steps"), ("The total is nine", "The total is 9"), (None, "~"),
+]
+
+
 def _rows(s, d, cases, names=("t",)):
     """Every order with one of the stated inputs."""
     kinds = ", ".join(f"{n}: {'array<double>' if n == 'numbers' else 'int' if n == 'years' else 'string'}" for n in names)
@@ -66,6 +71,7 @@ RULES = {
     "parse_consent": (CONSENT, ("t",), lambda: _none(P.consent("t"))),
     "tolerant_json": (JSON, ("t",), lambda: _none(F.try_variant_get(P.tolerant_json("t"), "$.a", "string"))),
     "claim_check": (CLAIMS, ("t",), lambda: _JOIN(P.unmatched_claims("t", F.lit(CORPUS)))),
+    "number_words": (NUMBERS, ("t",), lambda: _none(P.plain_numbers("t"))),
     "tutor_reply_issues": (REPLIES, ("t", "answer", "stem"), lambda: _JOIN(P.reply_issues("t", "answer", "stem"))),
     "advice_issues": (ADVICE, ("t", "numbers", "years"), lambda: _JOIN(P.advice_issues("t", "numbers", "years"))),
 }

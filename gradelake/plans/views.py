@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import dates
+from ..operators import notify
 from ..operators import views as V
 from ..sources import tables as T
 from . import core, roster
@@ -225,8 +227,24 @@ def class_overview(s, d):
     return u.select("class_id", "user_id", "wishes", "conflicts", place.alias("place"))
 
 
+HOURS = ["22:00", "07:30", "25:00", "08:00", "13:15"]
+
+
+def quiet_hours(s, d):
+    e = F.col("event_id")
+    x = T.scan(s, d, "events").select("event_id", F.unix_millis("ts").alias("at_ms"), notify.minute_of_day(_pick(HOURS, e)).alias("start"), notify.minute_of_day(_pick(HOURS, F.floor(e / 5))).alias("end"))
+    return x.select("event_id", "start", "end", notify.quiet_end(F.col("at_ms"), F.col("start"), F.col("end")).alias("send_ms"))
+
+
+def day_range(s, d):
+    """Orders of the local days that a stated range spans; a day that is none leaves nothing out of neither side."""
+    o = T.scan(s, d, "orders").select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("at"), _pick(["1997-02-01", "1997-02-30", "x", "1996-12-31"], F.col("o_orderkey")).alias("first"))
+    low, high = dates.day_range("first", F.lit("1997-03-31"))
+    return o.select("o_orderkey", F.unix_millis(low).alias("low_ms"), ((F.col("at") >= low) & (F.col("at") < high)).alias("inside"))
+
+
 NAMES = [
-    child_summary, class_prior_tasks, unread_count, retention_purge, cohort_siblings, question_usage_detail, proctor_report, proctor_timelines, ability_readiness, review_counters, class_ability, study_plan, best_rule, explanation_pick, effective_ai_level,
+    quiet_hours, day_range, child_summary, class_prior_tasks, unread_count, retention_purge, cohort_siblings, question_usage_detail, proctor_report, proctor_timelines, ability_readiness, review_counters, class_ability, study_plan, best_rule, explanation_pick, effective_ai_level,
     prediction_history, grading_batch_rows, page_window, point_lookup, nested_exists, unused_references, search_or_relation, year_filter, snapshot_sync, rank_import_counts, document_stats, mode_over_pages, genre_detect, stuck_imports, resume_stage, payload_batch, class_overview,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -236,6 +254,10 @@ _TARGETS = "targets AS (SELECT assignment_id, CAST((assignment_id + i * 5) % 25
 _NOTES = f"notes AS (SELECT event_id AS note_id, user_id AS recipient_id, {_list(NOTES, 'event_id')} AS status, CASE WHEN event_id % 3 = 0 THEN ts END AS read_at, ts AS created_at FROM events)"
 _K = "l_orderkey * 7 + l_linenumber"
 ORACLES = {
+    "quiet_hours": """WITH h AS (SELECT event_id, epoch_us(ts) // 1000 AS at_ms, ([1320, 450, NULL, 480, 795])[event_id % 5 + 1] AS s, ([1320, 450, NULL, 480, 795])[event_id // 5 % 5 + 1] AS e FROM events), m AS (SELECT *, (at_ms // 60000 + 480) % 1440 AS minute FROM h)
+SELECT event_id, s AS start, e AS "end", CASE WHEN s <> e AND CASE WHEN s < e THEN minute >= s AND minute < e ELSE minute >= s OR minute < e END THEN at_ms // 60000 * 60000 + CASE WHEN (e - minute + 1440) % 1440 = 0 THEN 1440 ELSE (e - minute + 1440) % 1440 END * 60000 ELSE at_ms END AS send_ms FROM m""",
+    "day_range": """WITH o AS (SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) AS moment, ([TIMESTAMP '1997-01-31 16:00:00', NULL, NULL, TIMESTAMP '1996-12-30 16:00:00'])[o_orderkey % 4 + 1] AS low FROM orders)
+SELECT o_orderkey, CAST(epoch_us(low) // 1000 AS BIGINT) AS low_ms, moment >= low AND moment < TIMESTAMP '1997-03-31 16:00:00' AS inside FROM o""",
     "child_summary": f"""WITH t AS (SELECT o_custkey AS user_id, {_list(STATES, 'o_orderkey')} AS state, o_orderkey % 9 = 0 AS late, o_orderkey % 7 > 2 AS sent, o_orderkey % 4 > 0 AS visible, o_orderkey % 5 > 0 AS has_score FROM orders)
 SELECT user_id, count(*) AS total, count(*) FILTER (state IN ('IN_PROGRESS', 'OPEN')) AS pending, count(*) FILTER (state = 'IN_PROGRESS') AS running, count(*) FILTER (state = 'OPEN') AS open, count(*) FILTER (state = 'UPCOMING') AS upcoming, count(*) FILTER (state = 'DONE') AS done,
   count(*) FILTER (state = 'MISSED') AS missed, count(*) FILTER (late) AS late, count(*) FILTER (sent AND NOT visible) AS waiting, count(*) FILTER (visible AND has_score) AS scored FROM t GROUP BY 1""",
