@@ -48,12 +48,31 @@ def test_against_brute_force(spark):
         assert got == brute(rows, w)
 
 
-def test_long_text_is_cut_into_pieces(spark, monkeypatch):
+def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 1000)
-    rows = corpus(4)
     groups = list(S._segments(S.np.array([0, 10, 5000, 5400]), 200))
     assert groups[0] == [(0, 0, 10)] and groups[1][0] == (1, 0, 1199) and groups[-1] == [(2, 0, 400)]
-    assert rows
+
+
+def test_repeats_over_the_borders_of_pieces(spark):
+    r = S.np.random.default_rng(7)
+    letters = S.np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", S.np.uint8)
+    draw = lambda n: letters[r.integers(0, 27, n)].tobytes()
+    passages = [draw(n) for n in (200, 201, 330, 5000)]
+    long, places = bytearray(draw(5 * S.CHUNK // 2)), []
+    border = S.CHUNK
+    for i, (at, p) in enumerate([(border - 100, 0), (border + 60_000, 3), (2 * border - 2500, 3), (1000, 2), (2 * border + 20_000, 2), (border + 100_000, 1), (len(long) - 201, 1)]):
+        part = b"%c%b%d" % (65 + i, passages[p], i)  # no two have the same neighbours
+        long[at - 1 : at - 1 + len(part)] = part[: len(long) - at + 1]
+        places.append((at, at + len(passages[p])))
+    rows = [(1, long.decode()), (2, "<" + passages[0].decode() + ">"), (3, "(" + passages[0][1:].decode() + draw(500).decode())]
+    got = {x.doc_id: x for x in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(x.start, x.end) for x in got[1].removed] == sorted(places)
+    assert (got[2].n_removed, got[3].n_removed) == (200, 0)
+    kept, at = b"", 0
+    for a, b in sorted(places):
+        kept, at = kept + bytes(long[at:a]), b
+    assert got[1].kept_sha256 == hashlib.sha256(kept + bytes(long[at:])).hexdigest()
 
 
 def test_empty_and_clashing_columns(spark):
