@@ -166,15 +166,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cells: int |
     v = v.withColumn("embedding", F.when(fine, F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))))  # -0.0 to 0.0
     whole = v.where("embedding is not null")
     distinct = whole.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
-    distinct = s.save(distinct.select(F.xxhash64("embedding", F.lit(7)).alias("vec"), "weight", "low", F.size("embedding").alias("dim"), "embedding"), "distinct")
+    names = [F.xxhash64("embedding", F.lit(i)).alias(f"h{i}") for i in (1, 2)]  # 128 bits tell vectors apart; a number stands for each from here on
+    distinct = s.save(distinct.select(F.monotonically_increasing_id().alias("vec"), *names, "weight", "low", F.size("embedding").alias("dim"), "embedding"), "distinct")
     links = embedding_links(s, distinct, threshold, cells, margin)
     comp = components(s, links, "vec", "root")
     degree = links.groupBy("vec").agg(F.sum("n").alias("n"))
-    group = distinct.select("vec", "low", "weight").join(comp, distinct.vec == comp.id, "left").select("vec", "low", "weight", F.coalesce("comp", "vec").alias("comp"))
+    group = distinct.select("vec", "h1", "h2", "low", "weight").join(comp, distinct.vec == comp.id, "left").select("vec", "h1", "h2", "low", "weight", F.coalesce("comp", "vec").alias("comp"))
     named = group.groupBy("comp").agg(F.min("low").alias("component_id"))
-    known = group.join(named, "comp").join(degree, "vec", "left").select("vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    known = group.join(named, "comp").join(degree, "vec", "left").select("h1", "h2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     known = s.save(known, "known")
-    out = v.select("vec_id", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.lit(7))).alias("vec")).join(known, "vec", "left")
+    out = v.select("vec_id", *[F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.lit(i))).alias(f"h{i}") for i in (1, 2)]).join(known, ["h1", "h2"], "left")
     top = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), top.alias("component_id"), F.col("vec_id").eqNullSafe(top).alias("kept"))
 

@@ -1,7 +1,7 @@
 """Near-duplicate documents: one-permutation MinHash, banded buckets, star edges.
 
-1. Every document becomes its set of distinct word shingles (64-bit hashes).  Documents with one and the same set are
-   one *node*; the rest of the work is on nodes.
+1. Every document becomes its set of distinct word shingles (64-bit hashes).  Documents with one and the same set (told
+   by its size and two 64-bit sums) are one *node* with a number of its own; the rest of the work is on nodes.
 2. One hash of each shingle gives both a bin and a value; a bin keeps its least value (one-permutation hashing), and an
    empty bin copies a non-empty one that a universal hash of (bin, attempt) picks (optimal densification).
 3. Bins are banded.  In each bucket all members are joined to its least member only (a star), so a bucket of m
@@ -127,13 +127,14 @@ def _sketch(k: int, bands: int, rows: int):
                 value, at = shingles(raw, off[lo : hi + 1], k)
                 size = np.diff(at)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value), dtype=np.uint64)])
-                node = mix((total[at[1:]] - total[at[:-1]]) * _ODD + size.astype(np.uint64)).view(np.int64)
+                twin = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
+                names = [mix((t[at[1:]] - t[at[:-1]]) * _ODD + size.astype(np.uint64)).view(np.int64) for t in (total, twin)]
                 sig = signatures(value, at, bands * rows).reshape(hi - lo, bands, rows)
                 band = buckets(sig)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "kd", "kt")], pa.array(size.astype(np.int64)), pa.array(node), lists],
-                    names=["doc_id", "kd", "kt", "n_shingles", "node", "bands"],
+                    [*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "kd", "kt")], pa.array(size.astype(np.int64)), *map(pa.array, names), lists],
+                    names=["doc_id", "kd", "kt", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return run
@@ -237,12 +238,15 @@ def _missed(s: Scratch, sets: DataFrame, stand: DataFrame, group: DataFrame, com
     fills = blocks > bands_for(num / den, longer=2)[0]
     open_ = s.save(member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), fills.alias("large")).where("lo <> hi").select("gid", "large"), "open")
     small = member.join(open_.where("not large"), "gid", "left_semi").select("node", "gid", "comp")
-    large = member.join(open_.where("large"), "gid", "left_semi").select("node", "comp")
-    member = small.union(_within_buckets(s, large, sets, num / den))
+    if open_.where("large").isEmpty():
+        member = small
+    else:
+        large = member.join(open_.where("large"), "gid", "left_semi").select("node", "comp")
+        member = small.union(_within_buckets(s, large, sets, num / den))
     member = s.save(member.join(sets, "node").select("node", "gid", "comp", "items", F.size("items").alias("n")), "members")
-    # a component that fills blocks of its own is a unit; what is smaller shares unit 0
+    # a component that fills blocks of its own is a unit; what is smaller shares unit -1
     sizes = member.groupBy("gid", "comp").agg(F.sum("n").alias("elements"), F.count("*").alias("m"))
-    unit = F.when((F.col("elements") >= BLOCK_ELEMENTS) | (F.col("m") >= BLOCK_ROWS // 2), F.col("comp")).otherwise(F.lit(0))
+    unit = F.when((F.col("elements") >= BLOCK_ELEMENTS) | (F.col("m") >= BLOCK_ROWS // 2), F.col("comp")).otherwise(F.lit(-1))
     sizes = s.save(sizes.withColumn("unit", unit), "units")
     parts = F.greatest(F.ceil(F.sum("elements") / BLOCK_ELEMENTS), F.ceil(F.sum("m") / (BLOCK_ROWS // 2))).cast("int")
     blocks = sizes.groupBy("gid", "unit").agg(parts.alias("parts"), F.count("*").alias("comps"))
@@ -272,11 +276,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     s = Scratch(docs.sparkSession, "minhash")
     bands, rows = bands_for(num / den)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *doc_key())
-    sketch = s.save(d.mapInArrow(_sketch(k, bands, rows), "doc_id long, kd long, kt long, n_shingles long, node long, bands array<long>"), "sketch")
+    sketch = s.save(d.mapInArrow(_sketch(k, bands, rows), "doc_id long, kd long, kt long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     full = sketch.where("n_shingles > 0")
     # one stand-in document for each node
-    stand = full.groupBy("node").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("kd").alias("kd"), F.first("kt").alias("kt"))
-    stand = s.save(stand, "nodes")
+    stand = full.groupBy("h1", "h2").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("kd").alias("kd"), F.first("kt").alias("kt"))
+    stand = s.save(stand.withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = stand.select("node", F.explode("bands").alias("bucket"))
     shared = s.save(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub"), "buckets")
     star = s.save(spread.join(shared, "bucket").where("node <> hub").select("hub", "node").distinct(), "stars")
@@ -293,12 +297,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     more = s.save(_missed(s, sets, stand, group, comp, num, den), "missed")
     s.drop(sets, star, links, touched, need)
     over = components(s, more).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-    comp = stand.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    comp = comp.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    comp = stand.select("node", "h1", "h2").join(comp, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
+    comp = comp.join(over, "comp", "left").select("h1", "h2", F.coalesce("top", "comp").alias("comp"))
     comp = s.save(comp, "components")
-    named = s.save(full.select("node", "doc_id").join(comp, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")
-    at = s.save(comp.join(named, "comp").select("node", "component_id"), "node-names")
-    out = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(at, "node", "left")
+    named = s.save(full.select("h1", "h2", "doc_id").join(comp, ["h1", "h2"]).groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")
+    at = s.save(comp.join(named, "comp").select("h1", "h2", "component_id"), "node-names")
+    out = sketch.select("doc_id", "n_shingles", *[F.when(F.col("n_shingles") > 0, F.col(h)).alias(h) for h in ("h1", "h2")]).join(at, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"))
 
 
