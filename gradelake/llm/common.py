@@ -37,7 +37,7 @@ class Scratch:
 
     ``save`` runs a plan, writes it and reads it back, so that later steps start
     from stored rows; the shuffle files of that plan are released when it ends.
-    ``drop`` deletes tables that no later step reads.
+    ``drop`` deletes tables that no later step reads, ``clear`` all of them.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -66,6 +66,12 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        with contextlib.suppress(Exception):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that clashes with none of ``df`` (case-insensitively)."""
     have = {c.lower() for c in df.columns}

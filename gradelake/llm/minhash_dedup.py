@@ -263,7 +263,7 @@ def _missed(s: Scratch, sets: DataFrame, stand: DataFrame, group: DataFrame, com
     return rows.groupBy("gid", "bi", "bj").applyInPandas(block_links(num, den), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """Groups of documents linked by ``den * |A & B| >= num * |A | B|`` over sets of ``k``-word shingles.
 
     docs: doc_id (long), text; other columns are not read.  A row per input row:
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     for the component and each gets its row; a null id never becomes a component id
     unless its whole component has null ids.  An empty table gives an empty result.
     """
-    s = Scratch(docs.sparkSession, "minhash")
+    s = scratch or Scratch(docs.sparkSession, "minhash")
     bands, rows = bands_for(num / den)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *doc_key())
     sketch = s.save(d.mapInArrow(_sketch(k, bands, rows), "doc_id long, kd long, kt long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
@@ -327,13 +327,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     s = Scratch(docs.sparkSession, "keep-one")
     row = free_name(docs, "row")
     rows = s.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k, num, den)
+    work = Scratch(docs.sparkSession, "minhash")
+    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k, num, den, work)
     extra = s.save(near.where("not kept").select(F.col("doc_id").alias("r"), "component_id"), "extra")
+    work.clear()
     member = extra.union(extra.select("component_id", "component_id").distinct())
     rank = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(row).alias("r"))
     member = s.save(rows.select(rank.alias("rank")).join(member, F.col("rank.r") == F.col("r")).select("component_id", "rank"), "ranks")
     stay = member.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.r").alias("stay"))
-    gone = member.select(F.col("rank.r").alias("gone")).join(stay, F.col("gone") == F.col("stay"), "left_anti")
+    # stored, so that its size is known: where it is small, texts are not shuffled
+    gone = s.save(member.select(F.col("rank.r").alias("gone")).join(stay, F.col("gone") == F.col("stay"), "left_anti"), "gone")
+    s.drop(extra, member)
     return rows.join(gone, rows[row] == gone.gone, "left_anti").drop(row)
 
 
