@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, embedding_dedup, license_scan, minhash_dedup, nnls_packing, packing, periodic_runs, pieces, quality, secret_scan, suffix_dedup, url_filter
+from . import audio, embedding_dedup, license_scan, minhash_dedup, nnls_packing, packing, periodic_runs, pieces, quality, secret_scan, spelling_variants, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8,
     "op9_embedding_near_dedup": embedding_dedup.op9,
     "op10_quality_classifier": quality.op10,
+    "op11_spelling_variants": spelling_variants.op11,
     "op12_periodic_runs": periodic_runs.op12,
     "op13_nnls_packing": nnls_packing.op13,
 }
