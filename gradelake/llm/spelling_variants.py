@@ -4,8 +4,8 @@ The key of a word is the sum of the fifth powers of its letters' code points: an
 removed or exchanged letter changes it by a power or a difference of two powers.  Every word
 is entered under its key and under its key less each of its letters' values; two words that differ by one letter meet
 under one value: an exchange at key less letter on both sides, a removal at key less letter on one side and the whole key on the other.
-Values where nobody meets are dropped by a count; only then is letter order verified, by equality of what stays of both words
-when that letter is taken out in its place.  Words that agree in it differ in that one letter, so such a
+Values where nobody meets are dropped by a count; only then is letter order verified: words go on with a hash of what stays when
+that letter is taken out in its place, and those that agree in it are compared.  They differ in that one letter, so such a
 group has no more words than the alphabet has letters, however many anagrams share a value.
 """
 
@@ -28,6 +28,7 @@ TIMES = 5
 DELETE_ONE_IN = 199
 RUNS = re.compile("[A-Za-zÀ-ÿ]+").findall
 _MASK = (1 << 63) - 1
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
 _FLUSH = 400_000
 
 
@@ -87,54 +88,83 @@ def anagram_key(word: str) -> int:
     return sum(ord(c) ** 5 for c in word) & _MASK
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per word its key (no letter) and its key less each of its letters' values."""
-    for batch in batches:
-        out: list[tuple] = []
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            key = anagram_key(word)
-            out.append((key, word, n, None))
-            out += [((key - ord(c) ** 5) & _MASK, word, n, c) for c in set(word)]
-        cols = zip(*out, strict=True) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["value", "word", "n", "letter"])
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per place of the letter: what stays of the word without it; whole words stay as they are, at place -1."""
-    for batch in batches:
-        out: list[tuple] = []
-        for value, word, n, letter in zip(*[batch.column(c).to_pylist() for c in ("value", "word", "n", "letter")], strict=True):
-            if letter is None:
-                out.append((value, word, -1, word, n))
-                continue
-            i = word.find(letter)
-            while i >= 0:
-                out.append((value, word[:i] + word[i + 1 :], i, word, n))
-                i = word.find(letter, i + 1)
-        cols = zip(*out, strict=True) if out else [[]] * 5
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["value", "rest", "place", "word", "n"])
+def rest_hashes(word: str, places: list[int]) -> list[int]:
+    """A polynomial hash (modulo 2**61 - 1) of the word without each of these letters, in time that grows with the word and the places, not their product."""
+    head, tail, power = [0], [0], [1]
+    for c, d in zip(word, reversed(word), strict=True):
+        head.append((head[-1] * _BASE + ord(c)) % _PRIME)
+        tail.append((tail[-1] + ord(d) * power[-1]) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    n = len(word)
+    return [(head[i] * power[n - 1 - i] + tail[n - 1 - i]) % _PRIME for i in places]
+
+
+def word_hash(word: str) -> int:
+    h = 0
+    for c in word:
+        h = (h * _BASE + ord(c)) % _PRIME
+    return h
+
+
+def _rows(columns: dict[str, pa.DataType], make):
+    """A batch function that turns each row (as a tuple) into any number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for row in zip(*[c.to_pylist() for c in batch.columns], strict=True) for r in make(*row)]
+            cols = zip(*out, strict=True) if out else [[]] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, columns.values(), strict=True)], names=list(columns))
+
+    return run
+
+
+_LONG, _TEXT = pa.int64(), pa.string()
+_VALUE_KINDS = {"value": _LONG, "letter": _TEXT, "word": _TEXT, "own": _LONG, "hash": _LONG}
+_PLACE_KINDS = {"value": _LONG, "rest": _LONG, "place": pa.int32(), "own": _LONG, "hash": _LONG}
+
+
+def _values(word: str) -> list[tuple]:
+    """The word's key (no letter), and its key less each of its letters' values."""
+    own, h = anagram_key(word), word_hash(word)
+    return [(own, None, word, own, h), *(((own - ord(c) ** 5) & _MASK, c, word, own, h) for c in set(word))]
+
+
+def _places(value: int, letter: str | None, word: str, own: int, h: int) -> list[tuple]:
+    """Per place of the letter a hash of what stays without it; a whole word stays as it is, at place -1."""
+    if letter is None:
+        return [(value, h, -1, own, h)]
+    at = [m.start() for m in re.finditer(letter, word)]
+    return [(value, rest, i, own, h) for i, rest in zip(at, rest_hashes(word, at), strict=True)]
 
 
 def near_words(words: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Links between words that differ by one added, removed or exchanged letter: word, near, near_n, both ways, each once.
 
-    words: word (distinct, not null) and n.  No pairs of mere anagrams are made.
+    words: word (distinct, not null) and n.  No pairs of mere anagrams are made: words that meet under a value go on only with a hash of
+    their letters in order, and the few that agree in it are compared letter by letter.
     """
     s = scratch or Scratch(words.sparkSession, "near-words")
-    values = s.save(words.select("word", "n").mapInArrow(_values, "value long, word string, n long, letter string"), "values")
+    kinds = "value long, letter string, word string, own long, hash long"
+    values = s.save(words.select("word").mapInArrow(_rows(_VALUE_KINDS, _values), kinds), "values")
     met = values.groupBy("value").agg(F.count("letter").alias("parts"), F.count("*").alias("rows")).where("parts >= 2 or (parts = 1 and rows > 1)").select("value")
-    kept = values.join(met, "value", "left_semi").mapInArrow(_places, "value long, rest string, place int, word string, n long")
-    kept = s.save(kept, "places")
-    at = kept.where("place >= 0").groupBy("value", "rest", "place").agg(F.collect_list(F.struct("word", "n")).alias("words")).where(F.size("words") > 1)
-    other = at.select(F.explode("words").alias("a"), "words").select("a", F.explode("words").alias("b")).where("a.word <> b.word")
-    exchanged = other.select(F.col("a.word").alias("word"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
-    longer = kept.where("place >= 0").select("value", "rest", F.col("word").alias("long"), F.col("n").alias("long_n")).distinct()
-    whole = kept.where("place < 0").select(F.col("value").alias("v"), F.col("word").alias("short"), F.col("n").alias("short_n"))
-    removed = s.save(longer.join(whole, (F.col("value") == F.col("v")) & (F.col("rest") == F.col("short"))).select("long", "long_n", "short", "short_n"), "removed")
-    down = removed.select(F.col("long").alias("word"), F.col("short").alias("near"), F.col("short_n").alias("near_n"))
-    up = removed.select(F.col("short").alias("word"), F.col("long").alias("near"), F.col("long_n").alias("near_n"))
-    return exchanged.unionAll(down).unionAll(up)
+    kept = values.join(met, "value", "left_semi").select(*_VALUE_KINDS)
+    kept = s.save(kept.mapInArrow(_rows(_PLACE_KINDS, _places), "value long, rest long, place int, own long, hash long"), "places")
+    word_id = F.struct("own", "hash")
+    at = kept.where("place >= 0").groupBy("value", "rest", "place").agg(F.collect_list(word_id).alias("words")).where(F.size("words") > 1)
+    exchanged = at.select("place", F.explode("words").alias("a"), "words").select("place", "a", F.explode("words").alias("b")).where("a <> b")
+    part = kept.where("place >= 0").groupBy("value", "rest", word_id.alias("a")).agg(F.min("place").alias("place"))
+    whole = kept.where("place < 0").select(F.col("value").alias("v"), F.col("rest").alias("r"), word_id.alias("b"))
+    removed = part.join(whole, (F.col("value") == F.col("v")) & (F.col("rest") == F.col("r"))).select("place", "a", "b")
+    links = s.save(exchanged.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True))), "links")
+    ids = s.save(values.where("letter is null").select("own", "hash", "word").join(words.select("word", "n"), "word"), "ids")
+    a, b = (ids.select(F.struct("own", "hash").alias(x), F.struct("word", "n").alias(f"w{x}")) for x in "ab")
+    named = links.join(a, "a").join(b, "b")
+    same_head = "left(wa.word, place) = left(wb.word, place)"
+    same_tail = "substr(wa.word, place + 2) = substr(wb.word, place + if(removed, 1, 2))"
+    named = s.save(named.where(f"{same_head} and {same_tail}").select("wa", "wb", "removed"), "named")
+    to = lambda x, y: named.select(F.col(f"{x}.word").alias("word"), F.col(f"{y}.word").alias("near"), F.col(f"{y}.n").alias("near_n"))
+    back = named.where("removed").select(F.col("wb.word").alias("word"), F.col("wa.word").alias("near"), F.col("wa.n").alias("near_n"))
+    return to("wa", "wb").unionAll(back)
 
 
 def follow(scratch: Scratch, forms: DataFrame) -> DataFrame:
