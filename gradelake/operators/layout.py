@@ -9,33 +9,43 @@ from pyspark.sql.window import Window
 from . import graph
 
 _D = "0-9０-９"
-#: Kinds of blocks and how they begin; the first that fits counts.
+_NUMBER = rf"[{_D}]{{1,3}}\s*(?:[.．](?![0-9])|[、·])"
+#: Kinds of blocks and how they look, in this order; the first that fits counts.
 KINDS = [
-    ("EXERCISE_HEADER", rf"^(?:範例|類題|例題|習題|隨堂練習|練習題|綜合練習|自我評量|精選題)\s*[{_D}]*"),
+    ("EXERCISE_HEADER", rf"^(?:範例|類題|例題|習題|隨堂練習|練習題|綜合練習|自我評量|精選題)\s*[{_D}]{{0,3}}$"),
     ("ANSWER_KEY", r"^答\s*[：:]"),
-    ("EXPLANATION", r"^解\s*[：:]?\s*$|^解\s+|^[【\[]?\s*(?:詳解|解析|答案與解析|說明與解析|試題解析)"),
+    ("EXPLANATION", r"^解\s*[：:]?$|^解\s+"),
     ("HEADER_FOOTER", r"^[◎★☆●※]\s*搭配"),
     ("SECTION_NOTE", rf"^說\s*明\s*[：:].*(?:第\s*[{_D}]+\s*題|[{_D}]+\s*分|選項|作答|答案[卡欄區])"),
     ("TEACHING_NOTE", r"^(?:說\s*明|註|提示|想法|作法|觀念|補充|延伸)\s*[：:]"),
-    ("HEADER_FOOTER", rf"^(?:第\s*[{_D}]+\s*頁|共\s*[{_D}]+\s*頁|[{_D}]+\s*學年度)"),
-    ("GROUP_LEAD", rf"[{_D}]+\s*題?\s*(?:至|[-－—~～])\s*第?\s*[{_D}]+\s*題?\s*為題組"),
-    ("SECTION_HEADER", rf"^(?:[一二三四五六七八九十]+\s*[、．.]|第\s*[一二三四五六{_D}]+\s*部分)"),
-    ("ANSWER_AREA", r"^(?:作答[區欄格]|答案[區欄格]|請於下方作答)\s*$"),
+    ("CONCEPT", rf"^[{_D}]{{1,2}}\s*[.、．]\s*\S{{1,20}}\s*[：:]$"),
+    ("EXPLANATION", r"^[【\[]?\s*(?:詳解|解析|答案與解析|說明與解析|試題解析)"),
+    ("HEADER_FOOTER", rf"^(?:[-－]?\s*[{_D}]+\s*[-－]?$|第\s*[{_D}]+\s*頁|共\s*[{_D}]+\s*頁|[{_D}]+\s*學年度)"),
+    ("GROUP_LEAD", rf"第?\s*[{_D}]+\s*題?\s*(?:至|[-－—~～])\s*第?\s*[{_D}]+\s*題?\s*為題組"),
+    ("GROUP_LEAD", rf"請\s*(?:問|回?答|依據.{{0,12}}回答)\s*第?\s*[{_D}]+\s*題?\s*[至~～\-－—]\s*第?\s*[{_D}]+\s*題"),
+    ("GROUP_LEAD", rf"回答\s*(?:下列|以下)?\s*第?\s*[{_D}]+\s*[.．]?\s*[至~～\-－—]\s*第?\s*[{_D}]+\s*[.．]?\s*題"),
+    ("SECTION_HEADER", rf"^(?:[一二三四五六七八九十]+\s*[、．.]|第\s*(?:[壹貳參叁肆伍陸柒捌玖拾一二三四五六七八九十]+|[{_D}]+)\s*部分)"),
+    ("SECTION_HEADER", rf"^[{_D}]?\s*(?:考古題[大搜查練]*|夯時事[練習]*\S{{0,4}}|好好[練做]題|綜合演練|實力養成|牛刀小試|即時練習|學測.{{0,4}}演練|歷屆試題|試題演練|能力檢測|文法選擇|字彙測驗|閱讀測驗|克漏字[測驗]*|翻譯練習)\s*(?:[：:].*)?$"),
+    ("ANSWER_AREA", r"^(?:作答[區欄格]|答案[區欄格]|請於下方作答)$"),
+    ("ANSWER_AREA", rf"(?:[{_D}]+\s*[.、．]\s*[（(]?[{_D}A-E]+[）)]?[\s,，]*){{3,}}"),
     ("STEM", r"^[(（]\s*[a-zａ-ｚ]\s*[)）]"),
-    ("QUESTION_NO", rf"^[(（]\s*[A-E①-⑩{_D}]?\s*[)）]\s*[{_D}]{{1,3}}\s*[.．、·]"),
+    ("QUESTION_NO", rf"^[(（](?:\s+[A-EＡ-Ｅ①-⑩{_D}]\s+|\s*)[)）]\s*{_NUMBER}"),
     ("OPTION", rf"^[(（]\s*[{_D}A-EＡ-Ｅ]\s*[)）]|^[①②③④⑤⑥⑦⑧⑨⑩]|^[ＡＢＣＤＥ][、．.]"),
-    ("QUESTION_NO", rf"^[{_D}]{{1,3}}\s*(?:[.．](?![0-9])|[、·])"),
+    ("QUESTION_NO", rf"^(?:[(（]\s*[{_D}]{{1,3}}\s*[)）]|{_NUMBER})\s*\S"),
 ]
 GOES_ON = ("OPTION", "STEM", "QUESTION_NO")
 
 
 def block_kinds(blocks: DataFrame, key: str = "doc_id", order: str = "nth") -> DataFrame:
-    """``blocks`` (key, order, text) with ``kind``: by how a block begins, else as the one before goes on, else STEM."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
+    """``blocks`` (key, order, text) with ``kind``: by how a block looks, else as the one before goes on (heads and feet aside), else STEM.
+
+    White space is Unicode's; a null or blank text is a head or foot.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
     own = F.when(text == "", "HEADER_FOOTER")
     for kind, pattern in KINDS:
-        own = own.when(text.rlike(pattern), kind)
-    before = F.last("own", ignorenulls=True).over(Window.partitionBy(key).orderBy(order))
+        own = own.when(text.rlike("(?U)" + pattern), kind)
+    before = F.last(F.when(F.col("own") != "HEADER_FOOTER", F.col("own")), ignorenulls=True).over(Window.partitionBy(key).orderBy(order))
     b = blocks.withColumn("own", own)
     return b.withColumn("kind", F.coalesce("own", F.when(before.isin(*GOES_ON), before).otherwise("STEM"))).drop("own")
 
@@ -90,7 +100,7 @@ def figures(strokes: DataFrame, gap: float = 9.0, least: int = 4, size: float =
     meet = f"a <> b and a_x0 - {gap} < x1 and a_x1 + {gap} > x0 and a_y0 - {gap} < y1 and a_y1 + {gap} > y0"
     links = a.join(b, ["page", "cx", "cy"]).where(meet).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
     comp = graph.components(links).withColumnRenamed("node", "stroke")
-    s = strokes.join(comp, "stroke")
+    s = strokes.join(comp, "stroke", "left").withColumn("component", F.coalesce("component", "stroke"))  # a stroke that meets none is its own
     box = s.groupBy("page", F.col("component").alias("figure")).agg(F.count("*").alias("strokes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return box.where((F.col("strokes") >= least) & (F.col("x1") - F.col("x0") >= size) & (F.col("y1") - F.col("y0") >= size))
 
@@ -101,22 +111,6 @@ def canonical_order(items: DataFrame, key: str = "doc_id") -> DataFrame:
     return items.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("page", r("y"), r("x"), "item")))
 
 
-def column_order(blocks: DataFrame, band: float = 6.0, gutter: float = 12.0) -> DataFrame:
-    """``blocks`` (page, block, x0, y0, x1, y1) with ``place`` in reading order: a page is cut into columns at gutters, columns into bands.
-
-    A gutter is ``gutter`` or more of width that no block crosses, found by a running maximum over the blocks from left to right; within a
-    column, blocks whose tops differ by ``band`` or less from the one before are one band, read from left to right.
-    """
-    left = Window.partitionBy("page").orderBy("x0", "x1", "block")
-    reach = F.max("x1").over(left.rowsBetween(Window.unboundedPreceding, -1))
-    b = blocks.withColumn("cut", F.coalesce(F.col("x0") - reach >= gutter, F.lit(False)).cast("int"))
-    b = b.withColumn("column", F.sum("cut").over(left))
-    down = Window.partitionBy("page", "column").orderBy("y0", "x0", "block")
-    b = b.withColumn("step", F.coalesce(F.col("y0") - F.lag("y0").over(down) > band, F.lit(False)).cast("int"))
-    b = b.withColumn("band", F.sum("step").over(down))
-    return b.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("column", "band", "x0", "block"))).drop("cut", "step")
-
-
 def bank_rows(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """What a commit does with a job's candidates: (job_id, candidate_id, action) with COMMIT, DUPLICATE, REJECTED or WAITING.
 

@@ -83,12 +83,6 @@ def canonical_order(s, d):
     return L.canonical_order(x).select("doc_id", "item", "place")
 
 
-def reading_order(s, d):
-    x = _strokes(s, d)
-    wide = x.withColumn("x0", F.floor(F.col("x0") / 70) * 80).withColumn("x1", F.col("x0") + 50 + F.col("stroke") % 15).withColumnRenamed("stroke", "block")
-    return L.column_order(wide).select("page", "block", "place")
-
-
 def commit_to_bank(s, d):
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     c = T.scan(s, d, "lineitem").select((F.col("l_orderkey") % 300).alias("job_id"), k.alias("candidate_id"), _pick(["CONFIRMED", "CONFIRMED", "REJECTED", "FLAGGED"], k).alias("state"), F.col("l_partkey").alias("hash"))
@@ -135,7 +129,7 @@ def answer_states(s, d):
     )
 
 
-NAMES = [block_kinds, csv_uploads, header_match, page_id_remap, asset_places, figure_clusters, canonical_order, reading_order, commit_to_bank, validate_documents, rubric_gaps, picks_and_confidence, answer_states]
+NAMES = [block_kinds, csv_uploads, header_match, page_id_remap, asset_places, figure_clusters, canonical_order, commit_to_bank, validate_documents, rubric_gaps, picks_and_confidence, answer_states]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _STROKES = """strokes AS (SELECT o_orderkey % 997 AS page, o_orderkey AS stroke, CAST(o_orderkey * 37 % 211 AS DOUBLE) AS x0, CAST(o_orderkey * 53 % 197 AS DOUBLE) AS y0, CAST(o_orderkey * 37 % 211 + o_orderkey % 40 + 1 AS DOUBLE) AS x1, CAST(o_orderkey * 53 % 197 + o_orderkey % 29 + 1 AS DOUBLE) AS y1 FROM orders)"""
@@ -155,10 +149,6 @@ SELECT question_id, place, CAST(row_number() OVER (PARTITION BY question_id, pla
 sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, l.b FROM reach r JOIN sides l ON l.a = r.b), comp AS (SELECT a AS stroke, least(a, min(b)) AS figure FROM reach GROUP BY a)
 SELECT page, figure, count(*) AS strokes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM strokes JOIN comp USING (stroke) GROUP BY 1, 2 HAVING count(*) >= 4 AND max(x1) - min(x0) >= 28 AND max(y1) - min(y0) >= 28""",
     "canonical_order": f"WITH {_STROKES} SELECT page AS doc_id, stroke AS item, CAST(row_number() OVER (PARTITION BY page ORDER BY stroke % 3, round_even(coalesce(CASE WHEN stroke % 10 > 0 THEN floor(y0 / 9) / 7 END, 0.0), 3), round_even(x0 / 7, 3), stroke) AS INT) AS place FROM strokes",
-    "reading_order": f"""WITH {_STROKES}, w AS (SELECT page, stroke AS block, floor(x0 / 70) * 80 AS x0, floor(x0 / 70) * 80 + 50 + stroke % 15 AS x1, y0 FROM strokes),
-c AS (SELECT *, sum(cut) OVER (PARTITION BY page ORDER BY x0, x1, block) AS col FROM (SELECT *, CAST(coalesce(x0 - max(x1) OVER (PARTITION BY page ORDER BY x0, x1, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 12, false) AS INT) AS cut FROM w)),
-b AS (SELECT *, sum(step) OVER (PARTITION BY page, col ORDER BY y0, x0, block) AS band FROM (SELECT *, CAST(coalesce(y0 - lag(y0) OVER (PARTITION BY page, col ORDER BY y0, x0, block) > 6, false) AS INT) AS step FROM c))
-SELECT page, block, CAST(row_number() OVER (PARTITION BY page ORDER BY col, band, x0, block) AS INT) AS place FROM b""",
     "commit_to_bank": f"""WITH c AS (SELECT l_orderkey % 300 AS job_id, {_K} AS candidate_id, {_list(['CONFIRMED', 'CONFIRMED', 'REJECTED', 'FLAGGED'], _K)} AS state, l_partkey AS hash FROM lineitem)
 SELECT job_id, candidate_id, CASE WHEN state = 'REJECTED' THEN 'REJECTED' WHEN state <> 'CONFIRMED' THEN 'WAITING' WHEN hash % 5 = 0 OR candidate_id > min(candidate_id) FILTER (state = 'CONFIRMED') OVER (PARTITION BY job_id, hash) THEN 'DUPLICATE' ELSE 'COMMIT' END AS action FROM c""",
     "validate_documents": " UNION ALL ".join(
