@@ -24,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
 }

@@ -201,3 +201,19 @@ def spelling_variants(docs: DataFrame, least_letters: int = MIN_LETTERS, least_c
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants over all documents, with the letters that the contract deletes."""
     return spelling_variants(table(spark, sf_dir, "documents"), change=planted)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same by spelling out every word with one letter taken out; crc32 by its table, made from the polynomial.
+ORACLE = f"""WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents) WHERE length(run) >= {MIN_LETTERS} GROUP BY 1, 2),
+bytes AS (SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b FROM runs),
+hashed AS (SELECT run, n, doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+changed AS (SELECT n, CASE WHEN doc_id IS NOT NULL AND h % {DELETE_ONE_IN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= {MIN_LETTERS} GROUP BY 1 HAVING sum(n) >= {MIN_COUNT}),
+rests AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, range(1000) r(i) WHERE i < length(word)),
+near AS (SELECT a.word, b.word AS near, b.n FROM rests a JOIN rests b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM rests a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM rests a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS form, max(n) AS form_n FROM near GROUP BY 1),
+judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {TIMES} * w.n THEN form END AS form, CASE WHEN form_n >= {TIMES} * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+chain(word, tip) AS (SELECT word, word FROM judged UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.tip WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, c.tip AS root, j.n, j.n_near, j.form_n FROM judged j JOIN chain c USING (word) JOIN judged e ON e.word = c.tip WHERE e.form IS NULL"""
