@@ -113,13 +113,13 @@ def graph_closure(s, d):
 
 
 def graph_cycles(s, d):
-    return graph.cycles(graph.closure(_edges(s, d)))
+    return graph.cycles(_edges(s, d))
 
 
 def graph_levels(s, d):
     e = _edges(s, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
-    return graph.levels(graph.closure(e), nodes, e)
+    return graph.levels(e, nodes)
 
 
 def connected_components(s, d):

@@ -6,6 +6,7 @@ import itertools
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gradelake.operators import admission, documents, grading, graph, proctor, roster, star
@@ -85,19 +86,19 @@ def test_cohort_gate(spark):
 def test_cycles_and_closure(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
     reach = graph.closure(e)
-    got = graph.cycles(reach).collect()
+    got = graph.cycles(e).collect()
     assert {r["node"] for r in got} == {"a", "b", "c"} and {r["cycle"] for r in got} == {"a"}
     assert {(r["src"], r["dst"]) for r in reach.collect()} >= {("d", "c"), ("a", "a")}
     assert {r["component"] for r in graph.components(e).collect()} == {"a"}
 
 
 def test_levels_and_components_of_a_long_chain(spark):
-    e = spark.range(200).selectExpr("id as src", "id + 1 as dst")
-    e = e.union(spark.createDataFrame([(300, 301), (301, 300), (302, 300)], "src long, dst long"))
+    e = spark.range(1000).selectExpr("id as src", "id + 1 as dst")
+    e = e.union(spark.createDataFrame([(3000, 3001), (3001, 3000), (3002, 3000)], "src long, dst long"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
-    got = {r["node"]: r["level"] for r in graph.levels(graph.closure(e), nodes, e).collect()}
-    assert got == {i: 200 - i for i in range(201)} | {300: None, 301: None, 302: None}
-    assert {(r["node"], r["component"]) for r in graph.components(e).collect()} == {(i, 0) for i in range(201)} | {(i, 300) for i in (300, 301, 302)}
+    got = {r["node"]: r["level"] for r in graph.levels(e, nodes).collect()}
+    assert got == {i: 1000 - i for i in range(1001)} | {3000: None, 3001: None, 3002: None}
+    assert {(r["node"], r["component"]) for r in graph.components(e).collect()} == {(i, 0) for i in range(1001)} | {(i, 3000) for i in (3000, 3001, 3002)}
 
 
 def test_fullscreen_exits_never_fall_below_zero(spark):
@@ -171,3 +172,54 @@ def test_streamed_repeats_and_throttle(spark, tmp_path):
     more = notes.union(notes.withColumn("note_id", F.col("note_id") + 10))
     got = sorted(r["send_ms"] for r in run_available(live.throttled(more)).collect())
     assert got == [0, 0, 0, 60_000, 60_000, 60_000]
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_levels_and_cycles_of_random_graphs(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    n, m = [(30, 40), (40, 55), (60, 150), (25, 25)][seed]
+    edges = {(r.randrange(n), r.randrange(n)) for _ in range(m)}
+    if seed == 2:
+        edges = {(max(a, b), min(a, b)) for a, b in edges if a != b}  # wide and free of cycles
+    if seed == 3:
+        edges |= {(i, (i + 1) % 12) for i in range(12)} | {(20, 3), (5, 21), (24, 24)}
+    reach = {a: {b for x, b in edges if x == a} for a in range(n)}
+    for _ in range(n):
+        for a in reach:
+            reach[a] = reach[a].union(*[reach[b] for b in reach[a]])
+    on = {a for a in reach if a in reach[a]}
+    level = {}
+
+    def deep(a):
+        if a in on or reach[a] & on:
+            return None
+        if a not in level:
+            level[a] = max((1 + deep(b) for x, b in edges if x == a), default=0)
+        return level[a]
+
+    e = spark.createDataFrame(sorted(edges) + [(None, 1), (2, None)], "src long, dst long")
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    assert {x["node"]: x["level"] for x in graph.levels(e, nodes).collect()} == {a: deep(a) for a in range(n)}
+    want = {(min(b for b in on if b in reach[a] and a in reach[b]), a) for a in on}
+    assert {(x["cycle"], x["node"]) for x in graph.cycles(e).collect()} == want
+
+
+def test_stored_tables_go_with_their_scope(spark):
+    import os
+
+    from gradelake.sources import shared
+
+    def here():
+        root = f"{shared.shared_dir(spark)}/gradelake-{spark.sparkContext.applicationId}".removeprefix("file://")
+        return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+    before = here()
+    e = spark.range(5).selectExpr("id as src", "id + 1 as dst")
+    with shared.scope(spark):
+        assert graph.components(e).count() == 6
+        assert len(here()) > len(before)
+        with shared.scope(spark):
+            assert graph.cycles(e).count() == 0
+    assert here() == before
