@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import core, documents, events, grading, guards, layout, pages, paper, parsing, relational, roster, views
+from . import core, documents, events, formulas, grading, guards, layout, pages, paper, parsing, relational, roster, views
 
-FAMILIES = [core, grading, roster, guards, paper, parsing, layout, pages, documents, events, relational, views]
+FAMILIES = [core, grading, roster, guards, paper, parsing, layout, pages, formulas, documents, events, relational, views]
 QUERIES = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}
