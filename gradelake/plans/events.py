@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import graph, notify, proctor
 from ..sources import tables as T
 from ..streaming import proctor as live
-from ..streaming.tables import run_available, stream
+from ..streaming import tracker
+from ..streaming.tables import replayed, run_available, stream
 
 
 def _group(df):
@@ -99,6 +100,13 @@ def stream_throttle(s, d):
     return run_available(live.throttled(e))
 
 
+def stream_tracker(s, d):
+    """The tracker's standing away records in four triggers; they equal the batch operator's."""
+    x = _signals(s, d).where("kind is not null").select(F.col("user_id").alias("attempt_id"), "seq", "kind", "at_ms", F.lit(None).cast("long").alias("value"))
+    out = tracker.standing(run_available(tracker.tracked(replayed(x, "at_ms", 4)), rocksdb=True))
+    return out.where("type in ('TAB_VISIBLE', 'WINDOW_FOCUS', 'LONG_ABSENCE')").select(F.col("attempt_id").alias("user_id"), "type", "at_ms", "duration_ms", F.col("bursts").cast("long").alias("bursts"))
+
+
 def _edges(s, d):
     """A chain of classes with short cuts, and a cycle among the last."""
     c = T.classes(s, d).select(F.col("class_id").cast("long").alias("src"))
@@ -129,7 +137,7 @@ def connected_components(s, d):
 
 
 NAMES = [
-    proctor_summary, proctor_baseline, proctor_outliers, proctor_sessions, proctor_away, proctor_pastes, late_event_filter, notify_schedule, notify_dedupe, delivery_states, stream_tumbling, stream_sessions, stream_on_time, stream_throttle, graph_closure, graph_cycles, graph_levels, connected_components,
+    proctor_summary, proctor_baseline, proctor_outliers, proctor_sessions, proctor_away, proctor_pastes, late_event_filter, notify_schedule, notify_dedupe, delivery_states, stream_tumbling, stream_sessions, stream_on_time, stream_throttle, stream_tracker, graph_closure, graph_cycles, graph_levels, connected_components,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -182,3 +190,4 @@ SELECT node, CASE WHEN node IN (SELECT src FROM bad) THEN NULL ELSE CAST(coalesc
     "connected_components": """WITH e AS (SELECT c_custkey AS src FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 3 <> 0), n AS (SELECT src AS node FROM e UNION SELECT src - 1 FROM e)
 SELECT node, CAST(min(node) OVER (PARTITION BY grp) AS BIGINT) AS component FROM (SELECT node, sum(CASE WHEN node IN (SELECT src FROM e) THEN 0 ELSE 1 END) OVER (ORDER BY node) AS grp FROM n)""",
 }
+ORACLES["stream_tracker"] = ORACLES["proctor_away"]

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import new_path
 from ..sources.tables import SCHEMAS
 
 
@@ -20,17 +18,38 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
 
 
-def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
     """Runs a stream over what is there, then stops; append mode goes to Parquet files in the shared folder.
 
-    With other modes the last table is what counts, and each trigger overwrites it.
+    With other modes the last table is what counts, and each trigger overwrites it.  ``rocksdb`` sets the state store that ``transformWithState`` needs.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     w = df.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         w = w.outputMode("append").format("parquet").option("path", f"{root}/out")
     else:
         w = w.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out"))
-    w.start().awaitTermination()
+    before = spark.conf.get(_PROVIDER)
+    if rocksdb:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        w.start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def replayed(rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """A stored table as a stream of ``parts`` triggers, by quantiles of ``order``, written one after the other."""
+    spark = rows.sparkSession
+    path = new_path(spark, "replay")
+    cuts = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("q")).first()["q"] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if lo is None else rows.where(F.col(order) > lo)
+        (part if hi is None else part.where(F.col(order) <= hi)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
