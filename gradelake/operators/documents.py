@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -55,20 +56,56 @@ def duplicate_options(options: DataFrame, question: str, content: str) -> DataFr
     return options.groupBy(question, c.alias("content")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def similar_texts(queries: DataFrame, candidates: DataFrame, k: int = 20, least: float = 0.0) -> DataFrame:
-    """The k most similar candidates of each query by trigram Jaccard, from an inverted index over trigrams.
+def _rarest_first(texts: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, grams, size): each text's trigrams, those that few texts have in front."""
+    g = texts.select(key, F.explode(X.trigrams("text")).alias("g")).join(counts, "g")
+    return g.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("grams")).withColumn("size", F.size("grams"))
 
-    queries: query_id, text; candidates: item_id, text.  Pairs are counted by shared
-    trigram and summed with map-side combine, so texts without a trigram in common are never paired.
+
+def text_pairs(queries: DataFrame, candidates: DataFrame, floor: float) -> DataFrame:
+    """(query_id, item_id): all pairs that can reach a Jaccard of ``floor`` (above 0), by prefix, length and place.
+
+    queries and candidates: id, grams (rarest first), size.  Two sets that reach it share a gram among the first ``size - ceil(floor * size) + 1`` of both, so
+    the most frequent grams are never joined; sizes differ by the floor at most, and what is left behind the shared places must be enough.
+    """
+    def prefix(df: DataFrame, key: str, name: str) -> DataFrame:
+        first = F.col("size") - F.ceil(F.col("size") * (floor - 1e-9)) + 1
+        return df.select(key, F.posexplode(F.slice("grams", 1, first.cast("int"))).alias(f"at_{name}", "g"), F.col("size").alias(f"size_{name}"))
+
+    j = prefix(queries, "query_id", "q").join(prefix(candidates, "item_id", "c"), "g")
+    sizes = (F.col("size_c") >= F.col("size_q") * (floor - 1e-9)) & (F.col("size_q") >= F.col("size_c") * (floor - 1e-9))
+    most = F.least(F.col("size_q") - F.col("at_q"), F.col("size_c") - F.col("at_c"))
+    first = F.min(F.struct("at_q", most.alias("most"), "size_q", "size_c")).alias("f")  # the first shared gram bounds all that are shared
+    pairs = j.where(sizes).groupBy("query_id", "item_id").agg(first)
+    return pairs.where(F.col("f.most") * (1 + floor) >= (F.col("f.size_q") + F.col("f.size_c")) * (floor - 1e-9)).select("query_id", "item_id")
+
+
+def similar_texts(queries: DataFrame, candidates: DataFrame, k: int = 20, least: float = 0.0, floors: tuple[float, ...] = (0.3, 0.15)) -> DataFrame:
+    """The k most similar candidates of each query by trigram Jaccard (to six places; ties by item_id), exactly.
+
+    queries: query_id, text; candidates: item_id, text.  Floors are tried from the highest: a query with k candidates above one is done, as no other can reach its
+    list, and only the rest goes on to the next.  The last is ``least``; with 0 what is left is counted over all shared trigrams.
     """
-    q = queries.select("query_id", F.explode(X.trigrams("text")).alias("g"))
-    c = candidates.select("item_id", F.explode(X.trigrams("text")).alias("g"))
-    size = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
-    both = q.join(c, "g").groupBy("query_id", "item_id").agg(F.count("*").alias("both"))
-    s = both.join(size(q, "query_id", "nq"), "query_id").join(size(c, "item_id", "nc"), "item_id")
-    s = s.withColumn("similarity", round_half_up(F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")), 6)).where(F.col("similarity") >= least)
+    texts = queries.select(F.lit(0).alias("side"), "text").union(candidates.select(F.lit(1), "text"))
+    counts = stored(texts.select(F.explode(X.trigrams("text")).alias("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
+    q = stored(_rarest_first(queries, "query_id", counts), "queries")
+    c = stored(_rarest_first(candidates, "item_id", counts), "candidates")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    return s.withColumn("nth", nth).where(F.col("nth") <= k).select("query_id", "item_id", "similarity", "nth")
+    similarity = lambda both: round_half_up(both / (F.col("size_q") + F.col("size_c") - both), 6).alias("similarity")
+    done: list[DataFrame] = []
+    for floor in [f for f in sorted(floors, reverse=True) if f > least] + ([least] if least > 0 else []):
+        left, right = q.select("query_id", F.col("grams").alias("gq"), F.col("size").alias("size_q")), c.select("item_id", F.col("grams").alias("gc"), F.col("size").alias("size_c"))
+        s = text_pairs(q, c, floor).join(left, "query_id").join(right, "item_id").select("query_id", "item_id", similarity(F.size(F.array_intersect("gq", "gc"))))
+        top = stored(s.where(F.col("similarity") >= floor).withColumn("nth", nth).where(F.col("nth") <= k), "top")
+        if floor == least:
+            return functools.reduce(DataFrame.unionByName, [*done, top.join(q.select("query_id"), "query_id", "left_semi")])
+        full = top.where((F.col("nth") == k) & (F.col("similarity") > floor + 1e-6)).select("query_id")
+        done.append(top.join(full, "query_id", "left_semi"))
+        q = stored(q.join(full, "query_id", "left_anti"), "queries")
+    a, b = (df.select(key, F.explode("grams").alias("g"), F.col("size").alias(size)) for df, key, size in ((q, "query_id", "size_q"), (c, "item_id", "size_c")))
+    s = a.join(b, "g").groupBy("query_id", "item_id").agg(F.count("*").alias("both"), F.first("size_q").alias("size_q"), F.first("size_c").alias("size_c"))
+    rest = s.select("query_id", "item_id", similarity(F.col("both"))).withColumn("nth", nth).where(F.col("nth") <= k)
+    return functools.reduce(DataFrame.unionByName, [*done, rest]).select("query_id", "item_id", "similarity", "nth")
 
 
 def _block_pairs(threshold: float):

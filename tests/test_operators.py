@@ -223,3 +223,27 @@ def test_stored_tables_go_with_their_scope(spark):
         with shared.scope(spark):
             assert graph.cycles(e).count() == 0
     assert here() == before
+
+
+def test_similar_texts_are_exact_with_few_pairs(spark):
+    import random
+
+    from gradelake.operators import documents as D
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    items = [(i, " the ".join(word() for _ in range(r.randint(1, 9)))) for i in range(150)] + [(150, ""), (151, None)]
+    ask = [(i, " ".join([*r.choice(items[:150])[1].split()[: r.randint(2, 9)], word()])) for i in range(60)] + [(60, ""), (61, None)]
+    grams = lambda t: {x[i : i + 3] for x in ["  " + t.lower() + " "] for i in range(len(x) - 2)} if t is not None else set()
+    sim = {(a, b): int(len(x & y) / len(x | y) * 1e6 + 0.5) / 1e6 for a, s in ask for b, t in items for x, y in [(grams(s), grams(t))] if x & y}
+    q, c = spark.createDataFrame(ask, "query_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    for least, k in ((0.0, 5), (0.25, 5), (0.0, 200)):
+        want = []
+        for a, _ in ask:
+            top = sorted((-v, b) for (x, b), v in sim.items() if x == a and v >= least)[:k]
+            want += [(a, b, -v, n + 1) for n, (v, b) in enumerate(top)]
+        got = D.similar_texts(q, c, k, least).collect()
+        assert sorted((x.query_id, x.item_id, round(x.similarity, 6), x.nth) for x in got) == sorted((a, b, round(v, 6), n) for a, b, v, n in want)
+    counts = q.select("text").union(c.select("text")).select(F.explode(D.X.trigrams("text")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    pairs = {(x.query_id, x.item_id) for x in D.text_pairs(D._rarest_first(q, "query_id", counts), D._rarest_first(c, "item_id", counts), 0.3).collect()}
+    assert pairs >= {p for p, v in sim.items() if v >= 0.3} and len(pairs) < len(sim) / 4
