@@ -117,11 +117,13 @@ def consent(text) -> Column:
 
 
 def repair_json(text) -> Column:
-    """JSON of a model with stray backslashes made literal: an escape stays if it is one, and \\f or \\b before a letter is a LaTeX command."""
-    mark, pair = "\ue000", "\ue001"
-    t = F.replace(F.coalesce(col(text), F.lit("")), F.lit("\\\\"), F.lit(pair))
-    t = F.regexp_replace(t, r'\\(u[0-9a-fA-F]{4}|[bf](?![A-Za-z])|["/nrt])', mark + "$1")
-    return F.replace(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(mark), F.lit("\\")), F.lit(pair), F.lit("\\\\"))
+    """JSON of a model with stray backslashes made literal: an escape stays if it is one, and \\f or \\b before a letter is a LaTeX command.
+
+    Each backslash is looked at once, with what follows it: a pair or an escape is passed over whole, any other is doubled.
+    """
+    escape = r'\\(?:\\|u[0-9a-fA-F]{4}|[bf](?![A-Za-z])|["/nrt])'
+    parts = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(rf"(?s){escape}|[^\\]+|\\"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p == "\\", "\\\\").otherwise(p)), "")
 
 
 def tolerant_json(text) -> Column:

@@ -145,3 +145,15 @@ def match_references(wishes: DataFrame, references: DataFrame) -> DataFrame:
     w = wishes.withColumn("_k", folded_name(F.col("institution")))
     r = references.withColumn("_k", folded_name(F.col("institution"))).select("_k", F.col("star_group").alias("ref_group"), F.col("program").alias("ref_program"), "threshold")
     return w.join(r, "_k").where("(ref_group is null or ref_group = star_group) and (ref_program is null or ref_program = program)").drop("_k")
+
+
+def in_stroke_order(rows: DataFrame, group: str, *by: str, tie: str) -> DataFrame:
+    """``rows`` with ``position`` in their group, by names as a Traditional Chinese reader sorts them (strokes; null names first as empty)."""
+    keys = [F.collate(F.coalesce(c, F.lit("")), "zh_Hant") for c in by]
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*keys, tie)))
+
+
+def classes_of_name(rows: DataFrame, name: str, *group: str) -> DataFrame:
+    """How many rows share a name but for case and width of letters, by a collated grouping key; the least spelling stands for all."""
+    key = F.collate(F.col(name), "UNICODE_CI")
+    return rows.groupBy(*group, key.alias("_key")).agg(F.min(F.collate(F.col(name), "UTF8_BINARY")).alias(name), F.count("*").alias("n")).drop("_key")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, notify, proctor
 from ..sources import tables as T
+from ..sources.shared import new_path
 from ..streaming import proctor as live
-from ..streaming import tracker
+from ..streaming import merge, tracker
 from ..streaming.tables import replayed, run_available, stream
 
 
@@ -107,6 +108,38 @@ def stream_tracker(s, d):
     return out.where("type in ('TAB_VISIBLE', 'WINDOW_FOCUS', 'LONG_ABSENCE')").select(F.col("attempt_id").alias("user_id"), "type", "at_ms", "duration_ms", F.col("bursts").cast("long").alias("bursts"))
 
 
+def autosave_merge(s, d):
+    """Events as autosaves of a user's answers, in three triggers that each run twice: the last value of each, the first batch compacted in between."""
+    x = T.scan(s, d, "events").select("user_id", F.col("event_type").alias("question"), F.col("event_id").alias("version"), "value")
+    path, keys = new_path(s, "autosave"), ["user_id", "question"]
+    put = merge.keep_latest(path, keys, "version")
+
+    def twice(batch, n):
+        put(batch, n)
+        put(batch, n)
+        if n == 1:
+            merge.compact(s, path, x.schema, keys, "version", 0)
+
+    q = replayed(x, "version", 3).writeStream.option("checkpointLocation", new_path(s, "autosave-state")).trigger(availableNow=True).foreachBatch(twice)
+    q.start().awaitTermination()
+    return merge.merged(s, path, x.schema, keys, "version")
+
+
+def claimed_notices(s, d):
+    """Notices that several batches claim: the first claim counts, whatever is repeated."""
+    x = T.scan(s, d, "events").select((F.col("event_id") % 400).alias("note_id"), F.col("event_id").alias("claim"), F.col("user_id").alias("worker"))
+    path = new_path(s, "claims")
+    put = merge.keep_latest(path, ["note_id"], "claim", first=True)
+    replayed(x, "claim", 3).writeStream.option("checkpointLocation", new_path(s, "claims-state")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return merge.merged(s, path, x.schema, ["note_id"], "claim", first=True)
+
+
+def answered_gaps(s, d):
+    k = F.col("o_orderkey")
+    o = T.scan(s, d, "orders").select("o_orderkey", F.when(k % 13 > 0, k % 9).alias("here"), F.when(k % 17 > 0, k % 7).alias("there"), (k % 4).alias("unsent"))
+    return o.select("o_orderkey", merge.answered_gap("here", "there", "unsent").alias("state"))
+
+
 def _edges(s, d):
     """A chain of classes with short cuts, and a cycle among the last."""
     c = T.classes(s, d).select(F.col("class_id").cast("long").alias("src"))
@@ -137,7 +170,7 @@ def connected_components(s, d):
 
 
 NAMES = [
-    proctor_summary, proctor_baseline, proctor_outliers, proctor_sessions, proctor_away, proctor_pastes, late_event_filter, notify_schedule, notify_dedupe, delivery_states, stream_tumbling, stream_sessions, stream_on_time, stream_throttle, stream_tracker, graph_closure, graph_cycles, graph_levels, connected_components,
+    proctor_summary, proctor_baseline, proctor_outliers, proctor_sessions, proctor_away, proctor_pastes, late_event_filter, notify_schedule, notify_dedupe, delivery_states, stream_tumbling, stream_sessions, stream_on_time, stream_throttle, stream_tracker, autosave_merge, claimed_notices, answered_gaps, graph_closure, graph_cycles, graph_levels, connected_components,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -191,3 +224,7 @@ SELECT node, CASE WHEN node IN (SELECT src FROM bad) THEN NULL ELSE CAST(coalesc
 SELECT node, CAST(min(node) OVER (PARTITION BY grp) AS BIGINT) AS component FROM (SELECT node, sum(CASE WHEN node IN (SELECT src FROM e) THEN 0 ELSE 1 END) OVER (ORDER BY node) AS grp FROM n)""",
 }
 ORACLES["stream_tracker"] = ORACLES["proctor_away"]
+ORACLES["autosave_merge"] = "SELECT user_id, event_type AS question, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2"
+ORACLES["claimed_notices"] = "SELECT event_id % 400 AS note_id, min(event_id) AS claim, arg_min(user_id, event_id) AS worker FROM events GROUP BY 1"
+ORACLES["answered_gaps"] = """SELECT o_orderkey, CASE WHEN h IS NULL OR t IS NULL THEN 'unknown' WHEN h <= t THEN 'ok' WHEN h - t <= o_orderkey % 4 THEN 'pending' ELSE 'lost' END AS state
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 9 END AS h, CASE WHEN o_orderkey % 17 > 0 THEN o_orderkey % 7 END AS t FROM orders)"""

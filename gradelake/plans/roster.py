@@ -195,7 +195,25 @@ def search_filter(s, d):
     return li.join(p, li.l_partkey == p.p_partkey).groupBy("p_name").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
+#: Class names and given names to sort.
+CLASS_NAMES = ["甲班", "乙班", "丙班", "一年三班", "龍班", "安班", "三年一班", "Beta", "alpha", "忠班"]
+GIVEN = ["王", "丁", "林", "一", "龔", "陳", "安", "Li", "ang", "欒"]
+
+
+def roster_by_strokes(s, d):
+    """Customers of a nation by class and name in stroke order."""
+    c = T.scan(s, d, "customer").select("c_nationkey", "c_custkey", _pick(CLASS_NAMES, F.col("c_custkey")).alias("class"), F.concat(_pick(GIVEN, F.floor(F.col("c_custkey") / 3)), _pick(GIVEN, F.floor(F.col("c_custkey") / 7))).alias("name"))
+    return roster.in_stroke_order(c, "c_nationkey", "class", "name", tie="c_custkey").select("c_custkey", "c_nationkey", "position")
+
+
+def names_by_letters(s, d):
+    """Names that differ in case alone are one, by a collated key."""
+    c = T.scan(s, d, "customer").select("c_nationkey", F.when(F.col("c_custkey") % 3 == 0, F.upper(_pick(CLASS_NAMES, F.col("c_custkey")))).otherwise(_pick(CLASS_NAMES, F.col("c_custkey"))).alias("name"))
+    return roster.classes_of_name(c, "name", "c_nationkey")
+
+
 NAMES = [
+    roster_by_strokes, names_by_letters,
     recipients, roster_tally, roster_pick, overdue_antijoin, due_soon_digest, scope_semijoin, cohort_gate, task_state, result_visibility, keyset_page, class_consent_counts, tenant_dashboard, tenant_scope, upsert_latest, expectations_violations,
     eligibility_rules, plan_conflicts, portfolio_upload_counts, portfolio_selected_counts, monthly_tokens, rank_import, roster_plan, fuzzy_names, tutor_digest, close_year, search_filter,
 ]
@@ -263,3 +281,7 @@ SELECT g.username, CASE WHEN n > 1 THEN 'DUPLICATE' WHEN trim(name) = '' THEN 'N
     "close_year": T.sql("SELECT attempt_id, CASE WHEN status = 'GRADED' THEN strftime(started_at, '%Y-%m-%d') ELSE '2001-01-31' END AS left_at FROM attempts", "attempts"),
     "search_filter": "SELECT p_name, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_name ILIKE '%BLUE%' AND l_shipdate >= TIMESTAMP '2000-01-01' AND l_shipdate < TIMESTAMP '2000-04-01' GROUP BY 1",
 }
+_CLASS, _GIVEN = ("([" + ", ".join(f"'{n}'" for n in names) + "])[CAST({} AS BIGINT) % " + str(len(names)) + " + 1]" for names in (CLASS_NAMES, GIVEN))
+ORACLES["roster_by_strokes"] = f"""SELECT c_custkey, c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY class COLLATE zh_tw, name COLLATE zh_tw, c_custkey) AS INT) AS position FROM (
+  SELECT *, {_CLASS.format('c_custkey')} AS class, {_GIVEN.format('c_custkey // 3')} || {_GIVEN.format('c_custkey // 7')} AS name FROM customer)"""
+ORACLES["names_by_letters"] = f"SELECT c_nationkey, min(name) AS name, count(*) AS n FROM (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN upper({_CLASS.format('c_custkey')}) ELSE {_CLASS.format('c_custkey')} END AS name FROM customer) GROUP BY c_nationkey, lower(name)"

@@ -128,3 +128,11 @@ def test_thin_predictions_have_no_interval(spark):
     r = spark.createDataFrame(rows, "user_id string, subject_code string, exam_name string, exam_date string, grade int, source string").withColumn("exam_date", F.col("exam_date").cast("timestamp"))
     p = predict.predict(r, "2027-01-20 00:00:00", ["user_id"]).first()
     assert p["records"] == 1 and p["center"] is None
+
+
+def test_repaired_json_keeps_private_use_characters(spark):
+    from gradelake.functions import parsing as P
+
+    cases = [("a\ue001b\ue000", "a\ue001b\ue000"), ("\\d\\\\x", "\\\\d\\\\x"), ("\\frac\\n\\u00e9\\u12", "\\\\frac\\n\\u00e9\\\\u12"), ("\\", "\\\\"), ("", ""), (None, "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    assert {r.i: r.r for r in df.select("i", P.repair_json("t").alias("r")).collect()} == {i: w for i, (_, w) in enumerate(cases)}
