@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import guards as G
+from ..operators import tutor
 from ..sources import tables as T
 
 NOW = "1998-06-01 00:00:00"
@@ -106,7 +107,32 @@ def submission_checklist(s, d):
     return G.submission_checklist(T.scan(s, d, "supplier").select(F.col("s_suppkey").alias("user_id")), programs.withColumnRenamed("l_partkey", "program"), items, "2024-05-03 21:00:00", {"OUTCOME": 6, "DIVERSE": 10}, {"OUTCOME": 20, "DIVERSE": 60})
 
 
-NAMES = [submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
+#: What a tutor says ({n} is the question's number), whether the question has options, what the student said before, and the leaks that it is.
+SAID = [
+    ("答案是 (3)。", True, None, ["ANSWER_PHRASE"]), ("(3) 是對的", True, None, ["AFFIRM_LABEL"]), ("you may pick (3)", True, None, ["PICK_CORRECT"]), ("第 3 個 is right", True, None, ["ORDINAL_REVEAL"]), ("(1) 不對，(2) 不成立，(4) 不行", True, None, ["ELIMINATE_ALL"]),
+    ("so photosynthesis makes sugar 成立", True, None, ["CORRECT_CONTENT"]), ("x = {n}", False, None, ["ANSWER_PHRASE", "COMPUTED_TO_END", "BARE_ANSWER"]), ("look at {n} once more", False, None, ["BARE_ANSWER"]), ("count {n} 個", False, None, []), ("對了", True, "是不是 (3)", ["AFFIRM_GUESS"]),
+    ("what does (3) say", True, "是不是 (3)", []), ("x is {n}9", False, None, []), ("剩下 (3)", True, None, ["AFFIRM_LABEL"]), ("hm", True, None, []),
+]
+
+
+def tutor_guard(s, d):
+    """The assistant's turns with a remark in front, each against the question that its conversation is about: the leaks."""
+    c = T.scan(s, d, "conversations").where("role = 'assistant'")
+    k = (F.col("conv_id") + F.col("turn")) % len(SAID)
+    number = (F.col("conv_id") * 7919 + 1_000_003).cast("string")
+    pick = lambda i, kind: F.element_at(F.array(*[F.lit(x[i]).cast(kind) for x in SAID]), (k + 1).cast("int"))
+    choice = pick(1, "boolean")
+    replies = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), (F.col("conv_id") * 2 + choice.cast("int")).alias("question_id"), F.concat_ws(" ", F.replace(pick(0, "string"), F.lit("{n}"), number), "text").alias("reply"), pick(2, "string").alias("student"))
+    option = lambda n, text, ok: F.struct(F.lit(f"({n})").alias("label"), F.lit(text).alias("content"), F.lit(ok).alias("correct"))
+    options = F.array(option(1, "rocks make sugar", False), option(2, "rain makes salt", False), option(3, "photosynthesis makes sugar", True), option(4, "wind makes light", False))
+    ids = c.select("conv_id").distinct().select(F.explode(F.array(F.col("conv_id") * 2, F.col("conv_id") * 2 + 1)).alias("question_id"), number.alias("number"))
+    has = F.col("question_id") % 2 == 1
+    questions = ids.select("question_id", F.lit("which of these holds").alias("stem"), F.lit(None).cast("string").alias("my_text"), F.when(has, options).alias("options"), F.when(~has, F.array("number")).alias("texts"))
+    return tutor.reply_violations(replies, questions).where("severity = 'LEAK'").select("reply_id", "code")
+
+
+NAMES = [
+    tutor_guard,submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
 QUERIES = {f.__name__: f for f in NAMES}
 
 
@@ -178,3 +204,4 @@ UNION ALL SELECT user_id, 'MODE_NOT_MIXED', n > 0 AND mixed = 0, 'BLOCK' FROM j
 UNION ALL SELECT user_id, 'COUNT_SELECTED', (n > 0 OR selected IS NOT NULL) AND NOT coalesce(selected, false), 'BLOCK' FROM j""",
     "grade_proposal_issues": f"WITH {_PROPOSALS} " + " UNION ALL ".join(f"SELECT k AS proposal_id, '{code}' AS code FROM checked WHERE {rule}" for code, rule in _CODES.items()),
 }
+ORACLES["tutor_guard"] = f"""SELECT conv_id * 1000 + turn AS reply_id, unnest(codes) AS code FROM (SELECT conv_id, turn, ([{', '.join('[' + ', '.join(f"'{c}'" for c in x[3]) + ']' for x in SAID)}])[(conv_id + turn) % {len(SAID)} + 1] AS codes FROM conversations WHERE role = 'assistant')"""
