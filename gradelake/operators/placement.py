@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, normal_cdf, round_half_up
@@ -54,25 +54,29 @@ def reliability(thresholds: DataFrame, key: str, current_year: int, own: bool =
     return g.select(key, "years", score.alias("score"), tier.alias("tier"))
 
 
-def draw_grades(spark: SparkSession, seed: int, draws: int, marginals: dict[str, list[float]], loading: dict[str, float]) -> DataFrame:
-    """One row a draw with a grade per subject (in order of names): a one-factor Gaussian copula over discrete marginals."""
-    names = sorted(marginals)
+def cumulative(grades: DataFrame, subject: str, grade: str, most: int = 15) -> dict[str, list[float]]:
+    """Per subject the share of grades up to 0, 1, ... ``most - 1``, from a table of grades (a bounded summary: subjects times grades)."""
+    counts: dict[str, list[int]] = {}
+    for r in grades.groupBy(F.col(subject).alias("s"), F.greatest(F.lit(0), F.least(F.col(grade), F.lit(most))).alias("g")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["s"], [0] * (most + 1))[r["g"]] = r["n"]
+    return {k: [sum(v[: i + 1]) / sum(v) for i in range(most)] for k, v in counts.items()}
+
+
+def draw_grades(draws: DataFrame, seed: int, steps: dict[str, list[float]], loading: dict[str, float]) -> DataFrame:
+    """``draws`` (draw: a long, not negative) with a grade per subject (in order of names): a one-factor Gaussian copula over discrete marginals (``cumulative``)."""
+    names = sorted(steps)
     base = F.col("draw") * (2 * (1 + len(names)))
     out = {}
     factor = normal(seed, base)
     for i, name in enumerate(names):
         lam = min(1.0, max(0.0, loading[name]))
         z = F.lit(lam) * factor + F.lit(max(0.0, 1 - lam * lam) ** 0.5) * normal(seed, base + 2 * (i + 1))
-        out[name] = grade_at(normal_cdf(z), marginals[name])
-    return spark.range(draws).select(F.col("id").alias("draw")).select("draw", *[c.alias(n) for n, c in out.items()])
+        out[name] = grade_at(normal_cdf(z), steps[name])
+    return draws.select("draw", *[c.alias(n) for n, c in out.items()])
 
 
-def grade_at(u: Column, p: list[float]) -> Column:
-    """The first grade whose cumulative probability reaches u."""
-    total, steps = 0.0, []
-    for x in p[:-1]:
-        total += x
-        steps.append(total)
+def grade_at(u: Column, steps: list[float]) -> Column:
+    """The first grade whose cumulative share reaches u."""
     return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s < u))
 
 

@@ -12,8 +12,8 @@ from ..operators import grading, placement, predict
 from ..sources import tables as T
 
 EXAM = "2002-01-20 00:00:00"
-SEED, DRAWS = 20240115, 4000
-MARGINALS = {"CHI": [0.0, 0.0, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.12, 0.14, 0.15, 0.12, 0.09, 0.05, 0.03, 0.01], "ENG": [0.01] * 4 + [0.06] * 4 + [0.09] * 8, "MATA": [0.02, 0.03, 0.05, 0.07, 0.1, 0.12, 0.13, 0.12, 0.1, 0.08, 0.06, 0.05, 0.03, 0.02, 0.01, 0.01]}
+SEED = 20240115
+SUBJECTS = ["CHI", "ENG", "MATA"]
 LOADING = {"CHI": 0.6, "ENG": 0.7, "MATA": 0.5}
 SPECS = {
     "w1": {"qualify": [("CHI", 8)], "stages": [(["CHI", "ENG"], 20), (["MATA"], 6)]},
@@ -157,27 +157,33 @@ def reliability_score(s, d):
 
 
 def mulberry32_stream(s, d):
-    return s.range(5000).select(F.col("id").alias("k"), randoms.uniform(SEED, F.col("id")).alias("u"))
+    """The generator's output for each order's number."""
+    return T.scan(s, d, "orders").select(F.col("o_orderkey").alias("k"), randoms.uniform(SEED, F.col("o_orderkey")).alias("u"))
 
 
-def _draws(s):
-    return placement.draw_grades(s, SEED, DRAWS, MARGINALS, LOADING)
+def _draws(s, d):
+    """A draw for each order, from the grades that the orders of a subject have."""
+    o = T.scan(s, d, "orders")
+    grades = o.select(F.element_at(F.array(*[F.lit(x) for x in SUBJECTS]), (F.col("o_custkey") % 3 + 1).cast("int")).alias("subject"), F.floor(F.col("o_totalprice") / 31250).cast("int").alias("grade"))
+    return placement.draw_grades(o.select(F.col("o_orderkey").alias("draw")), SEED, placement.cumulative(grades, "subject", "grade"), LOADING)
 
 
 def placement_draws(s, d):
-    return _draws(s)
+    return _draws(s, d)
 
 
 def placement_montecarlo(s, d):
-    return placement.pass_rates(placement.evaluate(_draws(s), SPECS), DRAWS)
+    return placement.pass_rates(placement.evaluate(_draws(s, d), SPECS), T.scan(s, d, "orders").count())
 
 
 def combo_analysis(s, d):
-    return placement.combo(placement.evaluate(_draws(s), SPECS), DRAWS)
+    return placement.combo(placement.evaluate(_draws(s, d), SPECS), T.scan(s, d, "orders").count())
 
 
 def normal_cdf_table(s, d):
-    return s.range(-400, 401).select(F.col("id").alias("i"), round_half_up(normal_cdf(F.col("id") / 100.0), 9).alias("p"))
+    """The distribution function at a number of hundredths for each order."""
+    i = F.col("o_orderkey") % 801 - 400
+    return T.scan(s, d, "orders").select("o_orderkey", i.alias("i"), round_half_up(normal_cdf(i / 100.0), 9).alias("p"))
 
 
 #: Stated verdicts: answer, standard answer, verdict.
@@ -308,24 +314,16 @@ uniforms AS (SELECT k, xor(t, t >> 14) / 4294967296.0::DOUBLE AS u FROM k2)"""
 
 
 def _sql_draws() -> str:
-    names, parts = sorted(MARGINALS), []
-    for i, n in enumerate(names):
-        lam = LOADING[n]
-        z = f"({lam} * z0 + {max(0.0, 1 - lam * lam) ** 0.5!r} * z{i + 1})"
-        total, steps = 0.0, []
-        for x in MARGINALS[n][:-1]:
-            total += x
-            steps.append(repr(total))
-        parts.append(f"CAST(len(list_filter([{', '.join(steps)}], lambda s: s < u_{n})) AS INT) AS {n}")
-        parts.append((z, n))
-    us = ", ".join(f"{_sql_cdf(z)} AS u_{n}" for z, n in (p for p in parts if isinstance(p, tuple)))
-    grades = ", ".join(p for p in parts if isinstance(p, str))
-    m = 1 + len(names)
+    m = 1 + len(SUBJECTS)
+    us = ", ".join(f"{_sql_cdf(f'({LOADING[n]} * z0 + {max(0.0, 1 - LOADING[n] * LOADING[n]) ** 0.5!r} * z{i + 1})')} AS u_{n}" for i, n in enumerate(SUBJECTS))
+    grades = ", ".join(f"CAST(len(list_filter((SELECT at FROM steps WHERE subject = '{n}'), lambda s: s < u_{n})) AS INT) AS {n}" for n in SUBJECTS)
     zs = ", ".join(f"max(z) FILTER (j = {j}) AS z{j}" for j in range(m))
-    return f"""ks AS (SELECT unnest(range({DRAWS * 2 * m})) AS k),
+    return f"""seen AS (SELECT ([{', '.join(f"'{n}'" for n in SUBJECTS)}])[o_custkey % 3 + 1] AS subject, least(CAST(floor(o_totalprice / 31250) AS INT), 15) AS grade FROM orders),
+steps AS (SELECT subject, list(upto / whole ORDER BY g) AS "at" FROM (SELECT subject, g, CAST(count(*) FILTER (grade <= g) AS DOUBLE) AS upto, CAST(count(*) AS DOUBLE) AS whole FROM seen, range(15) r(g) GROUP BY 1, 2) GROUP BY 1),
+ks AS (SELECT o_orderkey * {2 * m} + i AS k FROM orders, range({2 * m}) r(i)),
 {_UNIFORM},
 normals AS (SELECT a.k // {2 * m} AS draw, a.k % {2 * m} // 2 AS j, sqrt(-2 * ln(greatest(1e-12, a.u))) * cos(2 * pi() * b.u) AS z FROM uniforms a JOIN uniforms b ON b.k = a.k + 1 WHERE a.k % 2 = 0),
-zs AS (SELECT draw, {zs} FROM normals GROUP BY 1), us AS (SELECT draw, {us} FROM zs), draws AS (SELECT draw, {grades} FROM us)"""
+zs AS (SELECT draw, {zs} FROM normals GROUP BY 1), us AS (SELECT draw, {us} FROM zs), draws AS (SELECT draw, {grades.replace('SELECT at', 'SELECT "at"')} FROM us)"""
 
 
 def _sql_results() -> str:
@@ -392,9 +390,9 @@ SELECT question_id, answer, votes, floor(votes / 5 * 10000 + 0.5) / 10000 AS con
     "reliability_score": """SELECT wish_id, years, score, CASE WHEN score < 0.4 THEN 'NO_ESTIMATE' WHEN score < 0.7 THEN 'HIGH_UNCERTAINTY' ELSE 'NORMAL' END AS tier FROM (SELECT wish_id, years,
   floor((CASE least(years, 3) WHEN 0 THEN 0.3 WHEN 1 THEN 0.55 WHEN 2 THEN 0.8 ELSE 1.0 END)::DOUBLE * (CASE 2001 - last WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.78 WHEN 3 THEN 0.62 ELSE 0.45 END)::DOUBLE * greatest(0.5, 1 - coalesce(sd, 0) / 6) * 10000 + 0.5) / 10000 AS score FROM (
   SELECT o_custkey % 200 AS wish_id, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) END) AS years, max(year(o_orderdate)) AS last, stddev_samp(CAST(floor(o_totalprice / 31250) AS INT)) AS sd FROM orders GROUP BY 1))""",
-    "mulberry32_stream": f"WITH ks AS (SELECT unnest(range(5000)) AS k),\n{_UNIFORM}\nSELECT k, u FROM uniforms",
+    "mulberry32_stream": f"WITH ks AS (SELECT o_orderkey AS k FROM orders),\n{_UNIFORM}\nSELECT k, u FROM uniforms",
     "placement_draws": f"WITH {_sql_draws()}\nSELECT * FROM draws",
-    "placement_montecarlo": f"WITH {_sql_results()}\nSELECT wish, passes, failed_qualify, failed_sieve, floor(passes / {DRAWS} * 10000 + 0.5) / 10000 AS rate, CASE WHEN passes / {DRAWS} < 0.3 THEN 'SPRINT' WHEN passes / {DRAWS} > 0.7 THEN 'SAFE' ELSE 'STEADY' END AS risk FROM (SELECT wish, count(*) FILTER (cause IS NULL) AS passes, count(*) FILTER (cause = 'QUALIFY') AS failed_qualify, count(*) FILTER (cause LIKE 'SIEVE%') AS failed_sieve FROM results GROUP BY 1)",
-    "combo_analysis": f"WITH {_sql_results()}\nSELECT passed, count(*) AS draws, floor(count(*) / {DRAWS} * 10000 + 0.5) / 10000 AS share FROM (SELECT draw, CAST(count(*) FILTER (cause IS NULL) AS INT) AS passed FROM results GROUP BY 1) GROUP BY 1",
-    "normal_cdf_table": f"SELECT i, floor({_sql_cdf('(i / 100.0::DOUBLE)')} * 1e9 + 0.5) / 1e9 AS p FROM (SELECT unnest(range(-400, 401)) AS i)",
+    "placement_montecarlo": f"WITH {_sql_results()}\nSELECT wish, passes, failed_qualify, failed_sieve, floor(passes / (SELECT count(*) FROM orders) * 10000 + 0.5) / 10000 AS rate, CASE WHEN passes / (SELECT count(*) FROM orders) < 0.3 THEN 'SPRINT' WHEN passes / (SELECT count(*) FROM orders) > 0.7 THEN 'SAFE' ELSE 'STEADY' END AS risk FROM (SELECT wish, count(*) FILTER (cause IS NULL) AS passes, count(*) FILTER (cause = 'QUALIFY') AS failed_qualify, count(*) FILTER (cause LIKE 'SIEVE%') AS failed_sieve FROM results GROUP BY 1)",
+    "combo_analysis": f"WITH {_sql_results()}\nSELECT passed, count(*) AS draws, floor(count(*) / (SELECT count(*) FROM orders) * 10000 + 0.5) / 10000 AS share FROM (SELECT draw, CAST(count(*) FILTER (cause IS NULL) AS INT) AS passed FROM results GROUP BY 1) GROUP BY 1",
+    "normal_cdf_table": f"SELECT o_orderkey, i, floor({_sql_cdf('(i / 100.0::DOUBLE)')} * 1e9 + 0.5) / 1e9 AS p FROM (SELECT o_orderkey, o_orderkey % 801 - 400 AS i FROM orders)",
 }

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import admission
 from ..operators import layout as L
 from ..operators import reading as R
 from ..operators import segments as S
+from ..sources import files
 from ..sources import tables as T
+from ..sources import versions as V
+from ..sources.shared import new_path
 from .guards import _list, _pick
 
 #: How the blocks of a page lie, by its number: what it has above and below, and its columns (left edge, right edge; the last ones may stand under a heading of their own).
@@ -121,7 +125,41 @@ def exercise_members(s, d):
     return S.split_exercises(_worksheet(s, d))[1].select("doc_id", "unit", "part", "place", "kind", "text")
 
 
-NAMES = [reading_order, block_kinds_table, page_merge, section_table, section_members, exercise_table, exercise_members]
+def page_replace(s, d):
+    """Pages of orders written, a third of them replaced (every seventh by nothing), that again, and a writer lost before its commit."""
+    o = T.scan(s, d, "orders").select(F.expr("o_custkey div 4").alias("doc_id"), F.expr("o_orderkey div 300").alias("page"), F.col("o_orderkey").alias("block"), F.lit("first").alias("text"))
+    path, keys = new_path(s, "pages"), ["doc_id", "page"]
+    again = o.where("(doc_id + page) % 3 = 0")
+    second = again.where("(doc_id + page) % 7 > 0").withColumn("text", F.lit("second"))
+    V.replace_parts(o, o.select(*keys), path, 1)
+    for _ in range(2):
+        V.replace_parts(second, again.select(*keys), path, 2)
+    V.replace_parts(o.withColumn("text", F.lit("lost")), o.select(*keys), path, 3, stop_before_commit=True)
+    return V.current(s, path, o.schema, keys)
+
+
+def rank_import_table(s, d):
+    """Ranks of customers imported as a whole per class, then one class in five anew: the table that is left."""
+    c = T.scan(s, d, "customer").select(F.col("c_nationkey").alias("class"), F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 100).alias("percentile"))
+    path = new_path(s, "ranks")
+    V.replace_parts(c, c.select("class"), path, 1)
+    anew = c.where("class % 5 = 0")
+    V.replace_parts(anew.where("user_id % 2 = 0").withColumn("percentile", F.col("percentile") + 1000), anew.select("class"), path, 2)
+    V.vacuum(s, path, c.schema, ["class"], 3)
+    return V.current(s, path, c.schema, ["class"])
+
+
+def file_kinds(s, d):
+    """Uploads by their first bytes."""
+    starts = [bytes.fromhex(m) for m in files.MAGIC.values()] + [b"RIFF1234WEBPVP8", b"RIFF1234WAVEfmt", b"plain", b""]
+    return T.scan(s, d, "orders").select("o_orderkey", files.file_kind(F.concat(_pick([bytearray(b) for b in starts], F.col("o_orderkey")), F.encode(F.col("o_orderpriority"), "utf-8"))).alias("kind"))
+
+
+def admission_years(s, d):
+    return T.scan(s, d, "orders").select("o_orderkey", admission.roc_year(F.col("o_orderdate")).alias("year"))
+
+
+NAMES = [page_replace, rank_import_table, file_kinds, admission_years, reading_order, block_kinds_table, page_merge, section_table, section_members, exercise_table, exercise_members]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _BLOCKS = "b0 AS (SELECT o_custkey // 4 AS doc_id, o_orderkey // 300 AS page, o_orderkey AS nth, o_custkey * 7 + o_orderkey * 3 AS k, CASE WHEN o_orderkey % 4 > 0 THEN 0.05 ELSE 0.5 END AS y0, CASE WHEN o_orderkey % 3 > 0 THEN 0.95 ELSE 0.6 END AS y1, 'mode' || o_orderkey % 7 AS mode FROM orders)"
@@ -140,6 +178,10 @@ r AS (SELECT doc_id, nth, kind, text, CASE WHEN back THEN unit + 1 ELSE unit END
 whole AS (SELECT DISTINCT doc_id, unit FROM r WHERE part = 'STEM')"""
 _ORDER_AT = ", ".join(f"({k}, {z}, {c}, {p}, {'true' if top is None else 'false'})" for k, z, c, p, _, _, top, _ in _laid_out())
 ORACLES = {
+    "page_replace": "SELECT doc_id, page, block, CASE WHEN (doc_id + page) % 3 = 0 THEN 'second' ELSE 'first' END AS text FROM (SELECT o_custkey // 4 AS doc_id, o_orderkey // 300 AS page, o_orderkey AS block FROM orders) WHERE (doc_id + page) % 3 > 0 OR (doc_id + page) % 7 > 0",
+    "rank_import_table": "SELECT c_nationkey AS class, c_custkey AS user_id, c_custkey % 100 + CASE WHEN c_nationkey % 5 = 0 THEN 1000 ELSE 0 END AS percentile FROM customer WHERE c_nationkey % 5 > 0 OR c_custkey % 2 = 0",
+    "file_kinds": "SELECT o_orderkey, (['pdf', 'png', 'jpeg', 'gif', 'zip', 'webp', 'unknown', 'unknown', 'unknown'])[o_orderkey % 9 + 1] AS kind FROM orders",
+    "admission_years": "SELECT o_orderkey, CAST(year(o_orderdate - INTERVAL 7 MONTHS) - 1911 AS INT) AS year FROM orders",
     "reading_order": f"""WITH o AS (SELECT o_orderkey AS page, o_orderkey % 5 AS layout, 3 + o_custkey % 5 AS lines FROM orders), lies AS (SELECT * FROM (VALUES {_ORDER_AT}) v(layout, zone, col, part, many)),
 b AS (SELECT page, zone, col, part, line FROM o JOIN lies USING (layout), range(8) t(line) WHERE line < CASE WHEN many THEN lines ELSE 1 END)
 SELECT page, CAST((zone * 7 + col * 5 + part * 3 + line * 11 + 100) * 1000 + zone * 100 + col * 10 + part + 1 AS INT) AS block, CAST(row_number() OVER (PARTITION BY page ORDER BY zone, col, line, part) AS INT) AS place FROM b""",

@@ -77,7 +77,8 @@ def test_generator_is_the_sequential_one(spark):
 
 def test_placement_replays_with_its_seed(spark):
     marginals = {"A": [0.0] * 8 + [0.25] * 4 + [0.0] * 4, "B": [1 / 16] * 16}
-    run = lambda: placement.pass_rates(placement.evaluate(placement.draw_grades(spark, 7, 500, marginals, {"A": 0.5, "B": 0.5}), {"w": {"qualify": [("A", 9)], "stages": [(["A", "B"], 15)]}}), 500).collect()
+    steps = {k: [sum(v[: i + 1]) for i in range(len(v) - 1)] for k, v in marginals.items()}
+    run = lambda: placement.pass_rates(placement.evaluate(placement.draw_grades(spark.range(500).withColumnRenamed("id", "draw"), 7, steps, {"A": 0.5, "B": 0.5}), {"w": {"qualify": [("A", 9)], "stages": [(["A", "B"], 15)]}}), 500).collect()
     assert run() == run()
 
 
