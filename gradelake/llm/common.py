@@ -7,13 +7,11 @@ that a task runs again.
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, new_path
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,28 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="gradelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables of one query, kept in the shared folder.
 
     ``save`` runs a plan, writes it and reads it back, so that later steps start
     from stored rows; the shuffle files of that plan are released when it ends.
-    ``drop`` deletes tables that no later step reads, ``clear`` all of them.
+    ``drop`` deletes tables that no later step reads, ``clear`` all of them.  What a lazy result still reads goes with the
+    ``gradelake.sources.shared.scope`` that it was asked for in, or when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = new_path(spark, label)
         self.made = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -59,17 +47,10 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            with contextlib.suppress(Exception):
-                path.getFileSystem(conf).delete(path, True)
-
+        delete(self.spark, *[df._scratch_path for df in frames])
 
     def clear(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        with contextlib.suppress(Exception):
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.root)
 
 
 def free_name(df: DataFrame, want: str) -> str:

@@ -3,7 +3,8 @@ from types import SimpleNamespace
 
 import pytest
 
-from gradelake.llm.common import Scratch, components, free_name, shared_dir
+from gradelake.llm.common import Scratch, components, free_name
+from gradelake.sources.shared import shared_dir
 
 
 def test_components_against_union_find(spark):
