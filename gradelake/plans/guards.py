@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import guards as G
-from ..operators import tutor
+from ..operators import portfolio, tutor
 from ..sources import tables as T
 
 NOW = "1998-06-01 00:00:00"
@@ -131,8 +131,23 @@ def tutor_guard(s, d):
     return tutor.reply_violations(replies, questions).where("severity = 'LEAK'").select("reply_id", "code")
 
 
+#: What feedback says first, and the text to paste that it is.
+REMARKS = [
+    ("我參加了資訊社並且在社團裡學會了寫程式後來我帶著同學一起完成了一個專題作品並且拿到了不錯的名次", ["FIRST_PERSON_RUN"]), ("該生參加了資訊社並且在社團裡學會了寫程式後來帶著同學一起完成了一個專題作品並且拿到了不錯的名次", ["THIRD_PERSON_RUN"]), ("我從小喜歡看星星所以常常一個人去爬山露營和拍照", ["NARRATIVE_VOICE"]),
+    ("現在幫你寫一段", ["GHOSTWRITE_LEAD"]), ("我沒有辦法幫你寫這一段", []), ("這份作品從題目發想到資料收集都有清楚的紀錄。圖表的安排也能看出對於主題的掌握與持續的修正與調整。", ["PASTEABLE"]), ("貴系的課程很好", ["APPLICATION_VOICE"]), ("你可以再想想這一段嗎？", []), ("", []),
+]
+
+
+def feedback_guard(s, d):
+    """The assistant's turns as feedback with a remark in front, the turn's own text being the student's."""
+    c = T.scan(s, d, "conversations").where("role = 'assistant'")
+    remark = _pick([r for r, _ in REMARKS], F.col("conv_id") + F.col("turn"))
+    f = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("feedback_id"), F.concat_ws("\n", remark, "text").alias("text"), F.col("text").alias("own"))
+    return portfolio.feedback_violations(f).where("severity = 'GHOST'").select("feedback_id", "code")
+
+
 NAMES = [
-    tutor_guard,submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
+    tutor_guard, feedback_guard,submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
 QUERIES = {f.__name__: f for f in NAMES}
 
 
@@ -205,3 +220,4 @@ UNION ALL SELECT user_id, 'COUNT_SELECTED', (n > 0 OR selected IS NOT NULL) AND
     "grade_proposal_issues": f"WITH {_PROPOSALS} " + " UNION ALL ".join(f"SELECT k AS proposal_id, '{code}' AS code FROM checked WHERE {rule}" for code, rule in _CODES.items()),
 }
 ORACLES["tutor_guard"] = f"""SELECT conv_id * 1000 + turn AS reply_id, unnest(codes) AS code FROM (SELECT conv_id, turn, ([{', '.join('[' + ', '.join(f"'{c}'" for c in x[3]) + ']' for x in SAID)}])[(conv_id + turn) % {len(SAID)} + 1] AS codes FROM conversations WHERE role = 'assistant')"""
+ORACLES["feedback_guard"] = f"""SELECT conv_id * 1000 + turn AS feedback_id, unnest(codes) AS code FROM (SELECT conv_id, turn, ([{', '.join('[' + ', '.join(f"'{c}'" for c in codes) + ']' for _, codes in REMARKS)}])[(conv_id + turn) % {len(REMARKS)} + 1] AS codes FROM conversations WHERE role = 'assistant')"""
