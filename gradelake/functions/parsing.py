@@ -81,19 +81,40 @@ def sieve_subjects(text) -> Column:
     return F.when(whole, codes).otherwise(F.array().cast("array<string>"))
 
 
+def sieve_ambiguous(text) -> Column:
+    """Whether a sieve names mathematics without saying which where its reading stops: then it has no subjects, but for another reason than an unknown word."""
+    rest = F.regexp_replace(F.coalesce(col(text), F.lit("")), _NOISE, "")
+    return F.startswith(F.regexp_replace(rest, f"^(?:{_ANY})*", ""), F.lit("數"))
+
+
+def qualify_report(text) -> Column:
+    """What an entry text says, and what of it could not be used: {rules: [{subject, standard, grade}], unparsed, ambiguous}.
+
+    A part is what stands between commas, semicolons, slashes or wide gaps.  School percentages are another matter and left out.  A part with a subject and a
+    standard or a number is a rule (a number that is no grade of 0 to 15 is dropped); 數 without A or B beside a standard or number is ambiguous; a subject alone, or
+    a standard without a subject, is unparsed; any other part says nothing.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), r"[、,，;；/]|\s{2,}"), strip), lambda x: x != "")
+    standard = lambda x: F.nullif(F.regexp_extract(x, f"[{STANDARDS}]標", 0), F.lit(""))
+    number = lambda x: F.nullif(F.regexp_extract(x, r"[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).cast("double")
+
+    def read(x: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(x, F.lit(f"({_ANY})"), F.lit(1)), lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))
+        code, says = _code(F.array_max(names)["name"]), standard(x).isNotNull() | number(x).isNotNull()
+        grade = F.when((number(x) == F.floor(number(x))) & number(x).between(0, 15), number(x).cast("int"))
+        of = F.when(x.rlike("在校|百分|%|％") & standard(x).isNull(), "SCHOOL").when(code.isNotNull() & says, "RULE").when(code.isNotNull(), "UNPARSED")
+        of = of.when(F.contains(x, F.lit("數")) & says, "AMBIGUOUS").when(standard(x).isNotNull(), "UNPARSED").otherwise("NOTHING")
+        return F.struct(of.alias("of"), x.alias("raw"), code.alias("subject"), standard(x).alias("standard"), grade.alias("grade"))
+
+    every = F.transform(parts, read)
+    raw = lambda kind: F.transform(F.filter(every, lambda r: r["of"] == kind), lambda r: r["raw"])
+    rules = F.transform(F.filter(every, lambda r: r["of"] == "RULE"), lambda r: F.struct(r["subject"].alias("subject"), r["standard"].alias("standard"), r["grade"].alias("grade")))
+    return F.struct(rules.alias("rules"), raw("UNPARSED").alias("unparsed"), raw("AMBIGUOUS").alias("ambiguous"))
+
+
 def qualify_rules(text) -> Column:
-    """Rules of an entry text as {subject, standard, grade}: chunks that name a subject and a standard or a grade of 0 to 15."""
-    chunks = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), r"[、,，;；/]|\s{2,}"), strip), lambda x: x != "")
-    chunks = F.filter(chunks, lambda x: ~(x.rlike("在校|百分|%|％") & ~x.rlike(f"[{STANDARDS}]標")))
-
-    def rule(x: Column) -> Column:
-        name = F.array_max(F.transform(F.regexp_extract_all(x, F.lit(f"({_ANY})"), F.lit(1)), lambda n: F.struct(F.length(n).alias("n"), n.alias("name"))))["name"]
-        standard = F.nullif(F.regexp_extract(x, f"([{STANDARDS}]標)", 1), F.lit(""))
-        number = F.nullif(F.regexp_extract(F.regexp_replace(x, "[（()）]", " "), r"([0-9]+(?:\.[0-9]+)?)\s*級?分?", 1), F.lit("")).cast("double")
-        grade = F.when((number == F.floor(number)) & number.between(0, 15), number.cast("int"))
-        return F.struct(_code(name).alias("subject"), standard.alias("standard"), grade.alias("grade"), (standard.isNotNull() | number.isNotNull()).alias("says"))
-
-    return F.transform(F.filter(F.transform(chunks, rule), lambda r: r["subject"].isNotNull() & r["says"]), lambda r: F.struct(r["subject"].alias("subject"), r["standard"].alias("standard"), r["grade"].alias("grade")))
+    """The rules of ``qualify_report`` alone."""
+    return qualify_report(text)["rules"]
 
 
 def birth(text) -> Column:

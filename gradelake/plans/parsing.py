@@ -40,6 +40,29 @@ NUMBERS = [
 ]
 
 
+#: Parts of entry texts with what each comes to: a rule, left over, of two meanings, or nothing.
+QUALIFY_PARTS = [
+    ("國文前標", "R=CHINESE:前標:~"), ("數學A 均標(10)", "R=MATH_A:均標:10"), ("數學頂標", "A=數學頂標"), ("在校成績前 20%", ""), ("社會", "U=社會"), ("底標", "U=底標"), ("英文 78 分", "R=ENGLISH:~:~"), ("面試優先", ""), ("自然 12 級分", "R=SCIENCE:~:12"), ("數 9 級分", "A=數 9 級分"),
+]
+
+
+def qualify_parts(s, d):
+    """Orders' entry texts of two parts: the rules, what is left over and what has two meanings."""
+    k = F.col("o_orderkey")
+    part = lambda i: F.element_at(F.array(*[F.lit(t) for t, _ in QUALIFY_PARTS]), (F.floor(k / (1 if i == 0 else 7)) % len(QUALIFY_PARTS) + 1).cast("int"))
+    r = P.qualify_report(F.concat(part(0), F.lit("、"), part(1)))
+    said = F.concat(F.transform(r["rules"], lambda x: F.concat(F.lit("R="), F.concat_ws(":", x["subject"], _none(x["standard"]), _none(x["grade"])))), F.transform(r["unparsed"], lambda x: F.concat(F.lit("U="), x)), F.transform(r["ambiguous"], lambda x: F.concat(F.lit("A="), x)))
+    return T.scan(s, d, "orders").select("o_orderkey", F.array_join(F.array_sort(said), "|").alias("result"))
+
+
+def sieve_ambiguity(s, d):
+    """Sums of two names: whether a bare 數 stops the reading."""
+    names = F.array(*[F.lit(x) for x in ("國文", "數", "數A", "自然", "體育")])
+    k = F.col("o_orderkey")
+    t = F.concat(F.element_at(names, (k % 5 + 1).cast("int")), F.lit("+"), F.element_at(names, (F.floor(k / 5) % 5 + 1).cast("int")))
+    return T.scan(s, d, "orders").select("o_orderkey", P.sieve_ambiguous(t).alias("ambiguous"))
+
+
 def _rows(s, d, cases, names=("t",)):
     """Every order with one of the stated inputs."""
     kinds = ", ".join(f"{n}: {'array<double>' if n == 'numbers' else 'int' if n == 'years' else 'string'}" for n in names)
@@ -83,3 +106,7 @@ def _query(cases, names, rule):
 
 QUERIES = {name: _query(*spec) for name, spec in RULES.items()}
 ORACLES = {name: _stated(cases, "orders", "o_orderkey", "result", "o_orderkey") for name, (cases, _, _) in RULES.items()}
+QUERIES |= {"qualify_parts": qualify_parts, "sieve_ambiguity": sieve_ambiguity}
+_PARTS = "([" + ", ".join(f"'{r}'" for _, r in QUALIFY_PARTS) + "])[CAST({} AS BIGINT) % " + str(len(QUALIFY_PARTS)) + " + 1]"
+ORACLES["qualify_parts"] = f"SELECT o_orderkey, array_to_string(list_sort(list_filter([{_PARTS.format('o_orderkey')}, {_PARTS.format('o_orderkey // 7')}], lambda x: x <> '')), '|') AS result FROM orders"
+ORACLES["sieve_ambiguity"] = "SELECT o_orderkey, o_orderkey % 5 = 1 OR o_orderkey % 5 <> 4 AND o_orderkey // 5 % 5 = 1 AS ambiguous FROM orders"
