@@ -118,6 +118,12 @@ def study_plan(snapshots: DataFrame, points: DataFrame, limit: int = 8) -> DataF
     return s.withColumn("nth", nth).where(F.col("nth") <= limit).select("user_id", "kp_id", "value", "total", "nth")
 
 
+def plan_steps(plan: DataFrame, steps: DataFrame) -> DataFrame:
+    """``plan`` (of ``study_plan``) with what to do about each point: its next step, and the prerequisite that it names; a point without a step is practised."""
+    s = steps.select("user_id", "kp_id", F.col("step").alias("_step"), "prereq_id")
+    return plan.join(s, ["user_id", "kp_id"], "left").withColumn("step", F.coalesce("_step", F.lit("PRACTICE"))).drop("_step")
+
+
 def best_rule(rules: DataFrame) -> DataFrame:
     """Per program and subject the rule of the highest grade; one without a grade counts below all, and of equals the first."""
     g = rules.groupBy("program", "subject").agg(F.max_by(F.struct("rule_id", "grade"), F.struct(F.coalesce("grade", F.lit(-1)), -F.col("rule_id"))).alias("r"))

@@ -107,6 +107,11 @@ def study_plan(s, d):
     return V.study_plan(core._snaps(s, d), p).withColumn("value", F.floor(F.col("value") * 1e6 + 0.5) / 1e6)
 
 
+def study_plan_steps(s, d):
+    """The study plan with each point's next step, prerequisites included."""
+    return V.plan_steps(study_plan(s, d), core.next_step(s, d))
+
+
 def best_rule(s, d):
     li = T.scan(s, d, "lineitem").select((F.col("l_partkey") % 300).alias("program"), (F.col("l_suppkey") % 6).alias("subject"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rule_id"), F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity").cast("int") % 16).alias("grade"))
     return V.best_rule(li)
@@ -244,7 +249,7 @@ def day_range(s, d):
 
 
 NAMES = [
-    quiet_hours, day_range, child_summary, class_prior_tasks, unread_count, retention_purge, cohort_siblings, question_usage_detail, proctor_report, proctor_timelines, ability_readiness, review_counters, class_ability, study_plan, best_rule, explanation_pick, effective_ai_level,
+    quiet_hours, day_range, child_summary, class_prior_tasks, unread_count, retention_purge, cohort_siblings, question_usage_detail, proctor_report, proctor_timelines, ability_readiness, review_counters, class_ability, study_plan, study_plan_steps, best_rule, explanation_pick, effective_ai_level,
     prediction_history, grading_batch_rows, page_window, point_lookup, nested_exists, unused_references, search_or_relation, year_filter, snapshot_sync, rank_import_counts, document_stats, mode_over_pages, genre_detect, stuck_imports, resume_stage, payload_batch, class_overview,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -322,3 +327,4 @@ SELECT doc_id, coalesce(c.subject, 'UNKNOWN') AS subject FROM (SELECT DISTINCT d
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS place FROM proctor_events) WHERE place <= 25""", "proctor_events"),
     "class_overview": "SELECT c_nationkey AS class_id, c_custkey AS user_id, coalesce(wishes, 0) AS wishes, coalesce(conflicts, 0) AS conflicts, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(conflicts, 0) DESC, c_name) AS INT) AS place FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS wishes FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, count(*) AS conflicts FROM (" + roster.ORACLES["plan_conflicts"] + ") GROUP BY 1) ON user_id = c_custkey",
 }
+ORACLES["study_plan_steps"] = f"SELECT p.*, n.step, n.prereq_id FROM ({ORACLES['study_plan']}) p JOIN ({core.ORACLES['next_step']}) n USING (user_id, kp_id)"
