@@ -91,3 +91,68 @@ def feedback_violations(feedback: DataFrame, most: int = MOST, ask: bool = True)
     codes = lambda rules: F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))).alias("code")
     out = runs.select("feedback_id", codes(of_runs)).distinct().unionAll(f.select("feedback_id", codes(of_texts)))
     return out.withColumn("severity", F.when(F.col("code").isin("TOO_LONG", "NO_QUESTION"), "STYLE").otherwise("GHOST"))
+
+
+#: Uses that must be told, and how a statement tells each; words for the tool, for denial and for one's own work.
+FEATURES = {
+    "WRITING_FEEDBACK": "具體性|一致性|文字(?:的)?回饋|撰寫(?:的)?(?:回饋|建議|意見)|修改建議|文句(?:的)?檢視|針對(?:初稿|草稿|文稿)", "MATERIAL_HINT": "素材|學習(?:歷程)?紀錄(?:的)?(?:回想|提問)|回想|學習軌跡|成績(?:的)?變化|經歷(?:的)?整理",
+    "SELECTION_DISCUSS": "選件|成果(?:的)?(?:挑選|選擇|討論)|件數(?:的)?討論|作品(?:的)?挑選|哪幾件", "INTERVIEW_FEEDBACK": "面試|口試|回答(?:的)?結構|模擬(?:面試|問答)",
+}
+TOOL, DENIED = "(?i)AI|人工智慧|生成式|智慧工具", "[未無]|沒有|不曾|從未|並非|不是|皆非"
+BY_ONESELF = "由本人|本人(?:自行|獨力|獨立|親自|反覆)?(?:完成|撰寫|檢視|進行|整理|判斷)|自行(?:完成|撰寫|檢視|進行|整理|判斷)"
+NO_USE = "(?i)(?:未|沒有|不曾|從未|無)(?:使用|借助|運用|透過|藉由)(?:任何)?(?:AI|人工智慧|生成式|智慧)(?:輔助)?(?:工具|技術|軟體)?(?=[，,、；;。.]|$)"
+NOT_MADE = "(?i)(?:未|沒有|不曾|無)(?:使用|藉由|透過|讓)?(?:AI|人工智慧|生成式(?:AI|工具)?)(?:工具)?(?:生成|產生|撰寫|代寫|產出)"
+MADE = "(?i)(?:由|經)(?:AI|人工智慧|生成式)[^。；;]{0,12}(?:生成|撰寫|代寫|完成|產出)|AI(?:代寫|生成(?:了)?(?:本文|內容|全文|草稿))"
+OWN_WORK = "由本人(?:獨立)?(?:完成|撰寫|構思)|本人(?:自行|獨力|獨立)(?:完成|撰寫)|構思(?:與|及)撰寫(?:均)?由本人"
+MOST_STATEMENT = 300
+
+
+def told_uses(text: Column) -> Column:
+    """Which of ``FEATURES`` a statement tells as something the tool did (array of booleans).
+
+    Clauses are read in order.  One that names the tool speaks of it unless a denial stands before the name; those after it go on so until one
+    speaks of the writer's own work.
+    """
+    clauses = F.filter(F.split(text, "[，,、；;。.]+"), lambda c: c != "")
+    kinds = "struct<on:boolean,told:array<boolean>>"
+
+    def read(so: Column, clause: Column) -> Column:
+        ahead = F.regexp_extract(clause, f"(?i)^(.*?)(?:{TOOL.removeprefix('(?i)')})", 1)
+        on = F.when(clause.rlike(TOOL), ~ahead.rlike(DENIED)).when(clause.rlike(BY_ONESELF), False).otherwise(so["on"])
+        return F.struct(on.alias("on"), F.array(*[so["told"][i] | (on & clause.rlike(p)) for i, p in enumerate(FEATURES.values())]).alias("told")).cast(kinds)
+
+    start = F.struct(F.lit(False).alias("on"), F.array(*[F.lit(False)] * len(FEATURES)).alias("told")).cast(kinds)
+    return F.aggregate(clauses, start, read)["told"]
+
+
+def disclosure_violations(statements: DataFrame, logs: DataFrame, most: int = MOST_STATEMENT) -> DataFrame:
+    """(statement_id, code, severity): where a statement on the use of AI departs from the log of that use.
+
+    statements: statement_id (unique), text; logs: statement_id, feature (one row a use; blank ones do not count).  A statement without a log was
+    written without any use; a null text is empty.
+    """
+    n = {f: F.count_if(F.col("feature") == f).alias(f"n_{i}") for i, f in enumerate(FEATURES)}
+    used = logs.where(F.trim(F.coalesce("feature", F.lit(""))) != "").groupBy("statement_id").agg(F.count("*").alias("total"), *n.values())
+    columns = ["total", *[f"n_{i}" for i in range(len(FEATURES))]]
+    s = statements.select("statement_id", F.regexp_replace(normal(F.col("text")), r"\s+", "").alias("text")).join(used, "statement_id", "left").fillna(0, columns)
+    s = s.withColumn("told", told_uses(F.col("text")))
+    text, counts = F.col("text"), [F.col(c) for c in columns[1:]]
+    told = [F.col("told")[i] for i in range(len(counts))]
+    any_ = lambda xs: F.greatest(*xs)
+    stated = F.nullif(F.regexp_extract(text, "共([0-9]+)次", 1), F.lit("")).cast("decimal(38,0)")
+    ahead = F.regexp_extract(text, f"(?is)^(.*?)(?:{MADE.removeprefix('(?i)')})", 1)
+    refused = F.substring(ahead, F.greatest(F.length(ahead) - 5, F.lit(1)), F.lit(6)).rlike("[不沒無未非]")
+    rules = {
+        "CLAIMS_NO_AI": any_([c > 0 for c in counts]) & text.rlike(NO_USE),
+        "OMITS_FEATURE": any_([(c > 0) & ~t for c, t in zip(counts, told, strict=True)]),
+        "CLAIMS_UNUSED_FEATURE": any_([(c == 0) & t for c, t in zip(counts, told, strict=True)]),
+        "MISCOUNTS": (stated != sum(counts, F.lit(0))) & ~any_([stated == c for c in counts]),
+        "CLAIMS_GENERATION": text.rlike(MADE) & ~refused,
+        "SILENT_WHEN_UNUSED": (F.col("total") == 0) & ~text.rlike(NO_USE) & ~text.rlike(NOT_MADE),
+        "EMPTY": _letters("text") == 0,
+        "NO_OWN_WORK_CLAIM": ~text.rlike(OWN_WORK),
+        "TOO_LONG": _letters("text") > most,
+    }
+    codes = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))
+    out = s.select("statement_id", F.explode(codes).alias("code"))
+    return out.withColumn("severity", F.when(F.col("code").isin("NO_OWN_WORK_CLAIM", "TOO_LONG"), "STYLE").otherwise("GHOST"))

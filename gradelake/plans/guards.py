@@ -146,8 +146,25 @@ def feedback_guard(s, d):
     return portfolio.feedback_violations(f).where("severity = 'GHOST'").select("feedback_id", "code")
 
 
+#: Uses of the tool by log, statements, and where each statement departs from each log.
+LOGS = [[], ["WRITING_FEEDBACK", "WRITING_FEEDBACK"], ["MATERIAL_HINT", "INTERVIEW_FEEDBACK"], ["CHAT", " "]]
+_UNUSED, _OMITS, _SILENT, _NOT_OWN = "CLAIMS_UNUSED_FEATURE", "OMITS_FEATURE", "SILENT_WHEN_UNUSED", "NO_OWN_WORK_CLAIM"
+STATEMENTS = [
+    ("本文未使用 AI 工具，由本人獨立完成。", [[], ["CLAIMS_NO_AI", _OMITS], ["CLAIMS_NO_AI", _OMITS], []]), ("使用AI進行文字回饋共 2 次，構思與撰寫由本人完成。", [[_UNUSED, "MISCOUNTS", _SILENT], [], [_OMITS, _UNUSED], [_UNUSED, "MISCOUNTS"]]),
+    ("以ＡＩ輔助素材回想與模擬面試。", [[_UNUSED, _SILENT, _NOT_OWN], [_OMITS, _UNUSED, _NOT_OWN], [_NOT_OWN], [_UNUSED, _NOT_OWN]]), ("內容由AI協助生成，本人自行完成。", [["CLAIMS_GENERATION", _SILENT], ["CLAIMS_GENERATION", _OMITS], ["CLAIMS_GENERATION", _OMITS], ["CLAIMS_GENERATION"]]),
+    (None, [["EMPTY", _SILENT, _NOT_OWN], ["EMPTY", _OMITS, _NOT_OWN], ["EMPTY", _OMITS, _NOT_OWN], ["EMPTY", _NOT_OWN]]), ("並未由AI生成，由本人撰寫。", [[_SILENT], [_OMITS], [_OMITS], []]),
+]
+
+
+def disclosure_guard(s, d):
+    """Orders as statements, each with the log of its customer's uses."""
+    k = F.col("o_orderkey")
+    o = T.scan(s, d, "orders").select(k.alias("statement_id"), F.element_at(F.array(*[F.lit(t) for t, _ in STATEMENTS]), (k % len(STATEMENTS) + 1).cast("int")).alias("text"), F.element_at(F.array(*[F.array(*[F.lit(x) for x in log]).cast("array<string>") for log in LOGS]), (F.col("o_custkey") % len(LOGS) + 1).cast("int")).alias("log"))
+    return portfolio.disclosure_violations(o, o.select("statement_id", F.explode("log").alias("feature"))).select("statement_id", "code")
+
+
 NAMES = [
-    tutor_guard, feedback_guard,submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
+    tutor_guard, feedback_guard, disclosure_guard,submission_checklist, attempt_guards, question_publish_issues, question_retire_blockers, question_type_change, portfolio_may_add, grade_proposal_issues]
 QUERIES = {f.__name__: f for f in NAMES}
 
 
@@ -221,3 +238,5 @@ UNION ALL SELECT user_id, 'COUNT_SELECTED', (n > 0 OR selected IS NOT NULL) AND
 }
 ORACLES["tutor_guard"] = f"""SELECT conv_id * 1000 + turn AS reply_id, unnest(codes) AS code FROM (SELECT conv_id, turn, ([{', '.join('[' + ', '.join(f"'{c}'" for c in x[3]) + ']' for x in SAID)}])[(conv_id + turn) % {len(SAID)} + 1] AS codes FROM conversations WHERE role = 'assistant')"""
 ORACLES["feedback_guard"] = f"""SELECT conv_id * 1000 + turn AS feedback_id, unnest(codes) AS code FROM (SELECT conv_id, turn, ([{', '.join('[' + ', '.join(f"'{c}'" for c in codes) + ']' for _, codes in REMARKS)}])[(conv_id + turn) % {len(REMARKS)} + 1] AS codes FROM conversations WHERE role = 'assistant')"""
+_MATRIX = ", ".join("[" + ", ".join("[" + ", ".join(f"'{c}'" for c in codes) + "]" for codes in by_log) + "]" for _, by_log in STATEMENTS)
+ORACLES["disclosure_guard"] = f"SELECT o_orderkey AS statement_id, unnest(([{_MATRIX}])[o_orderkey % {len(STATEMENTS)} + 1][o_custkey % {len(LOGS)} + 1]) AS code FROM orders"

@@ -35,3 +35,25 @@ def test_stated_feedback(spark):
     assert {r.code for r in rows if r.severity == "STYLE"} == {"NO_QUESTION", "TOO_LONG"}
     assert P.feedback_violations(df.limit(0)).count() == 0
     assert {r.code for r in P.feedback_violations(df, ask=False).collect()} == {r.code for r in rows} - {"NO_QUESTION"}
+
+
+def test_told_uses_by_clause_order(spark):
+    cases = [
+        ("使用AI進行文字回饋，並整理素材", [True, True, False, False]),
+        ("未使用AI，僅自行整理素材", [False, False, False, False]),
+        ("使用AI進行回饋，未再修改，由本人整理面試", [False, False, False, False]),
+        ("由本人整理，以人工智慧做模擬面試、選件", [False, False, True, True]),
+        ("", [False] * 4),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    from pyspark.sql import functions as F
+
+    assert {r.i: r.told for r in df.select("i", P.told_uses(F.col("t")).alias("told")).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_disclosure_edges(spark):
+    s = spark.createDataFrame([(1, "由本人完成" + "字" * 300, 0), (2, "沒有使用AI工具，由本人完成，共0次", 0), (None, "由本人完成", 0)], "statement_id int, text string, total int")
+    logs = spark.createDataFrame([(9, "WRITING_FEEDBACK"), (1, None), (1, "")], "statement_id int, feature string")
+    got = sorted((str(r.statement_id), r.code, r.severity) for r in P.disclosure_violations(s, logs).collect())
+    assert got == [("1", "SILENT_WHEN_UNUSED", "GHOST"), ("1", "TOO_LONG", "STYLE"), ("None", "SILENT_WHEN_UNUSED", "GHOST")]
+    assert P.disclosure_violations(s.limit(0), logs).count() == 0
