@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import interview as I
 from ..functions import parsing as P
 from ..sources import tables as T
 from .grading import _stated
@@ -63,6 +64,21 @@ def sieve_ambiguity(s, d):
     return T.scan(s, d, "orders").select("o_orderkey", P.sieve_ambiguous(t).alias("ambiguous"))
 
 
+#: Parts of interview answers, each said by one bit of the order's number, and questions.
+ANSWER_PARTS, ASKED = ["去年", "3次", "吉他社", "獲益良多", "因為", "第一次接觸經常"], ["為什麼選這裡", "哪一件事", "說說自己", None]
+
+
+def interview_structure(s, d):
+    """Orders as interview answers made of parts and a filler: what is found, missing and asked next."""
+    k = F.col("o_orderkey")
+    parts = F.array_compact(F.array(*[F.when(F.shiftright(k, i).bitwiseAND(F.lit(1)) == 1, p) for i, p in enumerate(ANSWER_PARTS)]))
+    answer = F.array_join(F.concat(parts, F.array(F.repeat(F.lit("嗯"), (F.col("o_custkey") % 8 * 90).cast("int")))), "，")
+    asked = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    r = I.structure_feedback(answer, asked, F.when(k % 3 == 0, F.array(F.lit("動機"))))
+    o = T.scan(s, d, "orders").select("o_orderkey", r.alias("r"))
+    return o.select("o_orderkey", F.col("r.letters").cast("long").alias("letters"), "r.vague", "r.addressed", "r.concrete", F.array_join("r.ask", ",").alias("ask"))
+
+
 def _rows(s, d, cases, names=("t",)):
     """Every order with one of the stated inputs."""
     kinds = ", ".join(f"{n}: {'array<double>' if n == 'numbers' else 'int' if n == 'years' else 'string'}" for n in names)
@@ -110,3 +126,10 @@ QUERIES |= {"qualify_parts": qualify_parts, "sieve_ambiguity": sieve_ambiguity}
 _PARTS = "([" + ", ".join(f"'{r}'" for _, r in QUALIFY_PARTS) + "])[CAST({} AS BIGINT) % " + str(len(QUALIFY_PARTS)) + " + 1]"
 ORACLES["qualify_parts"] = f"SELECT o_orderkey, array_to_string(list_sort(list_filter([{_PARTS.format('o_orderkey')}, {_PARTS.format('o_orderkey // 7')}], lambda x: x <> '')), '|') AS result FROM orders"
 ORACLES["sieve_ambiguity"] = "SELECT o_orderkey, o_orderkey % 5 = 1 OR o_orderkey % 5 <> 4 AND o_orderkey // 5 % 5 = 1 AS ambiguous FROM orders"
+QUERIES["interview_structure"] = interview_structure
+_BITS = ", ".join(f"(o_orderkey >> {i}) & 1 = 1 AS b{i}" for i in range(len(ANSWER_PARTS)))
+_LENGTH = " + ".join(f"CASE WHEN b{i} THEN {len(p)} ELSE 0 END" for i, p in enumerate(ANSWER_PARTS))
+ORACLES["interview_structure"] = f"""WITH b AS (SELECT o_orderkey, o_custkey % 4 AS q, o_custkey % 8 * 90 AS filler, o_orderkey % 3 = 0 AS focus, {_BITS} FROM orders),
+x AS (SELECT *, CAST({_LENGTH} + filler AS BIGINT) AS letters, b1 OR b5 AS many, CASE WHEN q = 0 AND NOT b4 THEN '一個理由' WHEN q = 1 AND NOT b2 THEN '一個具體指名的東西' END AS unmet FROM b)
+SELECT o_orderkey, letters, CAST(b3 AS INT) AS vague, letters > 0 AND unmet IS NULL AS addressed, CAST(b0 AS INT) + CAST(many AS INT) + CAST(b2 AS INT) >= 2 AS concrete,
+  array_to_string(list_filter(['FORM:' || unmet, CASE WHEN focus THEN 'FOCUS' END, CASE WHEN NOT b0 THEN 'WHEN' END, CASE WHEN NOT many THEN 'HOW_MANY' END, CASE WHEN b3 THEN 'VAGUE' END, CASE WHEN b5 THEN 'CONTRADICTION' END, CASE WHEN letters < 80 THEN 'TOO_SHORT' END, CASE WHEN letters > 600 THEN 'TOO_LONG' END], lambda v: v IS NOT NULL), ',') AS ask FROM x"""
