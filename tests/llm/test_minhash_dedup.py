@@ -157,3 +157,22 @@ def test_a_large_group_of_low_similarity_is_cut_along_buckets(spark, monkeypatch
         assert {d: c for d, _, c, _ in got} == want
     ((m, p),) = [x for x in pairs if x[0]]
     assert m > 1300 and p < 0.05 * m * (m - 1) / 2
+
+
+def test_no_pair_at_the_threshold_is_missed_at_the_registered_parameters(spark):
+    """400 pairs of exactly 85 of 100 (34 of 40, 68 of 80 and 136 of 160 shingles), and as many just below it."""
+    rows, want = [], {}
+    for i in range(400):
+        changed = (1, 2, 4)[i % 3]
+        words = [f"w{i}x{k}" for k in range(37 * changed + 2)]
+        other = list(words)
+        for c in range(changed):
+            other[5 + 37 * c] += "y"
+        below = list(other)
+        below[22] += "z"
+        doc = 10 * i
+        rows += [(doc, " ".join(words)), (doc + 1, " ".join(other)), (doc + 5, " ".join(f"v{x}" for x in words)), (doc + 6, " ".join(f"v{x}" for x in below))]
+        want |= {doc: doc, doc + 1: doc, doc + 5: doc + 5, doc + 6: doc + 6}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df, k=3, num=85, den=100).collect()}
+    assert got == want
