@@ -100,3 +100,30 @@ def adjusted_confidence(confidence: Column, consistency: Column) -> Column:
     """Full agreement adds 0.1, partial (0.6 or more) takes 0.1, less caps at 0.3; unknown leaves it as it is."""
     c = F.when(consistency >= 1, confidence + 0.1).when(consistency >= 0.6, confidence - 0.1).when(consistency.isNotNull(), F.least(confidence, F.lit(0.3))).otherwise(confidence)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+
+
+#: How a stem points to a figure or table, and a row of a written table.
+_ENDS = r"(?=[\s、，。：；）)\]】]|$|所|中|之|的|可|為|列|資料|數據)"
+FIGURE = rf"(?:如|依|由|見|參[考見]|據|根據)[右左上下本該]?[圖表]|[右左上下附]圖|圖中|(?:[右左上下附]表|[圖表]\s*[一二三四五六七八九十0-9]+){_ENDS}"
+TABLE_ROW = r"(?m)^\s*\|.*\|\s*$"
+
+
+def question_faults(questions: DataFrame, groups: DataFrame, explained: DataFrame) -> DataFrame:
+    """(doc_id, code, ref): figures that are spoken of but not there, printed answers of another number than the paper asks for, and unexplained odd types.
+
+    questions: doc_id, id, kind, stem, asset_ids, group_id, expected_count, answer_source, answer_keys; groups: doc_id, id, stimulus; explained: doc_id,
+    question_id of questions whose content is already said to be unsupported.  An asset of the group's text counts for its questions, a
+    written table stands for a figure.
+    """
+    g = groups.select("doc_id", F.col("id").alias("group_id"), (F.size(_refs(F.col("stimulus"))) > 0).alias("_shown")).groupBy("doc_id", "group_id").agg(F.bool_or("_shown").alias("_shown"))
+    e = explained.select("doc_id", F.col("question_id").alias("id"), F.lit(True).alias("_said")).distinct()
+    q = questions.join(g, ["doc_id", "group_id"], "left").join(e, ["doc_id", "id"], "left")
+    stem = F.coalesce("stem", F.lit(""))
+    bare = (F.coalesce(F.size("asset_ids"), F.lit(0)) < 1) & ~F.coalesce("_shown", F.lit(False)) & ~stem.rlike(TABLE_ROW)
+    keys = F.coalesce(F.size("answer_keys"), F.lit(0))
+    issues = [
+        _issue("figure_missing", F.col("id"), bare & stem.rlike(FIGURE)),
+        _issue("answer_count_mismatch", F.col("id"), (F.col("expected_count") > 0) & (F.col("answer_source") == "PRINTED") & (keys > 0) & (keys != F.col("expected_count"))),
+        _issue("other_without_issue", F.col("id"), (F.col("kind") == "OTHER") & F.col("_said").isNull()),
+    ]
+    return q.select("doc_id", F.explode(F.array_compact(F.array(*issues))).alias("i")).select("doc_id", "i.code", "i.ref")

@@ -104,6 +104,22 @@ def validate_documents(s, d):
     return V.validate_documents(docs)
 
 
+#: Stems and whether they speak of a figure that only an asset can show.
+STEMS = [("如右圖，求面積", True), ("求面積", False), ("圖中 4 秒的位置", True), ("代表中國的作物", False), ("見下表\n| a | b |", False), ("依附圖作答", True), ("以上表現優異", False), ("表一，求和", True), ("圖形表一圓", False), ("圖 2 所示", True)]
+
+
+def question_faults(s, d):
+    """Orders as questions of their customer's document: figures, numbers of printed answers, odd types."""
+    k = F.col("o_orderkey")
+    o = T.scan(s, d, "orders").select(
+        F.col("o_custkey").alias("doc_id"), k.cast("string").alias("id"), F.when(k % 6 == 0, "OTHER").otherwise("SINGLE").alias("kind"), _pick([t for t, _ in STEMS], k).alias("stem"), F.when(k % 4 == 0, F.array(F.lit("a1"))).alias("asset_ids"),
+        F.when(k % 5 < 2, (k % 5).cast("string")).alias("group_id"), F.when(k % 3 > 0, (k % 3).cast("int")).alias("expected_count"), _pick(["PRINTED", "PRINTED", "SOLVED"], F.floor(k / 3)).alias("answer_source"), F.slice(F.array(F.lit("A"), F.lit("B")), 1, (F.floor(k / 9) % 3).cast("int")).alias("answer_keys"),
+    )
+    c = T.scan(s, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    groups = c.select("doc_id", F.lit("0").alias("id"), F.lit("see ![[a:x]]").alias("stimulus")).union(c.select("doc_id", F.lit("1"), F.lit("no picture")))
+    return V.question_faults(o, groups, o.where("id % 12 = 0").select("doc_id", F.col("id").alias("question_id")))
+
+
 def rubric_gaps(s, d):
     o = T.scan(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("rubric"), ((F.col("l_linenumber") - 1) * 4 + (F.col("l_orderkey") % 5 == 0).cast("int")).alias("low"), (F.col("l_linenumber") * 4 - 1 + (F.col("l_partkey") % 7 == 0).cast("int")).alias("high"), F.lit(11).alias("most"))
     return V.rubric_gaps(o, "rubric", "most")
@@ -129,7 +145,7 @@ def answer_states(s, d):
     )
 
 
-NAMES = [block_kinds, csv_uploads, header_match, page_id_remap, asset_places, figure_clusters, canonical_order, commit_to_bank, validate_documents, rubric_gaps, picks_and_confidence, answer_states]
+NAMES = [block_kinds, csv_uploads, header_match, page_id_remap, asset_places, figure_clusters, canonical_order, commit_to_bank, validate_documents, question_faults, rubric_gaps, picks_and_confidence, answer_states]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _STROKES = """strokes AS (SELECT o_orderkey % 997 AS page, o_orderkey AS stroke, CAST(o_orderkey * 37 % 211 AS DOUBLE) AS x0, CAST(o_orderkey * 53 % 197 AS DOUBLE) AS y0, CAST(o_orderkey * 37 % 211 + o_orderkey % 40 + 1 AS DOUBLE) AS x1, CAST(o_orderkey * 53 % 197 + o_orderkey % 29 + 1 AS DOUBLE) AS y1 FROM orders)"""
@@ -166,3 +182,6 @@ SELECT o_orderkey, answered, CASE WHEN NOT answered THEN 'BLANK' WHEN earned IS
   CASE WHEN o_orderkey % 7 = 0 THEN 9.0::DOUBLE ELSE coalesce(earned, CASE WHEN o_orderkey % 3 > 0 THEN 1.0::DOUBLE END) END AS score, CASE WHEN v BETWEEN 0 AND 100 AND floor(v * 100 + 0.5) = v * 100 THEN v END AS manual,
   nullif(trim(left(trim(CASE WHEN o_orderkey % 9 > 0 THEN repeat(o_orderpriority, o_orderkey % 12) ELSE '' END), 80)), '') AS term FROM (SELECT *, o_orderkey % 900 * 0.125::DOUBLE - 2 AS v FROM a)""",
 }
+_FIGURED = "([" + ", ".join("true" if x else "false" for _, x in STEMS) + f"])[o_orderkey % {len(STEMS)} + 1]"
+ORACLES["question_faults"] = f"""SELECT o_custkey AS doc_id, unnest(list_filter([CASE WHEN {_FIGURED} AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 THEN 'figure_missing' END,
+  CASE WHEN o_orderkey % 3 > 0 AND o_orderkey // 3 % 3 < 2 AND o_orderkey // 9 % 3 > 0 AND o_orderkey // 9 % 3 <> o_orderkey % 3 THEN 'answer_count_mismatch' END, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0 THEN 'other_without_issue' END], lambda x: x IS NOT NULL)) AS code, CAST(o_orderkey AS VARCHAR) AS ref FROM orders"""
