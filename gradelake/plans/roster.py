@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import admission, roster, stats
+from ..operators import admission, roster
 from ..sources import tables as T
 
 NOW = "2001-06-30 12:00:00"
