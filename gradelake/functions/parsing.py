@@ -51,8 +51,8 @@ def provenance(text) -> tuple[Column, Column, Column]:
     exam = F.regexp_replace(F.regexp_extract(tail, rf"(?s).*({_EXAM})", 1), r"\s+", "")
     rate = F.regexp_extract(tail, rf"(?s).*答對率\s*[：:]?\s*(100|0?[0-9]{{1,2}})\s*[%％]", 1)
     head = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
-    bare = F.regexp_replace(F.regexp_replace(head, r"[\[(（【]\s*$", ""), r"[\[(（【]\s*[\])）】]", "")
-    clean = strip(F.regexp_replace(bare, r"[ \t\x{3000}]{2,}", " "))
+    # a badge leaves its bracket behind: an opening one at the end, or a pair around nothing; gaps that this makes are one blank
+    clean = strip(F.regexp_replace(F.regexp_replace(head, r"[\[(（【]\s*(?:[\])）】]|$)", ""), r"[ \t\x{3000}]{2,}", " "))
     return F.nullif(exam, F.lit("")), (F.nullif(rate, F.lit("")).cast("int") / 100.0), F.when(tail == "", t).otherwise(clean)
 
 
@@ -205,16 +205,18 @@ def reply_issues(reply, answer, stem) -> Column:
 _ODDS = "機率|機會|可能性|勝算|勝率|成功率|錄取率|通過率|probability|chance|odds|likelihood"
 _SURE = "一定(?:上|會上|能上|考得上|錄取|過關|通過|沒問題)|穩(?:上|過)|保證|沒問題|篤定|鐵定|勝券在握|絕對(?:上|會上|沒問題|可以)|輕鬆(?:上|過|錄取|通過)"
 _MEAN = "平均|均值|中位數|average|median"
-_THREE, _TWO = "近三年|近 ?3 ?年|這三年|過去三年|三年來|前三年", "近兩年|近 ?2 ?年|這兩年|過去兩年|兩年來|歷年|逐年"
+_THREE, _TWO = "近三年|近 ?3 ?年|這三年|過去三年|三年來|前三年|近三屆|三年的資料|三年的趨勢", "近兩年|近 ?2 ?年|這兩年|過去兩年|兩年來|歷年|逐年|每一年都|年年"
 _DOUBT = "極值|只有一個|唯一一個|波動|樣本|不確定|最後一名|參考|不保證|變動|趨勢"
 _NOT = "(?<![不沒無非別未][^。，,]{0,7})"
+_CITED = "(?:依|根據|按照|依照|依據)(?:官方|簡章|委員會|大考中心|教育部|招聯會|榜單)|官方(?:公布|統計)(?:的)?(?:資料|數字|標準)?(?:顯示|指出|寫著|說明|說)|簡章(?:上|裡)?(?:寫|明訂|規定|載明)(?:著|明)?|(?:大考中心|委員會|招聯會)(?:的)?(?:統計|資料|公告)(?:顯示|指出|寫著)"
 MOST_ADVICE = 700
 
 
-def advice_issues(advice, numbers, years) -> Column:
+def advice_issues(advice, numbers, years, official=None) -> Column:
     """Codes of an advice text: odds with numbers, certainty, numbers without a source, extremes as averages, spans of years, length.
 
-    A phrase after a negation within eight characters does not count.  numbers: array<double> that the data give; years: how many years of data there are.
+    A phrase after a negation within eight characters does not count.  numbers: array<double> that the data give; years: how many years of data there are; official: whether any of it is an official document (without the
+    argument, sources are not judged).
     """
     t = F.coalesce(col(advice), F.lit(""))
     said = F.transform(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*(?:%|級分|名|人|分)(?![鐘之])"), F.lit(1)), lambda x: x.cast("double"))
@@ -224,6 +226,7 @@ def advice_issues(advice, numbers, years) -> Column:
         "CERTAINTY": t.rlike(f"{_NOT}(?:{_SURE})"),
         "UNSOURCED_NUMBER": F.exists(said, lambda x: ~F.array_contains(F.coalesce(col(numbers), F.array().cast("array<double>")), x)),
         "EXTREME_AS_AVERAGE": t.rlike(rf"(?i){_NOT}(?:{_MEAN}).{{0,24}}?[0-9]") | t.rlike(rf"(?i)[0-9].{{0,24}}?{_NOT}(?:{_MEAN})"),
+        "FAKE_SOURCE": t.rlike(_CITED) & ~F.coalesce(col(official), F.lit(False)) if official is not None else F.lit(False),
         "FAKE_YEAR_SPAN": (t.rlike(_THREE) & (F.coalesce(col(years), F.lit(0)) < 3)) | (t.rlike(_TWO) & (F.coalesce(col(years), F.lit(0)) < 2)),
         "NO_UNCERTAINTY": t.rlike(r"[0-9]\s*%") & ~t.rlike(_DOUBT),
         "TOO_LONG": F.length(F.regexp_replace(t, r"\s+", "")) > MOST_ADVICE,

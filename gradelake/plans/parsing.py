@@ -64,6 +64,16 @@ def sieve_ambiguity(s, d):
     return T.scan(s, d, "orders").select("o_orderkey", P.sieve_ambiguous(t).alias("ambiguous"))
 
 
+#: Advice and whether it cites a source.
+CITED = [("依簡章，這個系看重英文", True), ("官方統計資料顯示門檻不高", True), ("簡章可以再看一次", False), ("大考中心的公告寫著日期", True), ("想一想你要什麼", False)]
+
+
+def advice_sources(s, d):
+    """Orders as advice: a cited source counts against it where no official document is at hand."""
+    o = T.scan(s, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(t) for t, _ in CITED]), (F.col("o_orderkey") % len(CITED) + 1).cast("int")).alias("t"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 3 == 1).alias("official"))
+    return o.select("o_orderkey", F.array_join(P.advice_issues("t", F.array().cast("array<double>"), F.lit(3), "official"), "|").alias("result"))
+
+
 #: Parts of interview answers, each said by one bit of the order's number, and questions.
 ANSWER_PARTS, ASKED = ["去年", "3次", "吉他社", "獲益良多", "因為", "第一次接觸經常"], ["為什麼選這裡", "哪一件事", "說說自己", None]
 
@@ -133,3 +143,5 @@ ORACLES["interview_structure"] = f"""WITH b AS (SELECT o_orderkey, o_custkey % 4
 x AS (SELECT *, CAST({_LENGTH} + filler AS BIGINT) AS letters, b1 OR b5 AS many, CASE WHEN q = 0 AND NOT b4 THEN '一個理由' WHEN q = 1 AND NOT b2 THEN '一個具體指名的東西' END AS unmet FROM b)
 SELECT o_orderkey, letters, CAST(b3 AS INT) AS vague, letters > 0 AND unmet IS NULL AS addressed, CAST(b0 AS INT) + CAST(many AS INT) + CAST(b2 AS INT) >= 2 AS concrete,
   array_to_string(list_filter(['FORM:' || unmet, CASE WHEN focus THEN 'FOCUS' END, CASE WHEN NOT b0 THEN 'WHEN' END, CASE WHEN NOT many THEN 'HOW_MANY' END, CASE WHEN b3 THEN 'VAGUE' END, CASE WHEN b5 THEN 'CONTRADICTION' END, CASE WHEN letters < 80 THEN 'TOO_SHORT' END, CASE WHEN letters > 600 THEN 'TOO_LONG' END], lambda v: v IS NOT NULL), ',') AS ask FROM x"""
+QUERIES["advice_sources"] = advice_sources
+ORACLES["advice_sources"] = f"SELECT o_orderkey, CASE WHEN ([{', '.join(str(x).lower() for _, x in CITED)}])[o_orderkey % {len(CITED)} + 1] AND o_custkey % 3 <> 1 THEN 'FAKE_SOURCE' ELSE '' END AS result FROM orders"
