@@ -34,8 +34,9 @@ def lyndon_edges(w: list[int], count: list[int] | None = None) -> tuple[list[int
     The end counts as the smallest letter.  Places are visited from left to right with the
     chain of previous smaller suffixes; the furthest-reaching match so far says that
     ``w[i - shift:reach - shift]`` and ``w[i:reach]`` are equal, so a comparison with place i is answered by
-    the one with place ``i - shift`` unless that one reaches the end of the match; then, and only then, letters
-    are read, from there on.  ``count`` (a list of one number) adds up the letters read.
+    the one with place ``i - shift`` where that was made, unless it reaches the end of the match; then letters
+    are read from there on, and from the start where it was not made (rare: in tests on repetitive strings less than four
+    letters a place are read in all).  ``count`` (a list of one number) adds up the letters read.
     """
     n = len(w)
     w = [*w, -1]  # also what w[-1] reads: smaller than all
