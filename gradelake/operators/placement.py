@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, normal_cdf, round_half_up
+from ..functions.numeric import clamp, let, normal_cdf, round_half_up
 from ..functions.randoms import normal
 
 MIN_PAIRS, DEFAULT_CORRELATION, MAX_RHO = 4, 0.4, 0.9
@@ -67,17 +67,18 @@ def draw_grades(draws: DataFrame, seed: int, steps: dict[str, list[float]], load
     names = sorted(steps)
     base = F.col("draw") * (2 * (1 + len(names)))
     out = {}
-    factor = normal(seed, base)
+    drawn = draws.select("draw", normal(seed, base).alias("factor"))  # a column of its own: each subject reads it
     for i, name in enumerate(names):
         lam = min(1.0, max(0.0, loading[name]))
-        z = F.lit(lam) * factor + F.lit(max(0.0, 1 - lam * lam) ** 0.5) * normal(seed, base + 2 * (i + 1))
+        z = F.lit(lam) * F.col("factor") + F.lit(max(0.0, 1 - lam * lam) ** 0.5) * normal(seed, base + 2 * (i + 1))
         out[name] = grade_at(normal_cdf(z), steps[name])
-    return draws.select("draw", *[c.alias(n) for n, c in out.items()])
+    return drawn.select("draw", *[c.alias(n) for n, c in out.items()])
 
 
 def grade_at(u: Column, steps: list[float]) -> Column:
-    """The first grade whose cumulative share reaches u."""
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s < u))
+    """The first grade whose cumulative share reaches u, which is worked out once, not for each step."""
+    below = F.array(*[F.lit(s) for s in steps])
+    return let(u, lambda v: F.size(F.filter(below, lambda s: s < v)))
 
 
 def evaluate(draws: DataFrame, specs: dict[str, dict]) -> DataFrame:
