@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import stored
 from . import graph
 
 _D = "0-9０-９"
@@ -86,22 +89,53 @@ def placed_assets(texts: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataF
     return placed, refs.join(one, ["question_id", "asset"], "left_anti").select("question_id", "place", "asset")
 
 
+def _touching(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """(strokes with ``node``, links of nodes) for figures: boxes that meet have the same or linked nodes, others have not.
+
+    Boxes are widened by half of ``gap`` and seen on a lattice that is finer than ``gap``, so each holds a lattice point, and all that hold one
+    point meet there: the point stands for them under its least stroke.  Two boxes that meet without a common point hold two corners of one
+    cell.  Corners side by side are linked if the boxes that reach farthest from both meet; for opposite ones only boxes that end in
+    the cell are new, and a running maximum over their corners tells whether any two meet.  So links grow with strokes and lattice points, never with pairs.
+    """
+    cell, half = F.lit(gap * 0.75), gap / 2
+    low, high = lambda c: (F.floor((F.col(c) - half) / cell) + 1), lambda c: (F.ceil((F.col(c) + half) / cell) - 1)
+    s = strokes.where("x0 <= x1 and y0 <= y1").withColumns({"i0": low("x0"), "j0": low("y0"), "i1": high("x1"), "j1": high("y1")})
+    held = s.select("page", "stroke", "x0", "y0", "x1", "y1", "j0", "j1", F.explode(F.sequence("i0", "i1")).alias("i")).withColumn("j", F.explode(F.sequence("j0", "j1")))
+    nodes = stored(held.groupBy("page", "i", "j").agg(F.min("stroke").alias("node"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")), "nodes")
+    points = nodes.select("page", "i", "j", "node")
+    ahead = lambda di, dj: nodes.select("page", (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("node").alias("dst"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"))
+    links = [nodes.join(ahead(1, 0), ["page", "i", "j"]).where(F.col("x1") + gap > F.col("bx0")), nodes.join(ahead(0, 1), ["page", "i", "j"]).where(F.col("y1") + gap > F.col("by0"))]
+    links = [x.select(F.col("node").alias("src"), "dst") for x in links]
+    for up in (True, False):
+        # in the cell of lower left corner (i, j): ends there (one side), or starts there (the other); mirrored in y for the falling diagonal
+        i_from, i_to = F.col("i1"), F.col("i0") - 1
+        j_from, j_to = (F.col("j1"), F.col("j0") - 1) if up else (F.col("j0") - 1, F.col("j1"))
+        y_from, y_to = (F.col("y1"), F.col("y0")) if up else (-F.col("y0"), -F.col("y1"))
+        ends = s.groupBy("page", i_from.alias("i"), j_from.alias("j"), (F.col("x1") + gap).alias("x")).agg(F.max(y_from + gap).alias("y")).withColumn("side", F.lit(1))
+        starts = s.groupBy("page", i_to.alias("i"), j_to.alias("j"), F.col("x0").alias("x")).agg(F.min(y_to).alias("y")).withColumn("side", F.lit(0))
+        before = Window.partitionBy("page", "i", "j").orderBy(F.desc("x"), "side").rowsBetween(Window.unboundedPreceding, 0)
+        reach = F.max(F.when(F.col("side") == 1, F.col("y"))).over(before)
+        met = ends.unionByName(starts).withColumn("reach", reach).where("side = 0 and reach > y").select("page", "i", "j").distinct()
+        first, second = (0, 1) if up else (1, 0)  # rows of the corners on the left and on the right
+        left = points.select("page", "i", (F.col("j") - first).alias("j"), F.col("node").alias("src"))
+        right = points.select("page", (F.col("i") - 1).alias("i"), (F.col("j") - second).alias("j"), F.col("node").alias("dst"))
+        links.append(met.join(left, ["page", "i", "j"]).join(right, ["page", "i", "j"]).select("src", "dst"))
+    home = points.withColumnsRenamed({"i": "i0", "j": "j0"})
+    return s.join(home, ["page", "i0", "j0"]), functools.reduce(DataFrame.unionAll, links).where("src <> dst").distinct()
+
+
 def figures(strokes: DataFrame, gap: float = 9.0, least: int = 4, size: float = 28.0) -> DataFrame:
-    """Figures on pages: strokes whose boxes, ``gap`` wider, meet are one figure, of ``least`` strokes and ``size`` a side or more.
+    """Figures on pages: strokes whose boxes, ``gap`` (above 0) wider, meet are one figure, of ``least`` strokes and ``size`` a side or more.
 
-    strokes: page, stroke (long), x0, y0, x1, y1.  Boxes meet only within cells of a grid that both touch, so a
-    page is an equi-join on cells, not a comparison of all its strokes.
+    strokes: page, stroke (long, unique), x0, y0, x1, y1 (x0 <= x1, y0 <= y1).  A figure's number is its least stroke.  Pages may hold any number of strokes.
     """
-    cell = F.lit(max(4 * gap, 64.0))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    wide = lambda s, g: s.withColumn("cx", span(F.col("x0") - g, F.col("x1") + g)).withColumn("cy", span(F.col("y0") - g, F.col("y1") + g))
-    a = wide(strokes, gap).select("page", "cx", "cy", F.col("stroke").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = wide(strokes, 0.0).select("page", "cx", "cy", F.col("stroke").alias("b"), "x0", "y0", "x1", "y1")
-    meet = f"a <> b and a_x0 - {gap} < x1 and a_x1 + {gap} > x0 and a_y0 - {gap} < y1 and a_y1 + {gap} > y0"
-    links = a.join(b, ["page", "cx", "cy"]).where(meet).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    comp = graph.components(links).withColumnRenamed("node", "stroke")
-    s = strokes.join(comp, "stroke", "left").withColumn("component", F.coalesce("component", "stroke"))  # a stroke that meets none is its own
-    box = s.groupBy("page", F.col("component").alias("figure")).agg(F.count("*").alias("strokes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    if gap <= 0:
+        raise ValueError("gap must be above 0")
+    s, links = _touching(strokes, gap)
+    comp = graph.components(links)
+    total = {"strokes": F.sum, "x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    box = s.groupBy("page", "node").agg(F.count("*").alias("strokes"), *[f(c).alias(c) for c, f in total.items() if c != "strokes"])
+    box = box.join(comp, "node", "left").groupBy("page", F.coalesce("component", "node").alias("figure")).agg(*[f(c).alias(c) for c, f in total.items()])
     return box.where((F.col("strokes") >= least) & (F.col("x1") - F.col("x0") >= size) & (F.col("y1") - F.col("y0") >= size))
 
 
