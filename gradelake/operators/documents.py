@@ -174,11 +174,16 @@ def match_greedily(left: DataFrame, right: DataFrame, least: float = 0.62) -> Da
 def contained(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Points to the boxes they lie in, borders included; of several boxes the smallest, then the least id.
 
-    points: keys, point_id, x, y; boxes: keys, box_id, x0, y0, x1, y1.  An equi-join on the page keeps both sides small.
+    points: keys, point_id, x, y; boxes: keys, box_id, x0, y0, x1, y1.  Places and boxes of one page are compared once, however many points and boxes
+    have them: a box of a kind is its least id and a count, and what a place lies in goes back to its points.
     """
-    j = points.join(boxes, keys).where("x between x0 and x1 and y between y0 and y1")
-    best = F.min_by("box_id", F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), "box_id"))
-    return j.groupBy(*keys, "point_id").agg(best.alias("box_id"), F.count("*").alias("boxes"))
+    corners = ["x0", "y0", "x1", "y1"]
+    kinds = boxes.groupBy(*keys, *corners).agg(F.min("box_id").alias("box_id"), F.count("*").alias("n"))
+    j = points.select(*keys, "x", "y").distinct().join(kinds, keys).where("x between x0 and x1 and y between y0 and y1")
+    area, first = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"), F.struct("area", "box_id")
+    found = j.select("*", area).groupBy(*keys, "x", "y").agg(F.min(first).alias("best"), F.sum("n").alias("boxes"))
+    g = points.join(found, [*keys, "x", "y"]).groupBy(*keys, "point_id").agg(F.min("best").alias("best"), F.sum("boxes").alias("boxes"))
+    return g.select(*keys, "point_id", "best.box_id", "boxes")
 
 
 def section_totals(items: DataFrame, section: str, score: str, printed: str, tolerance: float = 0.01) -> DataFrame:
