@@ -28,6 +28,23 @@ def round_bankers(x, digits: int = 0) -> Column:
     return F.bround(col(x), digits)
 
 
+def one_decimal(x) -> Column:
+    """The text of a number with one decimal as C prints it: by its exact binary value, ties to even (``format_string`` rounds the shortest text half up).
+
+    Ten times x is 8 x + 2 x, both exact, and what their sum loses is known; below 2**49.
+    """
+    v = F.abs(col(x))
+    a, b = v * 8.0, v * 2.0
+    s = a + b
+    lost = (a - (s - (s - a))) + (b - (s - a))
+    n = F.floor(s)
+    half = s - n - 0.5
+    up = (half > 0) | ((half == 0) & ((lost > 0) | ((lost == 0) & (n % 2 == 1))))
+    tenths = n + up.cast("long")
+    sign = F.when(col(x) < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def clamp(x, low, high) -> Column:
     """Null stays null."""
     v = col(x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import one_decimal
 from ..operators import admission, roster
 from ..sources import tables as T
 
@@ -152,8 +153,8 @@ def monthly_tokens(s, d):
 
 def rank_import(s, d):
     c = T.scan(s, d, "customer")
-    full = F.translate(F.format_string("%.1f", F.col("c_acctbal") / 100), "0123456789.", "０１２３４５６７８９．")
-    raw = F.when(F.col("c_custkey") % 3 == 0, full).when(F.col("c_custkey") % 3 == 1, F.concat(F.format_string("%.1f", F.col("c_acctbal") / 100), F.lit("%"))).when(F.col("c_custkey") % 11 == 5, "n/a").otherwise(F.format_string("%.1f", F.col("c_acctbal") / 50))
+    full = F.translate(one_decimal(F.col("c_acctbal") / 100), "0123456789.", "０１２３４５６７８９．")
+    raw = F.when(F.col("c_custkey") % 3 == 0, full).when(F.col("c_custkey") % 3 == 1, F.concat(one_decimal(F.col("c_acctbal") / 100), F.lit("%"))).when(F.col("c_custkey") % 11 == 5, "n/a").otherwise(one_decimal(F.col("c_acctbal") / 50))
     name = F.when(F.col("c_custkey") % 17 == 3, "").otherwise(F.concat(F.lit("u"), F.floor(F.col("c_custkey") / 2).cast("string")))
     return admission.rank_rows(c.select(F.col("c_custkey").alias("line"), name.alias("username"), raw.alias("percentile"), F.when(F.col("c_custkey") % 4 == 0, "4").alias("semesters")))
 
