@@ -103,12 +103,17 @@ def gradebook_pivot(totals: DataFrame, assignment_ids: list[int], full: float =
 
 
 def student_vs_peers(totals: DataFrame, newest: int = 200, full: float = 250.0) -> DataFrame:
-    """Per user: own newest scored attempts against the mean of all scored attempts of the same assignment."""
+    """Per user: own newest scored attempts against the mean of all scored attempts of the same assignment.
+
+    A user's scores (at most ``newest``) are added newest first, as the window in the SQL hands them on: where a mean lies halfway, the order of adding decides.
+    """
     scored = totals.where("total_score is not null")
     peer = scored.groupBy("assignment_id").agg(F.avg("total_score").alias("peer"))
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("started_at"), F.desc("attempt_id")))
     own = scored.withColumn("nth", nth).where(F.col("nth") <= newest).join(peer, "assignment_id")
-    return own.groupBy("user_id").agg(F.count("*").alias("scored"), r(F.avg(F.col("total_score") / full) * 100, 1).alias("own_mean"), r(F.avg(F.col("peer") / full) * 100, 1).alias("peer_mean"))
+    g = own.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("nth", "total_score", "peer"))).alias("a"))
+    mean = lambda c: r(F.aggregate("a", F.lit(0.0), lambda so, x: so + x[c] / full) / F.size("a") * 100, 1)
+    return g.select("user_id", F.size("a").cast("long").alias("scored"), mean("total_score").alias("own_mean"), mean("peer").alias("peer_mean"))
 
 
 def assignment_list(totals: DataFrame, limit: int = 40) -> DataFrame:
