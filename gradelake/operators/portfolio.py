@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numeric import let
 from ..functions.text import FULL, HALF, condensed
 
 #: Where sentences end, who speaks, who is spoken of and to, time words, and how long a run may be.
@@ -53,9 +54,15 @@ def narrative_runs(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def own_cover(said: Column, own: Column) -> Column:
-    """The share of a run's places whose four characters the writer's own text has too; 0 below eight characters."""
-    places = F.sequence(F.lit(1), F.length(said) - 3)
-    return F.when(F.length(said) < 8, 0.0).otherwise(F.size(F.filter(places, lambda i: F.contains(own, F.substring(said, i, F.lit(4))))) / (F.length(said) - 3))
+    """The share of a run's places whose four characters the writer's own text has too; 0 below eight characters.
+
+    Both texts are worked out once, not at each place.
+    """
+    def share(t: Column, o: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(t) - 3)
+        return F.when(F.length(t) < 8, 0.0).otherwise(F.size(F.filter(places, lambda i: F.contains(o, F.substring(t, i, F.lit(4))))) / (F.length(t) - 3))
+
+    return let(F.struct(said.alias("said"), own.alias("own")), lambda x: share(x["said"], x["own"]))
 
 
 def _offers(text: Column) -> Column:
