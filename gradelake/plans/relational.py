@@ -80,8 +80,12 @@ def set_except(s, d):
 
 
 def approx_distinct(s, d):
-    """Distinct users per type, exact and by sketch: whether the sketch is within 10 %."""
-    g = T.scan(s, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("about"))
+    """Distinct users per type, exact and by sketch: whether the sketch is within 10 %.
+
+    Users are made distinct first, which changes no sketch: beside a count of distinct users, each user would have one of 6.5 KB.
+    """
+    users = T.scan(s, d, "events").select("event_type", "user_id").distinct()
+    g = users.groupBy("event_type").agg(F.count("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("about"))
     return g.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= F.col("users") * 0.1).alias("near"))
 
 
