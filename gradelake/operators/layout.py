@@ -124,14 +124,23 @@ def _touching(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
     return s.join(home, ["page", "i0", "j0"]), functools.reduce(DataFrame.unionAll, links).where("src <> dst").distinct()
 
 
+def _pairs(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """The same as ``_touching`` without a lattice: pairs of boxes within cells of a grid that both touch."""
+    cell = F.lit(64.0)
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    b = strokes.withColumn("cx", span(F.col("x0"), F.col("x1"))).withColumn("cy", span(F.col("y0"), F.col("y1")))
+    a = b.select("page", "cx", "cy", F.col("stroke").alias("src"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
+    meet = f"src <> stroke and a_x0 - {gap} < x1 and a_x1 + {gap} > x0 and a_y0 - {gap} < y1 and a_y1 + {gap} > y0"
+    return strokes.withColumn("node", F.col("stroke")), a.join(b, ["page", "cx", "cy"]).where(meet).select("src", F.col("stroke").alias("dst")).distinct()
+
+
 def figures(strokes: DataFrame, gap: float = 9.0, least: int = 4, size: float = 28.0) -> DataFrame:
-    """Figures on pages: strokes whose boxes, ``gap`` (above 0) wider, meet are one figure, of ``least`` strokes and ``size`` a side or more.
+    """Figures on pages: strokes whose boxes, ``gap`` wider, meet are one figure, of ``least`` strokes and ``size`` a side or more.
 
-    strokes: page, stroke (long, unique), x0, y0, x1, y1 (x0 <= x1, y0 <= y1).  A figure's number is its least stroke.  Pages may hold any number of strokes.
+    strokes: page, stroke (long, unique), x0, y0, x1, y1 (x0 <= x1, y0 <= y1).  A figure's number is its least stroke.  With a gap above 0
+    pages may hold any number of strokes; otherwise no lattice is finer than every box, and pairs are compared.
     """
-    if gap <= 0:
-        raise ValueError("gap must be above 0")
-    s, links = _touching(strokes, gap)
+    s, links = _touching(strokes, gap) if gap > 0 else _pairs(strokes, gap)
     comp = graph.components(links)
     total = {"strokes": F.sum, "x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     box = s.groupBy("page", "node").agg(F.count("*").alias("strokes"), *[f(c).alias(c) for c, f in total.items() if c != "strokes"])
