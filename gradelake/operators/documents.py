@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -80,32 +80,76 @@ def text_pairs(queries: DataFrame, candidates: DataFrame, floor: float) -> DataF
     return pairs.where(F.col("f.most") * (1 + floor) >= (F.col("f.size_q") + F.col("f.size_c")) * (floor - 1e-9)).select("query_id", "item_id")
 
 
-def similar_texts(queries: DataFrame, candidates: DataFrame, k: int = 20, least: float = 0.0, floors: tuple[float, ...] = (0.3, 0.15)) -> DataFrame:
+def _code_grams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram): the distinct trigrams of each lower-cased text with its blanks, three code points of 21 bits in one number."""
+    grams = []
+    for t in texts:
+        c = np.frombuffer(f"  {t} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+        grams.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+    return np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate(grams)
+
+
+def _count_shared(k: int, wide: int = 4096):
+    def run(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        none = {"query_id": queries["query_id"][:0], "item_id": items["item_id"][:0], "similarity": np.zeros(0)}
+        if queries.empty or items.empty:
+            return pd.DataFrame(none)
+        sides = []
+        for ids, texts in ((queries["query_id"], queries["text"]), (items["item_id"], items["text"])):
+            at = np.argsort(ids.to_numpy(), kind="stable")
+            names, first = np.unique(ids.to_numpy()[at], return_index=True)
+            row, gram = _code_grams(texts.iloc[at])
+            sides.append((names, first, len(at), row, gram))
+        (q, first_q, n_q, row_q, gram_q), (c, first_c, n_c, row_c, gram_c) = sides
+        known = np.intersect1d(gram_q, gram_c)
+        both = np.zeros((n_q, n_c), np.float32)  # counts are exact below 2**24
+        for lo in range(0, len(known), wide):
+            part = known[lo : lo + wide]
+            has = []
+            for row, gram, n in ((row_q, gram_q, n_q), (row_c, gram_c, n_c)):
+                col = np.minimum(np.searchsorted(part, gram), len(part) - 1)
+                here = part[col] == gram
+                m = np.zeros((n, len(part)), np.float32)
+                m[row[here], col[here]] = 1
+                has.append(m)
+            both += has[0] @ has[1].T
+        met = both > 0
+        whole = lambda m, how: how.reduceat(how.reduceat(m, first_q, axis=0), first_c, axis=1)  # noqa: E731  (texts of one id count together)
+        shared, size_q, size_c = whole(both.astype(np.float64), np.add), whole(met * np.bincount(row_q)[:, None], np.maximum), whole(met * np.bincount(row_c), np.maximum)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            similarity = np.where(shared > 0, np.floor(shared / (size_q + size_c - shared) * 1e6 + 0.5) / 1e6, -np.inf)
+        best = np.argsort(-similarity, axis=1, kind="stable")[:, :k]  # ids are sorted, so ties stay in their order
+        top = np.take_along_axis(similarity, best, 1)
+        i, j = np.nonzero(top > -np.inf)
+        return pd.DataFrame({"query_id": q[i], "item_id": c[best[i, j]], "similarity": top[i, j]})
+
+    return run
+
+
+def similar_texts(queries: DataFrame, candidates: DataFrame, k: int = 20, least: float = 0.0, block: int = 1024) -> DataFrame:
     """The k most similar candidates of each query by trigram Jaccard (to six places; ties by item_id), exactly.
 
-    queries: query_id, text; candidates: item_id, text.  Floors are tried from the highest: a query with k candidates above one is done, as no other can reach its
-    list, and only the rest goes on to the next.  The last is ``least``; with 0 what is left is counted over all shared trigrams.
+    queries: query_id, text; candidates: item_id, text.  With ``least`` above 0 only pairs of ``text_pairs`` are counted.  Without a floor nearly all pairs share
+    a trigram, so none can be left out: texts meet in blocks of about ``block`` a side, a block counts what its texts share as a product of two
+    matrices and hands on k candidates of each query.
     """
-    texts = queries.select(F.lit(0).alias("side"), "text").union(candidates.select(F.lit(1), "text"))
-    counts = stored(texts.select(F.explode(X.trigrams("text")).alias("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
-    q = stored(_rarest_first(queries, "query_id", counts), "queries")
-    c = stored(_rarest_first(candidates, "item_id", counts), "candidates")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    similarity = lambda both: round_half_up(both / (F.col("size_q") + F.col("size_c") - both), 6).alias("similarity")
-    done: list[DataFrame] = []
-    for floor in [f for f in sorted(floors, reverse=True) if f > least] + ([least] if least > 0 else []):
+    if least > 0:
+        texts = queries.select(F.lit(0).alias("side"), "text").union(candidates.select(F.lit(1), "text"))
+        counts = stored(texts.select(F.explode(X.trigrams("text")).alias("g")).groupBy("g").agg(F.count("*").alias("n")), "grams")
+        q = stored(_rarest_first(queries, "query_id", counts), "queries")
+        c = stored(_rarest_first(candidates, "item_id", counts), "candidates")
         left, right = q.select("query_id", F.col("grams").alias("gq"), F.col("size").alias("size_q")), c.select("item_id", F.col("grams").alias("gc"), F.col("size").alias("size_c"))
-        s = text_pairs(q, c, floor).join(left, "query_id").join(right, "item_id").select("query_id", "item_id", similarity(F.size(F.array_intersect("gq", "gc"))))
-        top = stored(s.where(F.col("similarity") >= floor).withColumn("nth", nth).where(F.col("nth") <= k), "top")
-        if floor == least:
-            return functools.reduce(DataFrame.unionByName, [*done, top.join(q.select("query_id"), "query_id", "left_semi")])
-        full = top.where((F.col("nth") == k) & (F.col("similarity") > floor + 1e-6)).select("query_id")
-        done.append(top.join(full, "query_id", "left_semi"))
-        q = stored(q.join(full, "query_id", "left_anti"), "queries")
-    a, b = (df.select(key, F.explode("grams").alias("g"), F.col("size").alias(size)) for df, key, size in ((q, "query_id", "size_q"), (c, "item_id", "size_c")))
-    s = a.join(b, "g").groupBy("query_id", "item_id").agg(F.count("*").alias("both"), F.first("size_q").alias("size_q"), F.first("size_c").alias("size_c"))
-    rest = s.select("query_id", "item_id", similarity(F.col("both"))).withColumn("nth", nth).where(F.col("nth") <= k)
-    return functools.reduce(DataFrame.unionByName, [*done, rest]).select("query_id", "item_id", "similarity", "nth")
+        both = F.size(F.array_intersect("gq", "gc"))
+        s = text_pairs(q, c, least).join(left, "query_id").join(right, "item_id").select("query_id", "item_id", round_half_up(both / (F.col("size_q") + F.col("size_c") - both), 6).alias("similarity"))
+        return s.where(F.col("similarity") >= least).withColumn("nth", nth).where(F.col("nth") <= k)
+    q, c = (df.select(key, F.lower("text").alias("text")).where("text is not null") for df, key in ((queries, "query_id"), (candidates, "item_id")))
+    nq, nc = (-(-max(1, df.count()) // block) for df in (queries, candidates))
+    q = q.withColumn("bq", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("bc", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    c = c.withColumn("bc", F.pmod(F.xxhash64("item_id"), F.lit(nc)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    out = S.StructType([S.StructField(key, df.schema[key].dataType) for df, key in ((q, "query_id"), (c, "item_id"))] + [S.StructField("similarity", S.DoubleType())])
+    s = q.groupBy("bq", "bc").cogroup(c.groupBy("bq", "bc")).applyInPandas(_count_shared(k), out)
+    return s.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def _block_pairs(threshold: float):
