@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .numeric import col, let
 
 #: What makes an answer concrete, phrases that say nothing, pairs that contradict each other, and what questions want (None: a name).
 CONCRETE = {
@@ -39,12 +42,51 @@ def structure_feedback(answer, question, focus) -> Column:
     ``unmet`` are the forms that the question asks for and the answer lacks; ``focus`` (array) is what only the student can judge.  At most two unmet forms are asked, each as FORM:<form>; then
     FOCUS, WHEN, HOW_MANY, VAGUE, CONTRADICTION, TOO_SHORT and TOO_LONG.  A null answer is empty; a null question asks for no form.
     """
-    t, q = F.coalesce(col(answer), F.lit("")), F.coalesce(col(question), F.lit(""))
-    n = letters(answer)
-    found = _named({name: t.rlike(p) for name, p in CONCRETE.items()})
-    vague = sum((t.rlike(p).cast("int") for p in VAGUE), F.lit(0))
-    unmet = _named({want: q.rlike(asks) & ~(t.rlike(gives) if gives else F.array_contains(found, "具名")) for want, (asks, gives) in WANTED.items()})
-    against = _named({name: t.rlike(a) & t.rlike(b) for name, (a, b) in AGAINST.items()})
-    more = {"FOCUS": F.size(F.coalesce(col(focus), F.array().cast("array<string>"))) > 0, "WHEN": ~F.array_contains(found, "時間"), "HOW_MANY": ~F.array_contains(found, "數量"), "VAGUE": vague > 0, "CONTRADICTION": F.size(against) > 0, "TOO_SHORT": n < SHORT, "TOO_LONG": n > LONG}
-    ask = F.concat(F.transform(F.slice(unmet, 1, 2), lambda x: F.concat(F.lit("FORM:"), x)), _named(more))
-    return F.struct(n.alias("letters"), found.alias("found"), vague.alias("vague"), unmet.alias("unmet"), against.alias("contradictions"), ((n > 0) & (F.size(unmet) == 0)).alias("addressed"), (F.size(found) >= 2).alias("concrete"), ask.alias("ask"))
+    given = {"t": F.coalesce(col(answer), F.lit("")), "q": F.coalesce(col(question), F.lit("")), "focus": F.size(F.coalesce(col(focus), F.array().cast("array<string>"))) > 0}
+    return let(F.struct(*[c.alias(name) for name, c in given.items()]), _structure)
+
+
+def _openings(pattern: str) -> list[str]:
+    """Plain texts, one of which every match of a pattern begins with; none if that is not known."""
+    if m := re.match(r"\(\?:([^()\[\]\\?*+{}.^$]+)\)(?![?*{])", pattern):
+        return m[1].split("|")
+    plain = re.match(r"[^()\[\]\\?*+{}.^$|]*", pattern)[0]
+    plain = plain[:-1] if pattern[len(plain) :][:1] in ("?", "*", "{") else plain
+    return [plain] if plain else []
+
+
+def says(text: Column, pattern: str) -> Column:
+    """As ``rlike``: alternatives that are plain texts are searched as such, others only where a text that they begin with is found."""
+    ways, depth = [""], 0
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            ways.append("")
+        else:
+            ways[-1] += c
+    found = []
+    for way in ways:
+        first = [F.contains(text, F.lit(o)) for o in _openings(way)]
+        at = functools.reduce(Column.__or__, first) if first else None
+        found.append(at if [way] == _openings(way) else text.rlike(way) if at is None else at & text.rlike(way))
+    return functools.reduce(Column.__or__, found)
+
+
+def _structure(given: Column) -> Column:
+    """The answer of ``structure_feedback``, each text and list worked out once."""
+    t, q = given["t"], given["q"]
+    found = _named({name: says(t, p) for name, p in CONCRETE.items()})
+    vague = sum((says(t, p).cast("int") for p in VAGUE), F.lit(0))
+    against = _named({name: says(t, a) & says(t, b) for name, (a, b) in AGAINST.items()})
+
+    def unmet(x: Column) -> Column:
+        return _named({want: q.rlike(asks) & ~(says(t, gives) if gives else F.array_contains(x["found"], "具名")) for want, (asks, gives) in WANTED.items()})
+
+    def whole(x: Column, unmet: Column) -> Column:
+        n, found, vague, against = (x[name] for name in ("letters", "found", "vague", "contradictions"))
+        more = {"FOCUS": given["focus"], "WHEN": ~F.array_contains(found, "時間"), "HOW_MANY": ~F.array_contains(found, "數量"), "VAGUE": vague > 0, "CONTRADICTION": F.size(against) > 0, "TOO_SHORT": n < SHORT, "TOO_LONG": n > LONG}
+        ask = F.concat(F.transform(F.slice(unmet, 1, 2), lambda w: F.concat(F.lit("FORM:"), w)), _named(more))
+        return F.struct(n.alias("letters"), found.alias("found"), vague.alias("vague"), unmet.alias("unmet"), against.alias("contradictions"), ((n > 0) & (F.size(unmet) == 0)).alias("addressed"), (F.size(found) >= 2).alias("concrete"), ask.alias("ask"))
+
+    first = F.struct(letters(t).alias("letters"), found.alias("found"), vague.alias("vague"), against.alias("contradictions"))
+    return let(first, lambda x: let(unmet(x), lambda u: whole(x, u)))
