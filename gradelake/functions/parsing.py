@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .numeric import col
+from .numeric import col, let
 
 _CJK = r"\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 _ENDS = r"^[\s\x{3000}]+|[\s\x{3000}]+$"
@@ -98,18 +98,25 @@ def qualify_report(text) -> Column:
     standard = lambda x: F.nullif(F.regexp_extract(x, f"[{STANDARDS}]標", 0), F.lit(""))
     number = lambda x: F.nullif(F.regexp_extract(x, r"[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).cast("double")
 
+    def judge(x: Column, said: Column) -> Column:
+        code, standard, number = said["code"], said["standard"], said["number"]
+        says = standard.isNotNull() | number.isNotNull()
+        grade = F.when((number == F.floor(number)) & number.between(0, 15), number.cast("int"))
+        of = F.when(x.rlike("在校|百分|%|％") & standard.isNull(), "SCHOOL").when(code.isNotNull() & says, "RULE").when(code.isNotNull(), "UNPARSED")
+        of = of.when(F.contains(x, F.lit("數")) & says, "AMBIGUOUS").when(standard.isNotNull(), "UNPARSED").otherwise("NOTHING")
+        return F.struct(of.alias("of"), x.alias("raw"), code.alias("subject"), standard.alias("standard"), grade.alias("grade"))
+
     def read(x: Column) -> Column:
         names = F.transform(F.regexp_extract_all(x, F.lit(f"({_ANY})"), F.lit(1)), lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))
-        code, says = _code(F.array_max(names)["name"]), standard(x).isNotNull() | number(x).isNotNull()
-        grade = F.when((number(x) == F.floor(number(x))) & number(x).between(0, 15), number(x).cast("int"))
-        of = F.when(x.rlike("在校|百分|%|％") & standard(x).isNull(), "SCHOOL").when(code.isNotNull() & says, "RULE").when(code.isNotNull(), "UNPARSED")
-        of = of.when(F.contains(x, F.lit("數")) & says, "AMBIGUOUS").when(standard(x).isNotNull(), "UNPARSED").otherwise("NOTHING")
-        return F.struct(of.alias("of"), x.alias("raw"), code.alias("subject"), standard(x).alias("standard"), grade.alias("grade"))
-
-    every = F.transform(parts, read)
-    raw = lambda kind: F.transform(F.filter(every, lambda r: r["of"] == kind), lambda r: r["raw"])
-    rules = F.transform(F.filter(every, lambda r: r["of"] == "RULE"), lambda r: F.struct(r["subject"].alias("subject"), r["standard"].alias("standard"), r["grade"].alias("grade")))
-    return F.struct(rules.alias("rules"), raw("UNPARSED").alias("unparsed"), raw("AMBIGUOUS").alias("ambiguous"))
+        said = F.struct(_code(F.array_max(names)["name"]).alias("code"), standard(x).alias("standard"), number(x).alias("number"))
+        return let(said, lambda y: judge(x, y))
+
+    def sort(every: Column) -> Column:
+        raw = lambda kind: F.transform(F.filter(every, lambda r: r["of"] == kind), lambda r: r["raw"])
+        rules = F.transform(F.filter(every, lambda r: r["of"] == "RULE"), lambda r: F.struct(r["subject"].alias("subject"), r["standard"].alias("standard"), r["grade"].alias("grade")))
+        return F.struct(rules.alias("rules"), raw("UNPARSED").alias("unparsed"), raw("AMBIGUOUS").alias("ambiguous"))
+
+    return let(F.transform(parts, read), sort)
 
 
 def qualify_rules(text) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import interview as I
 from ..functions import parsing as P
+from ..functions.numeric import let
 from ..sources import tables as T
 from .grading import _stated
 
@@ -51,9 +52,12 @@ def qualify_parts(s, d):
     """Orders' entry texts of two parts: the rules, what is left over and what has two meanings."""
     k = F.col("o_orderkey")
     part = lambda i: F.element_at(F.array(*[F.lit(t) for t, _ in QUALIFY_PARTS]), (F.floor(k / (1 if i == 0 else 7)) % len(QUALIFY_PARTS) + 1).cast("int"))
-    r = P.qualify_report(F.concat(part(0), F.lit("、"), part(1)))
-    said = F.concat(F.transform(r["rules"], lambda x: F.concat(F.lit("R="), F.concat_ws(":", x["subject"], _none(x["standard"]), _none(x["grade"])))), F.transform(r["unparsed"], lambda x: F.concat(F.lit("U="), x)), F.transform(r["ambiguous"], lambda x: F.concat(F.lit("A="), x)))
-    return T.scan(s, d, "orders").select("o_orderkey", F.array_join(F.array_sort(said), "|").alias("result"))
+
+    def said(r):
+        return F.concat(F.transform(r["rules"], lambda x: F.concat(F.lit("R="), F.concat_ws(":", x["subject"], _none(x["standard"]), _none(x["grade"])))), F.transform(r["unparsed"], lambda x: F.concat(F.lit("U="), x)), F.transform(r["ambiguous"], lambda x: F.concat(F.lit("A="), x)))
+
+    report = P.qualify_report(F.concat(part(0), F.lit("、"), part(1)))
+    return T.scan(s, d, "orders").select("o_orderkey", F.array_join(F.array_sort(let(report, said)), "|").alias("result"))
 
 
 def sieve_ambiguity(s, d):
