@@ -6,7 +6,8 @@ counted at every position by one sweep over where blocks begin and end.  What cr
 the gutter is read before the columns where it stands above them, else after.  A column without a
 gutter is read in bands: blocks that overlap vertically by half of the lower one are one line, read from left to right.
 
-A page's blocks are gathered in one row (a page holds hundreds, not millions); pages are spread over the cluster.
+A page's blocks are gathered in one row (a page holds hundreds, not millions); pages are spread over the cluster, and those of
+a batch are cut and read side by side.
 """
 
 from __future__ import annotations
@@ -29,65 +30,75 @@ DEPTH = 3
 X0, Y0, X1, Y1 = range(4)
 
 
-def gutter(box: np.ndarray) -> float | None:
-    """Where a page (rows x0, y0, x1, y1, the width being 1) is cut, or None."""
-    n = len(box)
-    if n < 4:
-        return None
-    change = np.zeros(len(POSITIONS) + 1, int)
+def gutters(box: np.ndarray, seg: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each segment (rows x0, y0, x1, y1 of ``box``, the width being 1) is cut, or nan; ``seg`` numbers the rows' segments."""
+    wide = len(POSITIONS) + 1
     begin = np.searchsorted(POSITIONS, box[:, X0], side="right")
-    np.add.at(change, begin, 1)
-    np.add.at(change, np.maximum(begin, np.searchsorted(POSITIONS, box[:, X1], side="left")), -1)
-    crossed = np.cumsum(change)[:-1]
-    fewest = crossed.min()
-    if fewest > max(2, round(n * 0.2)):
-        return None
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], crossed == fewest, [0]])))
-    starts, lengths = edge[::2], edge[1::2] - edge[::2]
-    k = int(lengths.argmax())
-    if lengths[k] < LEAST_RUN:
-        return None
-    return float(POSITIONS[starts[k]] + (lengths[k] - 1) * 0.005 / 2)
-
-
-def bands(box: np.ndarray, rows: np.ndarray) -> list[int]:
-    """``rows`` of one column line by line."""
-    out: list[int] = []
-    band: list[int] = []
-    top = bottom = 0.0
-    by_row = box[rows]
-    for i in rows[np.lexsort((rows, by_row[:, X0], by_row[:, Y0]))].tolist():
-        y0, y1 = box[i, Y0], box[i, Y1]
-        lower = min(y1 - y0, bottom - top)
-        if band and lower > 0 and (min(y1, bottom) - max(y0, top)) / lower >= OVERLAP:
-            top, bottom = min(top, y0), max(bottom, y1)
+    end = np.maximum(begin, np.searchsorted(POSITIONS, box[:, X1], side="left"))
+    change = np.bincount(seg * wide + begin, minlength=len(size) * wide) - np.bincount(seg * wide + end, minlength=len(size) * wide)
+    crossed = np.cumsum(change.reshape(-1, wide), axis=1)[:, :-1]
+    fewest = crossed.min(axis=1)
+    run, longest, last = (np.zeros(len(size), int) for _ in range(3))
+    for i, least in enumerate((crossed == fewest[:, None]).T):
+        run = (run + 1) * least
+        last = np.where(run > longest, i, last)
+        longest = np.maximum(longest, run)
+    cut = POSITIONS[last - longest + 1] + (longest - 1) * 0.005 / 2
+    return np.where((size >= 4) & (fewest <= np.maximum(2, np.rint(size * 0.2))) & (longest >= LEAST_RUN), cut, np.nan)
+
+
+def bands(box: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """The rows of columns (numbered by ``seg`` in reading order) line by line; all columns take a step at a time."""
+    rows = np.lexsort((box[:, X0], box[:, Y0], seg))  # stable: equal places stay in the order of drawing
+    start = np.flatnonzero(np.diff(seg[rows], prepend=-1))
+    length = np.diff(start, append=len(rows))
+    start, length = (x[np.argsort(-length, kind="stable")] for x in (start, length))
+    y0, y1 = box[rows, Y0], box[rows, Y1]
+    new = np.zeros(len(rows), int)
+    new[start] = 1
+    top, bottom = y0[start], y1[start]
+    for step in range(1, length[0] if len(length) else 0):
+        n = np.searchsorted(-length, -step)  # columns longer than this come first
+        at = start[:n] + step
+        lower = np.minimum(y1[at] - y0[at], bottom[:n] - top[:n])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            same = (lower > 0) & ((np.minimum(y1[at], bottom[:n]) - np.maximum(y0[at], top[:n])) / lower >= OVERLAP)
+        new[at] = ~same
+        top = np.where(same, np.minimum(top[:n], y0[at]), y0[at])
+        bottom = np.where(same, np.maximum(bottom[:n], y1[at]), y1[at])
+    return rows[np.lexsort((rows, y0, box[rows, X0], np.cumsum(new)))]
+
+
+def pages_order(box: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Row numbers of boxes in reading order, page after page; ``page`` numbers the rows' pages from 0."""
+    path = page.astype(np.int64)  # the page, then a digit a depth: above 0, left 1, right 2, below 3
+    open_ = np.arange(len(box))
+    for depth in range(DEPTH):
+        path *= 4
+        _, seg, size = np.unique(path[open_], return_inverse=True, return_counts=True)
+        b = box[open_]
+        if depth:
+            low, high = np.full(len(size), np.inf), np.full(len(size), -np.inf)
+            np.minimum.at(low, seg, b[:, X0])
+            np.maximum.at(high, seg, b[:, X1])
+            width = high - low
+            keep = width[seg] > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                b[:, [X0, X1]] = (b[:, [X0, X1]] - low[seg, None]) / width[seg, None]
         else:
-            out += sorted(band, key=lambda j: (box[j, X0], box[j, Y0], j))
-            band, top, bottom = [], y0, y1
-        band.append(i)
-    return out + sorted(band, key=lambda j: (box[j, X0], box[j, Y0], j))
-
-
-def page_order(box: np.ndarray, rows: np.ndarray | None = None, depth: int = 0) -> list[int]:
-    """Row numbers of a page's boxes in reading order."""
-    rows = np.arange(len(box)) if rows is None else rows
-    b = box[rows].copy()
-    if depth:
-        width = b[:, X1].max() - b[:, X0].min()
-        if width <= 0:
-            return bands(box, rows)
-        b[:, [X0, X1]] = (b[:, [X0, X1]] - b[:, X0].min()) / width
-    cut = gutter(b) if depth < DEPTH else None
-    if cut is None:
-        return bands(box, rows)
-    left, right = b[:, X1] <= cut, b[:, X0] >= cut
-    beside = left | right
-    if left.sum() < 2 or right.sum() < 2 or beside.sum() / len(b) < COLUMN_SHARE:
-        return bands(box, rows)
-    above = ~beside & (b[:, Y1] <= b[beside, Y0].min())
-    below = ~beside & ~above
-    columns = page_order(box, rows[left], depth + 1) + page_order(box, rows[right], depth + 1)
-    return bands(box, rows[above]) + columns + bands(box, rows[below])
+            keep = np.ones(len(b), bool)
+        open_, b, kept = open_[keep], b[keep], seg[keep]
+        cut = gutters(b, kept, size)[kept]
+        left, right = b[:, X1] <= cut, b[:, X0] >= cut
+        beside = left | right
+        count = lambda mask, of=kept, n=len(size): np.bincount(of[mask], minlength=n)
+        cuts = ((count(left) >= 2) & (count(right) >= 2) & (count(beside) / size >= COLUMN_SHARE))[kept]
+        head = np.full(len(size), np.inf)
+        np.minimum.at(head, kept[beside], b[beside, Y0])
+        part = np.where(left, 1, np.where(right, 2, np.where(b[:, Y1] <= head[kept], 0, 3)))
+        path[open_] += np.where(cuts, part, 0)
+        open_ = open_[cuts & beside]
+    return bands(box, path)
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +107,9 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends = boxes.flatten(), boxes.offsets.to_numpy() - boxes.offsets[0].as_py()
         corner = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], 1)
         place = np.zeros(len(flat), np.int32)
-        for a, b in zip(ends, ends[1:], strict=False):
-            place[a + np.array(page_order(corner[a:b]), int)] = np.arange(1, b - a + 1)
-        parent = pa.array(np.repeat(np.arange(len(boxes)), np.diff(ends)))
-        yield pa.RecordBatch.from_arrays([batch.column("page").take(parent), flat.field("block"), pa.array(place)], names=["page", "block", "place"])
+        parent = np.repeat(np.arange(len(boxes)), np.diff(ends))
+        place[pages_order(corner, parent)] = np.arange(len(flat)) - ends[parent] + 1
+        yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(parent)), flat.field("block"), pa.array(place)], names=["page", "block", "place"])
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
