@@ -21,8 +21,11 @@ def grade_items(items: DataFrame, responses: DataFrame) -> DataFrame:
     responses: attempt_id, paper_id, question_id, answer_keys, answer_text, answer_slots.
     Types other than SINGLE, TRUE_FALSE and MULTI are left to people (null).
     """
-    attempts = responses.select("attempt_id", "paper_id").distinct()
-    r = attempts.join(items, "paper_id").join(responses.drop("paper_id"), ["attempt_id", "question_id"], "left")
+    # responses travel once by attempt and once by paper, whole papers never: an item meets its response inside the attempt's row
+    rest = [c for c in responses.columns if c not in ("attempt_id", "paper_id")]
+    attempts = responses.groupBy("attempt_id", "paper_id").agg(F.collect_list(F.struct(*rest)).alias("given"))
+    r = attempts.join(items, "paper_id").withColumn("given", F.explode_outer(F.filter("given", lambda x: x["question_id"] == F.col("question_id"))))
+    r = r.select(*[c for c in r.columns if c != "given"], *[F.col(f"given.{c}").alias(c) for c in rest if c != "question_id"])
     auto = F.when(F.col("type").isin("SINGLE", "TRUE_FALSE"), G.single_choice("answer_keys", "correct_keys", "score")).when(F.col("type") == "MULTI", G.multi_choice("answer_keys", "correct_keys", "option_count", "score"))
     r = r.withColumn("answered", F.coalesce(F.size("answer_keys") > 0, F.lit(False))).withColumn("auto", auto)
     earned = F.when(F.col("award_all"), F.col("score")).otherwise(F.col("auto"))
