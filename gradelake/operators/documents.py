@@ -183,17 +183,75 @@ def similar_vectors(queries: DataFrame, vectors: DataFrame, threshold: float = 0
     return out.select("query_id", "vec_id", round_half_up("cosine", 6).alias("cosine"))
 
 
+def _common_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every place of a (rows) and b (columns): the length of the common run of characters that ends there."""
+    n, m = len(a), len(b)
+    rows = -(-n * (m + 1) // (m + 2))
+    flat = np.zeros(rows * (m + 2), bool)
+    flat[: n * (m + 1)].reshape(n, m + 1)[:, :m] = a[:, None] == b
+    same = flat.reshape(rows, m + 2)  # in rows of this width diagonals are columns, kept apart by the empty column
+    so_far = np.cumsum(same, axis=0, dtype=np.int16 if n < 1 << 15 else np.int32)
+    so_far -= np.maximum.accumulate(np.where(same, so_far.dtype.type(0), so_far), axis=0)
+    return so_far.reshape(-1)[: n * (m + 1)].reshape(n, m + 1)[:, :m]
+
+
+def _common_at_most(a: str, b: str) -> int:
+    """The length of the longest common subsequence, which common runs in order cannot exceed: a row of the table is one integer."""
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = row = (1 << len(a)) - 1
+    for c in b:
+        if p := places.get(c):
+            p &= row
+            row = (row + p | row - p) & every
+    return len(a) - row.bit_count()
+
+
+def match_ratio(first: str, second: str, least: float = 0.0, cells: int = 1 << 24) -> float | None:
+    """``SequenceMatcher(None, first, second, autojunk=False).ratio()``; None where it is below ``least``.
+
+    The longest common run (the first in ``first``, then in ``second``) parts both texts, and so on to both sides.  The lengths of
+    all common runs are worked out once; it ends as soon as what is left cannot reach ``least``.  Texts of more than ``cells`` pairs of places are left to difflib.
+    """
+    total = len(first) + len(second)
+    if not total:
+        return 1.0 if least <= 1.0 else None
+    if len(first) * len(second) > cells:
+        r = SequenceMatcher(None, first, second, autojunk=False).ratio()
+        return r if r >= least else None
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (first, second))
+    matched, left, parts = 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    if not left or 2.0 * left / total < least or least > 0 and 2.0 * _common_at_most(first, second) / total < least:
+        return 0.0 if least <= 0 else None
+    runs = _common_runs(a, b)
+    while parts:
+        i0, i1, j0, j1 = parts.pop()
+        left -= min(i1 - i0, j1 - j0)
+        part = np.minimum(runs[i0:i1, j0:j1], np.minimum(np.arange(1, i1 - i0 + 1)[:, None], np.arange(1, j1 - j0 + 1)))
+        at = int(part.argmax())
+        i, j = at // (j1 - j0), at % (j1 - j0)
+        k = int(part[i, j])
+        if k:
+            i, j = i0 + i + 1, j0 + j + 1  # where the run ends
+            matched += k
+            for x in ((i0, i - k, j0, j - k), (i, i1, j, j1)):
+                if x[0] < x[1] and x[2] < x[3]:
+                    parts.append(x)
+                    left += min(x[1] - x[0], x[3] - x[2])
+        if 2.0 * (matched + left) / total < least:
+            return None
+    return 2.0 * matched / total
+
+
 def _greedy(least: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (pdf[pdf.side == s].sort_values("item") for s in (0, 1))
-        pairs = []
-        for a in left.itertuples():
-            m = SequenceMatcher(None, autojunk=False)
-            m.set_seq2(a.text)
-            for b in right.itertuples():
-                m.set_seq1(b.text)
-                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                    pairs.append((-r, a.item, b.item))
+        sides: tuple[list, list] = ([], [])
+        for item, text, side in zip(pdf["item"], pdf["text"], pdf["side"], strict=True):
+            sides[side].append((item, text))
+        pairs = [(-r, a, b) for a, x in sides[0] for b, y in sides[1] if (r := match_ratio(y, x, least)) is not None]
         used_a, used_b, out = set(), set(), []
         for r, a, b in sorted(pairs):
             if a not in used_a and b not in used_b:
@@ -209,10 +267,11 @@ def match_greedily(left: DataFrame, right: DataFrame, least: float = 0.62) -> Da
     """Within each doc, left items to right ones by falling sequence-match ratio, each used once.
 
     Both: doc (long), item (long), text.  A document's items are few (the questions of a
-    paper), so a group holds one document.
+    paper), so a group holds one document.  Documents are dealt to a fixed number of tasks: their texts are small, their comparisons are not.
     """
     both = left.select("doc", "item", "text", F.lit(0).alias("side")).unionByName(right.select("doc", "item", "text", F.lit(1).alias("side")))
-    return both.where("text is not null").groupBy("doc").applyInPandas(_greedy(least), "doc long, left_item long, right_item long, ratio double")
+    tasks = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.where("text is not null").repartition(tasks, "doc").groupBy("doc").applyInPandas(_greedy(least), "doc long, left_item long, right_item long, ratio double")
 
 
 def contained(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
