@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +47,22 @@ def run_available(df: DataFrame, mode: str = "append", rocksdb: bool = False) ->
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def replayed(rows: DataFrame, order: str, parts: int) -> DataFrame:
-    """A stored table as a stream of ``parts`` triggers, by quantiles of ``order``, written one after the other."""
+#: Rows that one file of a replayed table holds, about.
+FILE_ROWS = 250_000
+
+
+def replayed(rows: DataFrame, order: str, parts: int, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A stored table as a stream of ``parts`` triggers, by quantiles of ``order``, written one after the other.
+
+    Every trigger reads the same number of files, so that large ones are written and read by several tasks.
+    """
     spark = rows.sparkSession
     path = new_path(spark, "replay")
     cuts = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)]).alias("q")).first()["q"] or []
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if lo is None else rows.where(F.col(order) > lo)
-        (part if hi is None else part.where(F.col(order) <= hi)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    spans = [[F.col(order) > lo] * (lo is not None) + [F.col(order) <= hi] * (hi is not None) for lo, hi in zip([None, *cuts], [*cuts, None], strict=True)]
+    inside = [functools.reduce(operator.and_, s, F.lit(True)) for s in spans]
+    files = max(1, min(rows.select(*[F.count_if(x) for x in inside]).first()) // file_rows)
+    for x in inside:
+        part = rows.where(x)
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)

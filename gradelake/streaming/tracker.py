@@ -12,8 +12,7 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,7 +23,7 @@ MAX_QUEUE = 200
 SILENT_MS = 6 * 3_600_000
 ADD, BACK = "ADD", "TAKE_BACK"
 COLUMNS = "attempt_id long, change string, record long, type string, at_ms long, duration_ms long, question int, bursts int, chars long, count int"
-_START = {"hidden": False, "blurred": False, "away": None, "back": None, "full": False, "out": None, "paste": None, "question": None, "next": 1, "dropped": 0}
+_START = {"hidden": False, "blurred": False, "away": None, "back": None, "full": False, "out": None, "paste": None, "question": None, "next": 1, "dropped": 0, "last": None}
 
 
 class Sitting:
@@ -135,31 +134,33 @@ class Tracker(StatefulProcessor):
         self.state = handle.getValueState("sitting", "json string")
 
     def _load(self) -> Sitting:
-        return Sitting(json.loads(self.state.get()[0]) if self.state.exists() else None, self.most)
+        found = self.state.get()
+        return Sitting(json.loads(found[0]) if found else None, self.most)
 
-    def _rows(self, key, sitting: Sitting) -> Iterator[pd.DataFrame]:
-        out = pd.DataFrame([{"attempt_id": key[0], **r} for r in sitting.sent], columns=[c.split()[0] for c in COLUMNS.split(", ")])
-        for c, kind in (x.split() for x in COLUMNS.split(", ")):
-            if kind != "string":
-                out[c] = out[c].astype("Int64" if kind == "long" else "Int32")
-        yield out
+    def _rows(self, key, sitting: Sitting) -> Iterator[Row]:
+        return (Row(attempt_id=key[0], **r) for r in sitting.sent)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         sitting = self._load()
-        signals = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
-        for kind, at, value in zip(signals["kind"], signals["at_ms"], signals["value"], strict=True):
-            sitting.signal(kind, int(at), None if pd.isna(value) else int(value))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer(int(signals["at_ms"].max()) + self.silent_ms)
+        last = sitting.s["last"]
+        for at, _, kind, value in sorted(((r.at_ms, r.seq, r.kind, r.value) for r in rows), key=lambda r: r[:2]):
+            sitting.signal(kind, at, value)
+            last = at if last is None else max(last, at)
+        if sitting.s["last"] is None:  # one timer a sitting: it asks again for the last signal when it is due
+            self.handle.registerTimer(last + self.silent_ms)
+        sitting.s["last"] = last
         self.state.update((json.dumps(sitting.s),))
-        yield from self._rows(key, sitting)
+        return self._rows(key, sitting)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         sitting = self._load()
+        due = sitting.s["last"] + self.silent_ms
+        if due > expiredTimerInfo.getExpiryTimeInMs() and due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return iter(())
         sitting.close()
         self.state.clear()
-        yield from self._rows(key, sitting)
+        return self._rows(key, sitting)
 
     def close(self) -> None:
         pass
@@ -172,7 +173,7 @@ def tracked(signals: DataFrame, silent_ms: int = SILENT_MS, late: str = "0 secon
     the RocksDB state store (``run_available(..., rocksdb=True)`` sets it).  The watermark is on ``at_ms`` as a time; signals behind it are late and left out.
     """
     s = signals.select(F.col("attempt_id").cast("long").alias("attempt_id"), "seq", "kind", F.col("at_ms").cast("long").alias("at_ms"), F.col("value").cast("long").alias("value"), F.timestamp_millis("at_ms").alias("at")).withWatermark("at", late)
-    return s.groupBy("attempt_id").transformWithStateInPandas(Tracker(silent_ms, most), COLUMNS, "Append", "EventTime")
+    return s.groupBy("attempt_id").transformWithState(Tracker(silent_ms, most), COLUMNS, "Append", "EventTime")
 
 
 def standing(changes: DataFrame) -> DataFrame:

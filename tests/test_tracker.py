@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import Row
+
 from gradelake.operators import proctor
 from gradelake.streaming import tracker as K
 from gradelake.streaming.tables import replayed, run_available
@@ -72,3 +74,46 @@ def test_a_silent_sitting_is_ended(spark):
     signals = spark.createDataFrame(rows, "attempt_id long, seq int, kind string, at_ms long, value long")
     got = K.standing(run_available(K.tracked(replayed(signals, "at_ms", 3), silent_ms=1_000_000), rocksdb=True)).collect()
     assert sorted((x.attempt_id, x.type, x.at_ms, x.duration_ms) for x in got) == [(1, "TAB_HIDDEN", 1_000, None), (2, "TAB_HIDDEN", 20_000_000, None), (2, "WINDOW_FOCUS", 9_000, 7_000), (3, "LONG_ABSENCE", 50_000_000, 10_000_000)]
+
+
+class _Handle:
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.calls.append(("timer", at))
+
+    def get(self):
+        return getattr(self, "value", None)
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_sitting_has_one_timer_and_asks_again():
+    """Signals only move the time at which a sitting is silent; the timer that is there looks it up."""
+    h, t = _Handle(), K.Tracker(silent_ms=1000)
+    t.init(h)
+    now = lambda at: type("T", (), {"getCurrentWatermarkInMs": lambda self: at, "getExpiryTimeInMs": lambda self: at})()
+    for at in (0, 400, 900):
+        list(t.handleInputRows((1,), iter([Row(attempt_id=1, seq=at, kind="blur" if at == 900 else "focus", at_ms=at, value=None)]), now(at)))
+    assert h.calls == [("timer", 1000)]
+    assert list(t.handleExpiredTimer((1,), now(1500), now(1000))) == [] and h.calls[1:] == [("timer", 1900)]
+    ended = list(t.handleExpiredTimer((1,), now(2500), now(1900)))
+    assert [(r.attempt_id, r.type, r.at_ms) for r in ended] == [(1, "WINDOW_BLUR", 900)] and h.get() is None
+
+
+def test_large_triggers_are_several_files(spark):
+    rows = spark.range(4000).selectExpr("id as at_ms", "id % 7 as k")
+    out = run_available(replayed(rows, "at_ms", 4, file_rows=300))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in rows.collect())
+    seen = []
+    q = replayed(rows, "at_ms", 4, file_rows=300).writeStream.trigger(availableNow=True).foreachBatch(lambda b, n: seen.append(b.count()))
+    q.start().awaitTermination()
+    assert len(seen) == 4 and all(900 < n < 1100 for n in seen)
