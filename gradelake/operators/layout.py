@@ -74,19 +74,27 @@ def resolve(references: DataFrame, parts: DataFrame, kinds: list[str], keep: boo
 _ASSET = r"!\[\[a:([^\]\s]+)\]\]"
 
 
-def placed_assets(texts: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(placed, missing): each asset beside the texts that name it, in the order of the names; unnamed ones go to the stem.
+def assets_in_place(texts: DataFrame, assets: DataFrame) -> DataFrame:
+    """question_id, place, seq, asset: each asset beside the texts that name it, in the order of the names; unnamed ones go to the stem; named ones that are not there have no ``seq``.
 
-    texts: question_id, place (STIMULUS, STEM or an option), text; assets: question_id, nth, asset.
-    placed: question_id, place, seq, asset; missing: question_id, place, asset.
+    texts: question_id, place (STIMULUS, STEM or an option), text; assets: question_id, nth, asset.  Names and assets are dealt to
+    their questions once, and meet there by sorting.
     """
-    refs = texts.select("question_id", "place", F.posexplode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ASSET), F.lit(1)))).alias("at", "asset"))
-    one = assets.groupBy("question_id", "asset").agg(F.min("nth").alias("nth"))
-    named = refs.join(one.select("question_id", "asset"), ["question_id", "asset"], "left_semi").select("question_id", "place", F.col("at").cast("long").alias("order"), "asset")
-    rest = one.join(refs.select("question_id", "asset"), ["question_id", "asset"], "left_anti").select("question_id", F.lit("STEM").alias("place"), (F.col("nth") + 1_000_000).cast("long").alias("order"), "asset")
-    seq = F.row_number().over(Window.partitionBy("question_id", "place").orderBy("order"))
-    placed = named.unionByName(rest).select("question_id", "place", seq.alias("seq"), "asset")
-    return placed, refs.join(one, ["question_id", "asset"], "left_anti").select("question_id", "place", "asset")
+    names = F.posexplode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ASSET), F.lit(1)))).alias("at", "asset")
+    named = texts.select("question_id", "place", names).select("question_id", "asset", F.lit(True).alias("named"), "place", F.col("at").cast("long").alias("order"))
+    there = assets.select("question_id", "asset", F.lit(False).alias("named"), F.lit("STEM").alias("place"), (F.col("nth") + 1_000_000).cast("long").alias("order"))
+    one, known = Window.partitionBy("question_id", "asset"), F.col("question_id").isNotNull()
+    rows = named.unionByName(there).repartition("question_id").withColumn("n", F.row_number().over(one.orderBy("named", F.asc_nulls_last("order"))))
+    rows = rows.withColumn("missing", F.col("named") & ~(known & F.bool_or(~F.col("named")).over(one))).withColumn("free", ~(known & F.bool_or("named").over(one)))
+    rows = rows.where(F.col("named") | (F.col("free") & (F.col("n") == 1)))
+    seq = F.when(~F.col("missing"), F.row_number().over(Window.partitionBy("question_id", "place", "missing").orderBy("order")))
+    return rows.select("question_id", "place", seq.alias("seq"), "asset")
+
+
+def placed_assets(texts: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placed, missing) of ``assets_in_place``: question_id, place, seq, asset and question_id, place, asset."""
+    rows = assets_in_place(texts, assets)
+    return rows.where("seq is not null"), rows.where("seq is null").drop("seq")
 
 
 def _touching(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:

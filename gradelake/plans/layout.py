@@ -65,8 +65,7 @@ def asset_places(s, d):
     ref = lambda i: F.concat(F.lit("![[a:a"), (i % 6).cast("string"), F.lit("]]"))
     texts = p.select("question_id", F.explode(F.array(F.struct(F.lit("STIMULUS").alias("place"), F.when(k % 3 > 0, ref(k)).alias("text")), F.struct(F.lit("STEM").alias("place"), F.concat(ref(k + 2), F.lit(" and "), ref(k + 1)).alias("text")), F.struct(F.lit("A").alias("place"), F.when(k % 2 > 0, ref(k + 2)).otherwise("x").alias("text")))).alias("t")).select("question_id", "t.*")
     assets = p.select("question_id", F.posexplode(F.transform(F.sequence(F.lit(0), k % 5), lambda i: F.concat(F.lit("a"), i.cast("string")))).alias("nth", "asset"))
-    placed, missing = L.placed_assets(texts, assets)
-    return placed.unionByName(missing.withColumn("seq", F.lit(None).cast("int")))
+    return L.assets_in_place(texts, assets)
 
 
 def _strokes(s, d):
