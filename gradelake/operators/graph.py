@@ -129,6 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node points to the one of its neighbours and itself that comes first in an order of that
     round's own, what is pointed to is followed once more, and edges are redrawn between the ends;
     an edge is gone when both of its ends meet, so each round leaves a share of the edges.
+    Tables of nodes meet by sorting: in Parquet they look small enough to broadcast, but they grow with the graph.
     """
     e = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
@@ -137,12 +138,12 @@ def components(edges: DataFrame) -> DataFrame:
         i = len(steps)
         near = e.union(e.select("dst", "src")).groupBy(F.col("src").alias("v")).agg(F.min(_first(i, "dst")).alias("low"))
         near = stored(near.select("v", F.least("low", _first(i, "v"))["p"].alias("p")))
-        to = stored(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")))
+        to = stored(near.join(near.select(F.col("v").alias("p"), F.col("p").alias("q")).hint("merge"), "p").select("v", F.col("q").alias("p")))
         steps.append(to)
         a, b = to.select(F.col("v").alias("src"), F.col("p").alias("a")), to.select(F.col("v").alias("dst"), F.col("p").alias("b"))
-        e = stored(e.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        e = stored(e.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
     label = nodes.select("node", F.col("node").alias("at"))
     for to in steps:
-        label = stored(label.join(to.select(F.col("v").alias("at"), "p"), "at", "left").select("node", F.coalesce("p", "at").alias("at")))
+        label = stored(label.join(to.select(F.col("v").alias("at"), "p").hint("merge"), "at", "left").select("node", F.coalesce("p", "at").alias("at")))
     least = label.groupBy("at").agg(F.min("node").alias("component"))
-    return label.join(least, "at").select("node", "component")
+    return label.join(least.hint("merge"), "at").select("node", "component")

@@ -104,6 +104,7 @@ def _touching(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
     point meet there: the point stands for them under its least stroke.  Two boxes that meet without a common point hold two corners of one
     cell.  Corners side by side are linked if the boxes that reach farthest from both meet; for opposite ones only boxes that end in
     the cell are new, and a running maximum over their corners tells whether any two meet.  So links grow with strokes and lattice points, never with pairs.
+    Lattice points meet by sorting: in Parquet they look small enough to broadcast, but they grow with pages.
     """
     cell, half = F.lit(gap * 0.75), gap / 2
     low, high = lambda c: (F.floor((F.col(c) - half) / cell) + 1), lambda c: (F.ceil((F.col(c) + half) / cell) - 1)
@@ -111,7 +112,7 @@ def _touching(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
     held = s.select("page", "stroke", "x0", "y0", "x1", "y1", "j0", "j1", F.explode(F.sequence("i0", "i1")).alias("i")).withColumn("j", F.explode(F.sequence("j0", "j1")))
     nodes = stored(held.groupBy("page", "i", "j").agg(F.min("stroke").alias("node"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")), "nodes")
     points = nodes.select("page", "i", "j", "node")
-    ahead = lambda di, dj: nodes.select("page", (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("node").alias("dst"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"))
+    ahead = lambda di, dj: nodes.select("page", (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("node").alias("dst"), F.col("x0").alias("bx0"), F.col("y0").alias("by0")).hint("merge")
     links = [nodes.join(ahead(1, 0), ["page", "i", "j"]).where(F.col("x1") + gap > F.col("bx0")), nodes.join(ahead(0, 1), ["page", "i", "j"]).where(F.col("y1") + gap > F.col("by0"))]
     links = [x.select(F.col("node").alias("src"), "dst") for x in links]
     for up in (True, False):
@@ -127,9 +128,9 @@ def _touching(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
         first, second = (0, 1) if up else (1, 0)  # rows of the corners on the left and on the right
         left = points.select("page", "i", (F.col("j") - first).alias("j"), F.col("node").alias("src"))
         right = points.select("page", (F.col("i") - 1).alias("i"), (F.col("j") - second).alias("j"), F.col("node").alias("dst"))
-        links.append(met.join(left, ["page", "i", "j"]).join(right, ["page", "i", "j"]).select("src", "dst"))
+        links.append(met.join(left.hint("merge"), ["page", "i", "j"]).join(right.hint("merge"), ["page", "i", "j"]).select("src", "dst"))
     home = points.withColumnsRenamed({"i": "i0", "j": "j0"})
-    return s.join(home, ["page", "i0", "j0"]), functools.reduce(DataFrame.unionAll, links).where("src <> dst").distinct()
+    return s.join(home.hint("merge"), ["page", "i0", "j0"]), functools.reduce(DataFrame.unionAll, links).where("src <> dst").distinct()
 
 
 def _pairs(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +140,7 @@ def _pairs(strokes: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
     b = strokes.withColumn("cx", span(F.col("x0"), F.col("x1"))).withColumn("cy", span(F.col("y0"), F.col("y1")))
     a = b.select("page", "cx", "cy", F.col("stroke").alias("src"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     meet = f"src <> stroke and a_x0 - {gap} < x1 and a_x1 + {gap} > x0 and a_y0 - {gap} < y1 and a_y1 + {gap} > y0"
-    return strokes.withColumn("node", F.col("stroke")), a.join(b, ["page", "cx", "cy"]).where(meet).select("src", F.col("stroke").alias("dst")).distinct()
+    return strokes.withColumn("node", F.col("stroke")), a.join(b.hint("merge"), ["page", "cx", "cy"]).where(meet).select("src", F.col("stroke").alias("dst")).distinct()
 
 
 def figures(strokes: DataFrame, gap: float = 9.0, least: int = 4, size: float = 28.0) -> DataFrame:
@@ -152,7 +153,7 @@ def figures(strokes: DataFrame, gap: float = 9.0, least: int = 4, size: float =
     comp = graph.components(links)
     total = {"strokes": F.sum, "x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     box = s.groupBy("page", "node").agg(F.count("*").alias("strokes"), *[f(c).alias(c) for c, f in total.items() if c != "strokes"])
-    box = box.join(comp, "node", "left").groupBy("page", F.coalesce("component", "node").alias("figure")).agg(*[f(c).alias(c) for c, f in total.items()])
+    box = box.join(comp.hint("merge"), "node", "left").groupBy("page", F.coalesce("component", "node").alias("figure")).agg(*[f(c).alias(c) for c, f in total.items()])
     return box.where((F.col("strokes") >= least) & (F.col("x1") - F.col("x0") >= size) & (F.col("y1") - F.col("y0") >= size))
 
 
