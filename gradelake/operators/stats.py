@@ -21,8 +21,11 @@ def finished(attempts: DataFrame) -> DataFrame:
 
 
 def with_totals(attempts: DataFrame, answers: DataFrame) -> DataFrame:
-    """Attempts with total_score (null where nothing is graded yet) and attempt_no (in time order per user)."""
-    total = answers.groupBy("attempt_id").agg(F.sum("earned").alias("total_score"), F.count_if(F.col("is_correct").isNull()).alias("pending"))
+    """Attempts with total_score (null where nothing is graded yet) and attempt_no (in time order per user).
+
+    A total is taken to nine decimals: sums of parts that arrive in another order end in another last bit, and a mean that lies halfway would follow it.
+    """
+    total = answers.groupBy("attempt_id").agg(F.round(F.sum("earned"), 9).alias("total_score"), F.count_if(F.col("is_correct").isNull()).alias("pending"))
     nth = Window.partitionBy("assignment_id", "user_id").orderBy("started_at", "attempt_id")
     return attempts.join(total, "attempt_id", "left").withColumn("attempt_no", F.row_number().over(nth))
 
